@@ -1,0 +1,6 @@
+"""The registered queries of the note operators, and the same in DuckDB's SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
