@@ -29,7 +29,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column, gap: str = SPACE) -> Column:
     """The non-empty pieces between matches of gap."""
-    return F.filter(F.split(text, gap), lambda w: w != "")
+    return F.array_remove(F.split(text, gap), "")
+
+
+def running_sum(values: Column, block: int = 1024) -> Column:
+    """[0, v0, v0 + v1, ...] of an array of ints.
+
+    Sums grow by appending; blocks keep the copying at n * n / block.
+    """
+    zero = F.array(F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda k: F.slice(values, k * block + 1, block))
+    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    inner = lambda b, start: F.aggregate(b, F.array(start), grow)
+    return F.when(F.size(values) == 0, zero).otherwise(F.aggregate(blocks, zero, lambda acc, b: F.concat(F.slice(acc, 1, F.size(acc) - 1), inner(b, F.element_at(acc, -1)))))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from notes_engine.llm import exact_dedup, quality_rules
+from notes_engine.llm import exact_dedup, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_packing": packing.op6_packing,
+    "op7_token_files": token_files.op7_token_files,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op2_license_scan": license_scan.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
