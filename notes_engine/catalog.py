@@ -1,6 +1,350 @@
-"""The registered queries of the note operators, and the same in DuckDB's SQL."""
+"""The registered queries of the note operators over the test tables, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notes_engine.functions import in_order
+from notes_engine.operators import checkpoints, context, fold, gate, recall
+from notes_engine.operators.checkpoints import MARKER
+from notes_engine.plans import adapters
+from notes_engine.sources import files, lines, requests
+from notes_engine.streaming import processors
+from notes_engine.streaming.runs import run_to_table, shared_dir
+
+#: Literals that the recall queries look for.
+PROJECT, KEY, QUERY, TAGS = "src3", "23", "TION", ("de", "fr")
+BUDGET = 500
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _time(name: str):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+
+
+def _tags(name: str = "tags"):
+    return F.array_join(name, ",").alias(name)
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.notes(adapters.read(spark, d, "documents"))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.note_events(adapters.read(spark, d, "events"))
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = adapters.read(spark, d, "documents")
+    return adapters.old_notes(docs), adapters.new_notes(docs)
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    rows = [(1, "src1", None, "tion", None, 5), (2, "src1", None, None, ["de"], None), (3, "src2", "22", "ignored", None, 3), (4, "src2", "nokey", None, None, None), (5, "nowhere", None, "x", None, None), (6, "src0", "", "", [], 4), (7, "src4", None, "%", None, None)]
+    return spark.createDataFrame(rows, "request_id long, project_id string, key string, query string, tags array<string>, max_rows int")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Folds the event log and recalls each project's ten most recent notes with a match."""
+    top = recall.recall_per_project(fold.fold_notes(_log(spark, d)), query="1", limit=10)
+    return top.select("project_id", "rank", "key", "value", _tags(), _time("updated_at"))
+
+
+def note_fold(spark: SparkSession, d: str) -> DataFrame:
+    return fold.fold_notes(_log(spark, d)).select("project_id", "key", "value", _tags(), _time("created_at"), _time("updated_at"), "position")
+
+
+def note_actions(spark: SparkSession, d: str) -> DataFrame:
+    return fold.note_actions(_log(spark, d)).select("project_id", "key", "seq", "action", _tags(), "total")
+
+
+def note_dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    by_text = _notes(spark, d).withColumn("key", F.md5("value"))
+    return fold.dedup_first(by_text).select("project_id", "key", "position")
+
+
+def _to_forget(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of German documents, and as many that don't exist."""
+    german = adapters.read(spark, d, "documents").where(F.col("lang") == "de").select(F.col("source").alias("project_id"), F.col("doc_id").cast("string").alias("key"))
+    return german.unionByName(german.withColumn("key", F.concat(F.lit("x"), "key")))
+
+
+def forget_batch(spark: SparkSession, d: str) -> DataFrame:
+    return fold.forget_notes(_notes(spark, d), _to_forget(spark, d)).select("project_id", "key", "position")
+
+
+def forget_report(spark: SparkSession, d: str) -> DataFrame:
+    return fold.forget_report(_notes(spark, d), _to_forget(spark, d))
+
+
+def recall_key(spark: SparkSession, d: str) -> DataFrame:
+    return recall.recall_key(_notes(spark, d), PROJECT, KEY).select("project_id", "key", "value", _time("updated_at"))
+
+
+def recall_query(spark: SparkSession, d: str) -> DataFrame:
+    return recall.search(_notes(spark, d), query=QUERY).select("project_id", "key", _tags())
+
+
+def recall_tags(spark: SparkSession, d: str) -> DataFrame:
+    return recall.search(_notes(spark, d), tags=TAGS).select("project_id", "key", _tags())
+
+
+def recall_combined(spark: SparkSession, d: str) -> DataFrame:
+    return recall.recall(_notes(spark, d), PROJECT, query=QUERY, tags=("en", "fr")).select("project_id", "key", _time("updated_at"))
+
+
+def recall_topk_per_project(spark: SparkSession, d: str) -> DataFrame:
+    return recall.recall_per_project(_notes(spark, d), query=QUERY, tags=("en", "fr")).select("project_id", "key", F.col("rank").cast("long").alias("rank"))
+
+
+def recall_counts(spark: SparkSession, d: str) -> DataFrame:
+    return recall.recall_counts(_notes(spark, d), query=QUERY, tags=TAGS)
+
+
+def recall_batch(spark: SparkSession, d: str) -> DataFrame:
+    return recall.recall_batch(_notes(spark, d), _requests(spark)).select("request_id", "project_id", "key", F.col("rank").cast("long").alias("rank"))
+
+
+def recall_replies(spark: SparkSession, d: str) -> DataFrame:
+    return recall.recall_replies(_notes(spark, d), _requests(spark))
+
+
+def project_registry(spark: SparkSession, d: str) -> DataFrame:
+    return context.project_registry(adapters.conversation_docs(adapters.read(spark, d, "conversations")))
+
+
+def default_fill(spark: SparkSession, d: str) -> DataFrame:
+    docs = adapters.conversation_docs(adapters.read(spark, d, "conversations"))
+    one = docs.groupBy("project_id", "kind").agg(F.min("body").alias("body"))
+    return context.fill_defaults(one).select("project_id", "kind", F.md5("body").alias("body_md5"), "filled")
+
+
+def note_summary(spark: SparkSession, d: str) -> DataFrame:
+    return context.note_summary(_notes(spark, d))
+
+
+def context_assemble(spark: SparkSession, d: str) -> DataFrame:
+    parts = adapters.conversation_sections(adapters.read(spark, d, "conversations"))
+    return context.assemble(parts, BUDGET)
+
+
+def context_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Whole contexts from conversations as documents, one of each kind, and from note summaries of the sources."""
+    docs = adapters.conversation_docs(adapters.read(spark, d, "conversations"))
+    one = docs.groupBy("project_id", "kind").agg(F.min("body").alias("body"))
+    return context.contexts(one, _notes(spark, d), budget=BUDGET).drop("context")
+
+
+def change_set(spark: SparkSession, d: str) -> DataFrame:
+    return checkpoints.change_set(*_versions(spark, d))
+
+
+def change_set_tracked(spark: SparkSession, d: str) -> DataFrame:
+    return checkpoints.change_set(*_versions(spark, d), tracked_only=True)
+
+
+def diff_stat(spark: SparkSession, d: str) -> DataFrame:
+    return checkpoints.diff_stat(*_versions(spark, d))
+
+
+def checkpoint_list(spark: SparkSession, d: str) -> DataFrame:
+    rows = adapters.manifest(adapters.read(spark, d, "orders"))
+    return checkpoints.list_checkpoints(rows, adapters.heads(rows))
+
+
+def checkpoint_targets(spark: SparkSession, d: str) -> DataFrame:
+    """For customers in one segment the last checkpoint, for others one that may be another customer's."""
+    rows = adapters.manifest(adapters.read(spark, d, "orders"))
+    wanted = adapters.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("project_id"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_custkey").cast("string")).alias("checkpoint_id"))
+    return checkpoints.resolve_targets(rows, adapters.heads(rows), wanted)
+
+
+def restore_state(spark: SparkSession, d: str) -> DataFrame:
+    """Restores all sources to the first version; of the two that are asked for, one has changes that no checkpoint holds."""
+    old, new = _versions(spark, d)
+    current = new.where(F.col("project_id") != "src1").unionByName(new.where(F.col("project_id") == "src1").withColumn("value", F.concat("value", F.lit("!"))))
+    targets = new.select("project_id").distinct().withColumn("checkpoint_id", F.lit("c1"))
+    out = checkpoints.restored(current, old.withColumn("checkpoint_id", F.lit("c1")), targets, new)
+    return out.select("project_id", "key", F.md5("value").alias("value_md5"))
+
+
+def _status_lines(spark: SparkSession, d: str) -> DataFrame:
+    code = F.when(F.col("lang") == "en", " M ").when(F.col("lang") == "de", "?? ").otherwise("D  ")
+    return adapters.read(spark, d, "documents").select(F.col("source").alias("project_id"), F.concat(code, F.col("doc_id").cast("string"), F.lit(".md")).alias("line"))
+
+
+def status_lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.parse_status(_status_lines(spark, d))
+
+
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    marker = F.when(F.col("lang") == "en", MARKER).otherwise("")
+    rows = adapters.read(spark, d, "documents").select(F.col("source").alias("project_id"), F.concat(F.left(F.md5("text"), F.lit(8)), F.lit(" "), marker, "lang", F.lit(f" {MARKER}"), F.col("n_chars").cast("string")).alias("line"))
+    return lines.parse_log(rows)
+
+
+def request_route(spark: SparkSession, d: str) -> DataFrame:
+    served, dead = requests.route(adapters.requests(adapters.read(spark, d, "events")))
+    out = dead.select("request_id", F.lit("dead").alias("routed"), F.lit(None).cast("string").alias("project_id"), F.lit(None).cast("int").alias("count"), "reason")
+    count = {"onboard": "max_context_chars", "recall": "limit"}
+    for tool, rows in served.items():
+        out = out.unionByName(rows.select("request_id", F.lit(tool).alias("routed"), "project_id", (F.col(count[tool]) if tool in count else F.lit(None).cast("int")).alias("count"), F.lit(None).cast("string").alias("reason")))
+    return out
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """Users with a purchase of 50 or more have a marked project."""
+    rich = adapters.read(spark, d, "events").where((F.col("event_type") == "purchase") & (F.col("value") >= 20))
+    return gate.marked_projects(rich.select(F.col("user_id").cast("string").alias("project_id"), F.lit("map").alias("kind")))
+
+
+def gate_batch(spark: SparkSession, d: str) -> DataFrame:
+    events = adapters.tool_events(adapters.read(spark, d, "events"))
+    return gate.gate_events(events, _marked(spark, d)).select("event_id", "session_id", "decision", "reason")
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    return spark.readStream.schema(adapters.read(spark, d, "events").schema).parquet(f"{d}/events.[p]arquet")  # a pattern: a plain path must be a folder
+
+
+def gate_stream(spark: SparkSession, d: str) -> DataFrame:
+    stream = processors.gate_stream(adapters.tool_events(_stream(spark, d)), _marked(spark, d))
+    return run_to_table(stream, "append", "gate").select("event_id", "session_id", "decision", "reason")
+
+
+def note_fold_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = run_to_table(processors.fold_stream(adapters.note_events(_stream(spark, d))), "update", "fold")
+    last = rows.groupBy("project_id", "key").agg(F.max_by(F.struct("value", "tags", "created_at", "updated_at", "position", "live"), "batch_id").alias("n")).select("project_id", "key", "n.*")
+    return last.where("live").select("project_id", "key", "value", _tags(), _time("created_at"), _time("updated_at"), "position")
+
+
+def snapshot_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Writes each source's notes as a JSON array in a file of its own, and scans the files."""
+    path = f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}"
+    note = F.to_json(F.struct("key", "value", "tags", F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at")))
+    stores = _notes(spark, d).groupBy("project_id").agg(F.collect_list(F.struct("position", note.alias("note"))).alias("notes"))
+    array = F.concat(F.lit("["), in_order(F.col("notes"), "note", ","), F.lit("]"))
+    stores.select("project_id", array.alias("value")).repartition("project_id").write.partitionBy("project_id").text(path)
+    notes, _ = files.scan_notes(spark, f"{path}/*/*.txt")
+    return notes.select(F.regexp_replace("project_id", "^project_id=", "").alias("project_id"), "key", F.md5("value").alias("value_md5"), _tags(), _time("updated_at"), "position")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        note_fold, note_actions, note_dedup_first, forget_batch, forget_report, recall_key, recall_query, recall_tags, recall_combined, recall_topk_per_project, recall_counts, recall_batch,
+        recall_replies, project_registry, default_fill, note_summary, context_assemble, context_rows, change_set, change_set_tracked, diff_stat, checkpoint_list, checkpoint_targets, restore_state,
+        status_lines, log_lines, request_route, gate_batch, gate_stream, note_fold_stream, snapshot_scan,
+    )
+} | {"recent_notes": flagship}
+
+# The same in SQL.
+
+_TIME = "'%Y-%m-%d %H:%M:%S.%f'"
+_NOTES = "notes AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key, text AS value, lang AS tag, doc_id AS position, TIMESTAMP '2024-01-01' + to_seconds(n_chars) AS updated_at FROM documents)"
+_LOG = """log AS (
+  SELECT CAST(user_id AS VARCHAR) AS project_id, CAST(CAST(json_extract(props, '$.k') AS INTEGER) // 20 AS VARCHAR) AS key,
+         CASE WHEN event_type = 'error' THEN 'forget' WHEN event_type IN ('click', 'signup') THEN 'append' ELSE 'replace' END AS op,
+         CAST(event_id AS VARCHAR) AS value, event_type AS tag, ts, event_id AS seq FROM events)"""
+_FOLD = f"""{_LOG}, epochs AS (
+  SELECT *, sum(CAST(op = 'forget' AS INT)) OVER (PARTITION BY project_id, key ORDER BY ts, seq) AS epoch FROM log
+), kept AS (
+  SELECT *, row_number() OVER (PARTITION BY project_id, key ORDER BY ts, seq) AS rn
+  FROM (SELECT *, max(epoch) OVER (PARTITION BY project_id, key) AS last FROM epochs) WHERE op <> 'forget' AND epoch = last
+), based AS (
+  SELECT *, max(CASE WHEN op = 'replace' OR rn = 1 THEN rn END) OVER (PARTITION BY project_id, key) AS base FROM kept
+), folded AS (
+  SELECT project_id, key, string_agg(value, chr(10) ORDER BY rn) FILTER (WHERE rn >= base) AS value, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags,
+         min(ts) AS created_at, max(ts) AS updated_at, arg_min(seq, rn) AS position FROM based GROUP BY project_id, key)"""
+_FOLDED = f"WITH {_FOLD} SELECT project_id, key, value, tags, strftime(created_at, {_TIME}) AS created_at, strftime(updated_at, {_TIME}) AS updated_at, position FROM folded"
+_FORGET = f"""WITH {_NOTES}, german AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key FROM documents WHERE lang = 'de'),
+gone AS (SELECT * FROM german UNION ALL SELECT project_id, 'x' || key FROM german), left_over AS (SELECT * FROM notes n WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.project_id = n.project_id AND g.key = n.key))"""
+_HAS = f"(contains(lower(key), lower('{QUERY}')) OR contains(lower(value), lower('{QUERY}')))"
+_RECALL = f"""WITH {_NOTES}, request(request_id, rp, rk, rq, rt, rn) AS (VALUES
+  (1, 'src1', NULL, 'tion', NULL, 5), (2, 'src1', NULL, NULL, 'de', NULL), (3, 'src2', '22', 'ignored', NULL, 3), (4, 'src2', 'nokey', NULL, NULL, NULL),
+  (5, 'nowhere', NULL, 'x', NULL, NULL), (6, 'src0', '', '', NULL, 4), (7, 'src4', NULL, '%', NULL, NULL)),
+found AS (
+  SELECT *, CASE WHEN coalesce(rk, '') <> '' THEN 1 ELSE coalesce(rn, 10) END AS top FROM request JOIN notes ON rp = project_id
+  AND CASE WHEN coalesce(rk, '') <> '' THEN key = rk ELSE (rt IS NULL OR tag = rt) AND (coalesce(rq, '') = '' OR contains(lower(key), lower(rq)) OR contains(lower(value), lower(rq))) END)"""
+_DOCS = "docs AS (SELECT CAST(conv_id AS VARCHAR) AS project_id, CASE role WHEN 'system' THEN 'settings' WHEN 'user' THEN 'map' ELSE 'task' END AS kind, text AS body FROM conversations)"
+_DEFAULTS = ", ".join(f"('{k}', '{v.rstrip()}' || chr(10))" for k, v in context.DEFAULT_DOCS.items())
+_VERSIONS = """old AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key, text AS value FROM documents WHERE lang <> 'es'),
+new AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key, CASE WHEN lang = 'fr' THEN text || chr(10) || 'extra' ELSE text END AS value FROM documents WHERE lang <> 'de')"""
+_CHANGES = f"""WITH {_VERSIONS} SELECT coalesce(o.project_id, n.project_id) AS project_id, coalesce(o.key, n.key) AS key,
+CASE WHEN o.key IS NULL THEN 'A' WHEN n.key IS NULL THEN 'D' ELSE 'M' END AS status
+FROM old o FULL JOIN new n ON o.project_id = n.project_id AND o.key = n.key WHERE o.value IS DISTINCT FROM n.value"""
+_WALK = f"""m AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS project_id, CAST(o_orderkey AS VARCHAR) AS id, CAST(lag(o_orderkey) OVER w AS VARCHAR) AS parent, row_number() OVER w AS seq,
+         o_orderpriority AS message, CAST(o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' AS INT) AS marked
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+), walk AS (
+  SELECT m.*, marked AS place FROM m WHERE seq = (SELECT max(seq) FROM m x WHERE x.project_id = m.project_id)
+  UNION ALL SELECT m.*, w.place + m.marked FROM walk w JOIN m ON m.project_id = w.project_id AND m.id = w.parent WHERE w.place < {checkpoints.LISTED}
+)"""
+_GATE = """
+WITH marked AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value >= 20),
+e AS (SELECT *, max(CAST(event_type = 'signup' AND user_id IN (SELECT user_id FROM marked) AS INT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS onboarded FROM events)
+SELECT event_id, CAST(user_id AS VARCHAR) AS session_id,
+       CASE WHEN event_type IN ('click', 'purchase') AND value >= 5 AND onboarded = 0 AND user_id IN (SELECT user_id FROM marked) THEN 'block' ELSE 'allow' END AS decision,
+       CASE WHEN event_type = 'error' THEN 'malformed' WHEN event_type IN ('click', 'purchase') AND value >= 5 AND onboarded = 0 AND user_id IN (SELECT user_id FROM marked) THEN 'onboard first' END AS reason
+FROM e"""
+
+ORACLE_SQL: dict[str, str] = {
+    "note_fold": _FOLDED,
+    "note_fold_stream": _FOLDED,
+    "recent_notes": f"""WITH {_FOLD} SELECT project_id, rank, key, value, tags, strftime(updated_at, {_TIME}) AS updated_at FROM (
+        SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC NULLS LAST, position) AS rank FROM folded WHERE contains(key, '1') OR contains(value, '1')) WHERE rank <= 10""",
+    "note_actions": f"""WITH {_LOG}, a AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY project_id, key ORDER BY ts, seq) <> 'forget', false) AS live FROM log),
+        l AS (SELECT *, CASE WHEN op = 'forget' THEN CASE WHEN live THEN 'deleted' ELSE 'not_found' END WHEN live THEN 'updated' ELSE 'created' END AS action FROM a)
+        SELECT project_id, key, seq, action, tag AS tags, CAST(sum(CASE action WHEN 'created' THEN 1 WHEN 'deleted' THEN -1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY ts, seq) AS BIGINT) AS total FROM l""",
+    "note_dedup_first": "SELECT source AS project_id, md5(text) AS key, min(doc_id) AS position FROM documents GROUP BY source, md5(text)",
+    "forget_batch": f"{_FORGET} SELECT project_id, key, position FROM left_over",
+    "forget_report": f"""{_FORGET} SELECT g.project_id, g.key, n.key IS NOT NULL AS deleted, coalesce(r.c, 0) AS remaining, CASE WHEN n.key IS NULL THEN 'not found' END AS error
+        FROM gone g LEFT JOIN notes n USING (project_id, key) LEFT JOIN (SELECT project_id, count(*) AS c FROM left_over GROUP BY project_id) r ON r.project_id = g.project_id""",
+    "recall_key": f"WITH {_NOTES} SELECT project_id, key, value, strftime(updated_at, {_TIME}) AS updated_at FROM notes WHERE project_id = '{PROJECT}' AND key = '{KEY}'",
+    "recall_query": f"WITH {_NOTES} SELECT project_id, key, tag AS tags FROM notes WHERE {_HAS}",
+    "recall_tags": f"WITH {_NOTES} SELECT project_id, key, tag AS tags FROM notes WHERE tag IN {TAGS}",
+    "recall_combined": f"WITH {_NOTES} SELECT project_id, key, strftime(updated_at, {_TIME}) AS updated_at FROM notes WHERE project_id = '{PROJECT}' AND tag IN ('en', 'fr') AND {_HAS} ORDER BY updated_at DESC, position LIMIT 10",
+    "recall_topk_per_project": f"WITH {_NOTES} SELECT project_id, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY updated_at DESC, position) AS rank FROM notes WHERE tag IN ('en', 'fr') AND {_HAS}) WHERE rank <= 10",
+    "recall_counts": f"WITH {_NOTES} SELECT project_id, least(h, 10) AS hits, total, CASE WHEN h = 0 THEN 'no match' END AS message FROM (SELECT project_id, count(*) AS total, count(*) FILTER (WHERE tag IN {TAGS} AND {_HAS}) AS h FROM notes GROUP BY project_id)",
+    "recall_batch": f"{_RECALL} SELECT request_id, project_id, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN coalesce(rk, '') = '' THEN updated_at END DESC NULLS LAST, position) AS rank FROM found) WHERE rank <= top",
+    "recall_replies": f"""{_RECALL} SELECT request_id, rp AS project_id, least(coalesce(h, 0), coalesce(top, 10)) AS hits, coalesce(total, 0) AS total,
+        CASE WHEN coalesce(total, 0) = 0 THEN 'no notes stored' WHEN coalesce(h, 0) = 0 THEN CASE WHEN coalesce(rk, '') <> '' THEN 'no note with key ' || rk ELSE 'no match' END END AS message
+        FROM request LEFT JOIN (SELECT request_id, count(*) AS h, any_value(top) AS top FROM found GROUP BY request_id) USING (request_id)
+        LEFT JOIN (SELECT project_id, count(*) AS total FROM notes GROUP BY project_id) t ON t.project_id = rp""",
+    "project_registry": f"WITH {_DOCS}, f AS (SELECT project_id, bool_or(kind = 'settings') AS initialised FROM docs GROUP BY project_id) SELECT project_id, initialised, CASE WHEN NOT initialised THEN 'not initialised' END AS error FROM f",
+    "default_fill": f"""WITH {_DOCS}, defaults(kind, body) AS (VALUES {_DEFAULTS}), own AS (SELECT project_id, kind, min(body) AS body FROM docs GROUP BY project_id, kind)
+        SELECT p.project_id, d.kind, md5(coalesce(o.body, d.body)) AS body_md5, o.body IS NULL AS filled
+        FROM (SELECT DISTINCT project_id FROM docs) p CROSS JOIN defaults d LEFT JOIN own o ON o.project_id = p.project_id AND o.kind = d.kind""",
+    "note_summary": f"""WITH {_NOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY position) AS i, count(*) OVER (PARTITION BY project_id) AS n FROM notes)
+        SELECT project_id, chr(10) || chr(10) || '## Stored Memories (' || any_value(n) || ' total)' || chr(10) || string_agg('- **' || key || '** [' || tag || ']' || chr(10), '' ORDER BY i) FILTER (WHERE i <= 10)
+        || CASE WHEN any_value(n) > 10 THEN '- ... and ' || (any_value(n) - 10) || ' more' || chr(10) ELSE '' END AS summary, any_value(n) AS n_notes FROM r GROUP BY project_id""",
+    "context_assemble": f"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS project_id, string_agg('# ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+        f AS (SELECT project_id, length(t) > {BUDGET} AS truncated, CASE WHEN length(t) > {BUDGET} THEN substring(t, 1, {BUDGET}) || chr(10) || chr(10) || '[TRUNCATED - context exceeds limit]' ELSE t END AS context FROM c)
+        SELECT project_id, context, length(context) AS context_size, truncated FROM f""",
+    "change_set": _CHANGES,
+    "change_set_tracked": f"SELECT * FROM ({_CHANGES}) WHERE status <> 'A'",
+    "diff_stat": f"""WITH {_VERSIONS}, l AS (SELECT project_id, key, unnest(string_split(value, chr(10))) AS line, -1 AS n FROM old UNION ALL SELECT project_id, key, unnest(string_split(value, chr(10))), 1 FROM new),
+        d AS (SELECT project_id, key, line, sum(n) AS n FROM l GROUP BY ALL HAVING sum(n) <> 0)
+        SELECT project_id, key, CAST(sum(greatest(n, 0)) AS BIGINT) AS insertions, CAST(sum(greatest(-n, 0)) AS BIGINT) AS deletions FROM d GROUP BY project_id, key""",
+    "checkpoint_list": f"WITH RECURSIVE {_WALK} SELECT project_id, CAST(place AS BIGINT) AS place, id AS checkpoint_id, message FROM walk WHERE marked = 1",
+    "checkpoint_targets": f"""WITH RECURSIVE {_WALK}, newest AS (SELECT project_id, id FROM walk WHERE marked = 1 AND place = 1),
+        a AS (SELECT CAST(c_custkey AS VARCHAR) AS project_id, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(c_custkey AS VARCHAR) END AS given FROM customer),
+        t AS (SELECT a.project_id, coalesce(given, newest.id) AS checkpoint_id FROM a LEFT JOIN newest USING (project_id))
+        SELECT t.project_id, t.checkpoint_id, CASE WHEN t.checkpoint_id IS NULL THEN 'no checkpoints' WHEN m.id IS NULL THEN 'not found' END AS error FROM t LEFT JOIN m ON m.project_id = t.project_id AND m.id = t.checkpoint_id""",
+    "restore_state": f"WITH {_VERSIONS} SELECT project_id, key, md5(value) AS value_md5 FROM old WHERE project_id <> 'src1' AND project_id IN (SELECT project_id FROM new) UNION ALL SELECT project_id, key, md5(value || '!') FROM new WHERE project_id = 'src1'",
+    "status_lines": "SELECT source AS project_id, CASE lang WHEN 'en' THEN 'M' WHEN 'de' THEN '??' ELSE 'D' END AS status, doc_id || '.md' AS file FROM documents",
+    "log_lines": f"SELECT source AS project_id, substring(md5(text), 1, 8) AS checkpoint_id, lang || ' {MARKER}' || n_chars AS message, lang = 'en' AS marked FROM documents",
+    "request_route": """
+        WITH r AS (SELECT *, CASE WHEN event_type = 'error' THEN 'unknown tool' WHEN event_type = 'purchase' AND value < 10 THEN 'missing value' WHEN event_type = 'view' AND (value < 0 OR value <> floor(value)) THEN 'bad limit' END AS reason FROM events)
+        SELECT event_id AS request_id, CASE WHEN reason IS NOT NULL THEN 'dead' WHEN event_type = 'signup' THEN 'onboard' WHEN event_type = 'view' THEN 'recall' ELSE 'remember' END AS routed,
+               CASE WHEN reason IS NULL THEN CAST(user_id AS VARCHAR) END AS project_id,
+               CASE WHEN reason IS NULL AND event_type = 'signup' THEN 50000 WHEN reason IS NULL AND event_type = 'view' THEN CAST(value AS INTEGER) END AS count, reason FROM r""",
+    "gate_batch": _GATE,
+    "gate_stream": _GATE,
+    "snapshot_scan": f"SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key, md5(text) AS value_md5, lang AS tags, strftime(TIMESTAMP '2024-01-01' + to_seconds(n_chars), {_TIME}) AS updated_at, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents",
+}
