@@ -1,3 +1,80 @@
-"""Corpus preparation in five stages."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Corpus preparation in five stages: quality rules, exact dedup, near dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; its result is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents. Null texts count as empty;
+empty tables give empty tables; further columns are carried along.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notes_engine.llm import mixing, quality_rules
+from notes_engine.llm.common import shared_dir
+from notes_engine.llm.exact_dedup import keep_one
+from notes_engine.llm.ngram_join import ngram_join
+from notes_engine.llm.packing import pack
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule of the full policy. The ledger is made on the rows themselves, so nothing is joined."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_t"))
+    led = quality_rules.ledger(row, id_col="_row", text_col="_t")
+    return led.where(quality_rules.passes(quality_rules.FULL)).select("_row.*")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts, that with the smallest id."""
+    return keep_one(docs, keep="min")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similar shingle sets hold together, that with the smallest id; documents without words stay.
+
+    Ids are unique here: exact dedup left one row of repeated ones. Rows
+    without an id stay, as they can't be told apart.
+    """
+    found = ngram_join(docs)
+    dropped = found.where((F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents at the rates that bring the domains of the labels table to their target weights.
+
+    Targets take the clean domain whole, so its documents' rates are near 1 and
+    stay; others are thinned. No document is repeated.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fitted = mixing.fit_mix(docs, mixing.label_domains(labels), mixing.DOMAIN_WEIGHTS)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"))
+    return mixing.apply_mix(row, fitted, id_col="_i", text_col="_t").where(F.col("copies") >= 1).select("_row.*")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens at most."""
+    return pack(docs, with_ids=False)
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mix), ("packing", packing)]
+
+#: The fitted classifier and the tokenizer have no form in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL}
