@@ -173,5 +173,8 @@ class CheckpointStore:
         last = self.head_notes().where(F.col("project_id") == project_id)
         if not change_set(last, own).isEmpty():
             raise RuntimeError("there are changes that no checkpoint holds")
+        out = restored(current, self.snapshots(), chosen, last.unionByName(current.where(F.col("project_id") != project_id).select(last.columns)))
+        version = f"{self.path}/current/{uuid.uuid4().hex}"  # written before the head moves
+        out.write.parquet(version)
         self._move_heads(chosen)
-        return restored(current, self.snapshots(), chosen, last.unionByName(current.where(F.col("project_id") != project_id).select(last.columns)))
+        return self.spark.read.schema(out.schema).parquet(version)

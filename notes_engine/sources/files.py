@@ -11,7 +11,7 @@ _NOTE = "struct<key:string,value:string,tags:array<string>,created_at:string,upd
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """(project_id, name, body) of each file: its folder's name, or the one above a hidden folder, is the project."""
+    """(project_id, name, body) of each file: its folder's name, or the one above a hidden folder, is the project. Spark passes over files of no bytes."""
     parts = F.split(F.col("_metadata.file_path"), "/")
     above = F.element_at(parts, -2)
     project = F.when(above.startswith("."), F.element_at(parts, -3)).otherwise(above)
