@@ -271,6 +271,10 @@ found AS (
   SELECT *, CASE WHEN coalesce(rk, '') <> '' THEN 1 ELSE coalesce(rn, 10) END AS top FROM request JOIN notes ON rp = project_id
   AND CASE WHEN coalesce(rk, '') <> '' THEN key = rk ELSE (rt IS NULL OR tag = rt) AND (coalesce(rq, '') = '' OR contains(lower(key), lower(rq)) OR contains(lower(value), lower(rq))) END)"""
 _DOCS = "docs AS (SELECT CAST(conv_id AS VARCHAR) AS project_id, CASE role WHEN 'system' THEN 'settings' WHEN 'user' THEN 'map' ELSE 'task' END AS kind, text AS body FROM conversations)"
+_BETWEEN = context.BETWEEN
+_SUMMARY = f"""{_NOTES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY position) AS i, count(*) OVER (PARTITION BY project_id) AS n FROM notes),
+        summaries AS (SELECT project_id, chr(10) || chr(10) || '## Stored Memories (' || any_value(n) || ' total)' || chr(10) || string_agg('- **' || key || '** [' || tag || ']' || chr(10), '' ORDER BY i) FILTER (WHERE i <= 10)
+        || CASE WHEN any_value(n) > 10 THEN '- ... and ' || (any_value(n) - 10) || ' more' || chr(10) ELSE '' END AS summary, any_value(n) AS n_notes FROM numbered GROUP BY project_id)"""
 _DEFAULTS = ", ".join(f"('{k}', '{v.rstrip()}' || chr(10))" for k, v in context.DEFAULT_DOCS.items())
 _VERSIONS = """old AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key, text AS value FROM documents WHERE lang <> 'es'),
 new AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key, CASE WHEN lang = 'fr' THEN text || chr(10) || 'extra' ELSE text END AS value FROM documents WHERE lang <> 'de')"""
@@ -320,9 +324,16 @@ ORACLE_SQL: dict[str, str] = {
     "default_fill": f"""WITH {_DOCS}, defaults(kind, body) AS (VALUES {_DEFAULTS}), own AS (SELECT project_id, kind, min(body) AS body FROM docs GROUP BY project_id, kind)
         SELECT p.project_id, d.kind, md5(coalesce(o.body, d.body)) AS body_md5, o.body IS NULL AS filled
         FROM (SELECT DISTINCT project_id FROM docs) p CROSS JOIN defaults d LEFT JOIN own o ON o.project_id = p.project_id AND o.kind = d.kind""",
-    "note_summary": f"""WITH {_NOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY position) AS i, count(*) OVER (PARTITION BY project_id) AS n FROM notes)
-        SELECT project_id, chr(10) || chr(10) || '## Stored Memories (' || any_value(n) || ' total)' || chr(10) || string_agg('- **' || key || '** [' || tag || ']' || chr(10), '' ORDER BY i) FILTER (WHERE i <= 10)
-        || CASE WHEN any_value(n) > 10 THEN '- ... and ' || (any_value(n) - 10) || ' more' || chr(10) ELSE '' END AS summary, any_value(n) AS n_notes FROM r GROUP BY project_id""",
+    "note_summary": f"WITH {_SUMMARY} SELECT project_id, summary, n_notes FROM summaries",
+    "context_rows": f"""WITH {_DOCS}, {_SUMMARY}, one AS (SELECT project_id, kind, min(body) AS body FROM docs GROUP BY project_id, kind),
+        parts AS (SELECT project_id, 0 AS place, '# Project Map' || chr(10) || chr(10) || body AS s FROM one WHERE kind = 'map' AND body <> ''
+                  UNION ALL SELECT project_id, 2, '# Current Task' || chr(10) || chr(10) || body FROM one WHERE kind = 'task' AND body <> '' UNION ALL SELECT project_id, 3, summary FROM summaries),
+        c AS (SELECT project_id, length(string_agg(s, '{_BETWEEN}' ORDER BY place)) AS n, bool_or(place = 0) AS m, bool_or(place = 2) AS t, bool_or(place = 3) AS f FROM parts GROUP BY project_id),
+        r AS (SELECT project_id, bool_or(kind = 'settings') AS i FROM one GROUP BY project_id)
+        SELECT coalesce(r.project_id, c.project_id) AS project_id, coalesce(i, false) AS initialised, coalesce(r.project_id, c.project_id) AS project_name, '4.0' AS version,
+               CASE WHEN coalesce(n, 0) > {BUDGET} THEN {BUDGET + len(context.CUT_SUFFIX)} ELSE coalesce(n, 0) END AS context_size, coalesce(n, 0) > {BUDGET} AS truncated,
+               coalesce(m, false) AS map_found, false AS decisions_found, coalesce(t, false) AS task_found, coalesce(f, false) AS memories_found
+        FROM r FULL JOIN c ON c.project_id = r.project_id""",
     "context_assemble": f"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS project_id, string_agg('# ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
         f AS (SELECT project_id, length(t) > {BUDGET} AS truncated, CASE WHEN length(t) > {BUDGET} THEN substring(t, 1, {BUDGET}) || chr(10) || chr(10) || '[TRUNCATED - context exceeds limit]' ELSE t END AS context FROM c)
         SELECT project_id, context, length(context) AS context_size, truncated FROM f""",
