@@ -28,14 +28,16 @@ SAMPLE_TASKS = 4
 def buckets_of(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     """The bucket of each n-gram of the whole text, in lower case, between two blanks, line ends as blanks."""
     code = np.frombuffer(f" {text.lower()} ".replace("\n", " ").encode("utf-32-le", "surrogatepass"), "<u4")
-    found = []
-    for n in orders:
-        if len(code) >= n:
-            h = code[: len(code) - n + 1] + np.uint32(n)
-            for k in range(1, n):
-                h = h * np.uint32(0x01000193) + code[k : len(code) - n + 1 + k]
-            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            found.append((h ^ (h >> np.uint32(13))) >> np.uint32(32 - BITS))
+    found, power, size = [], code, 1
+    for n in sorted(orders):
+        if len(code) < n:
+            break
+        while size < n:  # a longer n-gram's hash goes on from the shorter one's
+            power = power[:-1] * np.uint32(0x01000193) + code[size:]
+            size += 1
+        h = power + np.uint32(n)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        found.append((h ^ (h >> np.uint32(13))) >> np.uint32(32 - BITS))
     return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
