@@ -11,18 +11,17 @@ from notes_engine.llm.common import stored
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of links (x, y): label is the least node that x reaches.
 
-    Each round, every node takes the least label next to it, and then the label
-    of its label, so that chains halve; tables are written between rounds.
+    Each round, every node takes the least of the labels next to it and of its
+    label's label, so that chains halve; a table is written each round.
     Repeated links, loops and no links at all are fine.
     """
     both = stored(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        lower = labels.join(near, "node").join(ahead, "label", "left").select("node", F.least("label", "near", F.coalesce("further", "label")).alias("label"), F.col("label").alias("old"))
         lower = stored(lower, "labels")
-        jumped = lower.join(lower.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
-        labels = stored(jumped.select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "labels")
-        if labels.where(F.col("label") != F.col("old")).isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        labels = lower.select("node", "label")
+        if lower.where(F.col("label") != F.col("old")).isEmpty():
+            return labels

@@ -22,9 +22,10 @@ can be looked for in few of them:
 
 Candidates come from the sets that have a signature. In each group the first
 few members are compared to all others; the rest are compared only if the
-group still spans several components, a few more members a round. So a group
-of many near copies costs a few comparisons a member, and no link between two
-components is lost.
+group still spans several components, more members a round, and only pairs of
+two components whose sizes and parity bits allow a link. So a group of many
+near copies costs few pairs a member, and no link between two components is
+lost.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ MOST_FREQUENT = 1 << 18
 #: Tokens of a set for each class of frequent tokens.
 SET_PER_CLASS = 16
 #: Members of a group that are compared to all others: in the first round, and by what it grows.
-LEADERS, GROWTH = 1, 8
+LEADERS, GROWTH = 1, 16
+#: Bits of the short parity, by which members are told apart before they make a pair.
+SHORT_BITS = 1024
 CACHE_WORDS = 500_000
 
 NODE = ("a", "b")
@@ -96,9 +99,9 @@ def node_of(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8").tolist())
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """One bit for each residue of the hashes, of as many as a power of two from 64 that the set doesn't exceed: set if an odd number of tokens have it."""
-    bits = max(64, 1 << (max(1, len(tokens)) - 1).bit_length())
+def parity(tokens: np.ndarray, bits: int | None = None) -> bytes:
+    """One bit for each residue of the hashes, set if an odd number of tokens have it: of so many residues, or of the first power of two from 64 that the set doesn't exceed."""
+    bits = bits or max(64, 1 << (max(1, len(tokens)) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -157,12 +160,12 @@ def _batch(names: list[str], *cols) -> pa.RecordBatch:
 
 def _read_sets(docs: DataFrame, size: int) -> DataFrame:
     """A row per document (its node, set size and parity), and rows of tokens that may be frequent, with counts."""
-    schema = f"_id {docs.schema['_id'].dataType.simpleString()}, _tie long, n long, a long, b long, parity binary, token long, times long"
+    schema = f"_id {docs.schema['_id'].dataType.simpleString()}, _tie long, n long, a long, b long, parity binary, short binary, token long, times long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
-        names = ["_id", "_tie", "n", "a", "b", "parity", "token", "times"]
+        names = ["_id", "_tie", "n", "a", "b", "parity", "short", "token", "times"]
         kind = pa.null()
 
         def frequent() -> Iterator[pa.RecordBatch]:
@@ -171,7 +174,7 @@ def _read_sets(docs: DataFrame, size: int) -> DataFrame:
                 some = times >= max(LEAST_LOCAL, SHARE * len(held))
                 k = int(some.sum())
                 none = lambda t: pa.nulls(k, t)
-                yield _batch(names, none(kind), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), token[some].view(np.int64), times[some])
+                yield _batch(names, none(kind), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.binary()), token[some].view(np.int64), times[some])
             held.clear()
             seen.clear()
 
@@ -180,13 +183,13 @@ def _read_sets(docs: DataFrame, size: int) -> DataFrame:
             for text in batch.column(2):
                 tokens = shingles(text.as_py(), size)
                 node = node_of(tokens)
-                rows.append((len(tokens), *node, parity(tokens)))
+                rows.append((len(tokens), *node, parity(tokens), parity(tokens, SHORT_BITS)))
                 if node not in seen:
                     seen.add(node)
                     held.append(tokens)
-            n, a, b, bits = zip(*rows, strict=True) if rows else ([], [], [], [])
+            n, a, b, bits, short = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n, a, b)), pa.array(bits, pa.binary()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n, a, b)), pa.array(bits, pa.binary()), pa.array(short, pa.binary()), none, none], names=names)
             if sum(map(len, held)) >= COUNTED:
                 yield from frequent()
         yield from frequent()
@@ -220,50 +223,68 @@ def _postings(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
 def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
     """Candidate pairs, and what is left for later: rows of (first, sig, a, b, n, a2, b2, n2).
 
-    postings: (sig, a, b, n, c), with c the node's component so far or its own.
-    Sorted by sig, a partition is read once; of each group only the first
-    members are remembered. first: this row is a pair of a first member (a2, b2)
-    and a later one of another component; else it is a member that isn't among
-    the first and is compared with the others in a later round.
+    postings: (sig, a, b, n, c), with c the node's component so far or its own,
+    and short, its short parity, or none in the first round. Sorted by sig, a
+    partition is read once; of each group only the first members are remembered.
+    first: this row is a pair of a first member (a2, b2) and a later one of
+    another component whose sizes and parities allow a link; else it is a member
+    that isn't among the first and is compared with the others in a later round.
     """
-    names = ["first", "sig", "a", "b", "n", "c", "a2", "b2", "n2"]
+    names = ["first", "sig", "a", "b", "n", "a2", "b2", "n2"]
+    words = SHORT_BITS // 64
+    by_parity = "short" in postings.columns
+
+    def parities(batch: pa.RecordBatch) -> np.ndarray:
+        if not by_parity:
+            return np.zeros((batch.num_rows, 0), np.uint64)
+        return np.frombuffer(b"".join(batch.column("short").to_pylist()), np.uint64).reshape(-1, words)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((5, 0), np.int64)  # the first members of the group that is open
+        empty = np.zeros((5, 0), np.int64), np.zeros((0, words * by_parity), np.uint64)
+        kept, kept_bits = empty  # the first members of the group that is open
         length, last = 0, None  # of that group; its last member
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows, bits = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]), parities(batch)
             before = np.concatenate(([[*last]] if last is not None else [[rows[0, 0] ^ 1, 0, 0]], rows[:3].T[:-1]))
-            rows = rows[:, (rows[:3].T != before).any(axis=1)]  # the same set from several tasks
+            fresh = (rows[:3].T != before).any(axis=1)  # not the same set from another task
+            rows, bits = rows[:, fresh], bits[fresh]
             if not rows.shape[1]:
                 continue
             last = rows[:3, -1]
             if not kept.shape[1] or kept[0, 0] != rows[0, 0]:
-                kept, length = np.zeros((5, 0), np.int64), 0
+                (kept, kept_bits), length = empty, 0
             old = kept.shape[1]
-            rows = np.concatenate((kept, rows), axis=1)
+            rows, bits = np.concatenate((kept, rows), axis=1), np.concatenate((kept_bits, bits))
             begins = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
             sizes = np.diff(np.append(begins, rows.shape[1]))
             begin = np.repeat(begins, sizes)
             place = np.arange(rows.shape[1]) - begin
             place[old : sizes[0]] += length - old
             new = np.arange(rows.shape[1]) >= old
+            later = np.flatnonzero(new & (place > 0))
             for k in range(leaders):
-                i = np.flatnonzero((place > k) & new)
-                j = begin[i] + k
-                m, n = np.minimum(rows[3, i], rows[3, j]), np.maximum(rows[3, i], rows[3, j])
-                good = (100 * m >= percent * n) & (rows[4, i] != rows[4, j])
+                later = later[place[later] > k]
+                if not len(later):
+                    break
+                i, j = later, begin[later] + k
+                m, n = rows[3, i], rows[3, j]
+                good = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (rows[4, i] != rows[4, j])
                 i, j = i[good], j[good]
+                if by_parity and len(i):
+                    m = rows[3, i] + rows[3, j]
+                    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                    good = differ <= m - 2 * -(-percent * m // (100 + percent))
+                    i, j = i[good], j[good]
                 if len(i):
-                    yield _batch(names, np.ones(len(i), bool), *rows[:, i], *rows[1:4, j])
+                    yield _batch(names, np.ones(len(i), bool), *rows[:4, i], *rows[1:4, j])
             i = np.flatnonzero((place >= leaders) & new)
             if len(i):
-                yield _batch(names, np.zeros(len(i), bool), *rows[:, i], *rows[1:4, i])
-            kept = rows[:, begins[-1] : begins[-1] + min(leaders, sizes[-1])]
-            length = int(place[-1]) + 1
+                yield _batch(names, np.zeros(len(i), bool), *rows[:4, i], *rows[1:4, i])
+            keep = slice(begins[-1], begins[-1] + min(leaders, sizes[-1]))
+            kept, kept_bits, length = rows[:, keep], bits[keep], int(place[-1]) + 1
 
-    dealt = postings.select("sig", "a", "b", "n", "c").repartition("sig").sortWithinPartitions("sig", "a", "b")
-    return dealt.mapInArrow(paired, "first boolean, sig long, a long, b long, n long, c long, a2 long, b2 long, n2 long")
+    dealt = postings.select("sig", "a", "b", "n", "c", *["short"] * by_parity).repartition("sig").sortWithinPartitions("sig", "a", "b")
+    return dealt.mapInArrow(paired, "first boolean, sig long, a long, b long, n long, a2 long, b2 long, n2 long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -309,13 +330,13 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_tie"), F.coalesce(text_col, F.lit("")).alias("_text"))
     read = _read_sets(rows, size)
-    members = read.where("token IS NULL").select("_id", "_tie", "n", "a", "b", "parity")
+    members = read.where("token IS NULL").select("_id", "_tie", "n", "a", "b", "parity", "short")
     least = max(LEAST_FREQUENT, SHARE / 2 * members.count())
     often = read.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT)
     frequent = np.sort(np.array([r.token for r in often.select("token").toLocalIterator()], np.int64).view(np.uint64))
     one = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie"))).alias("r")
-    nodes = members.where("n > 0").groupBy("a", "b", "n").agg(one, F.first("parity").alias("parity"))
-    nodes = stored(nodes.select("a", "b", "n", "parity", F.col("r.id").alias("_id"), F.col("r.tie").alias("_tie")), "nodes")
+    nodes = members.where("n > 0").groupBy("a", "b", "n").agg(one, F.first("parity").alias("parity"), F.first("short").alias("short"))
+    nodes = stored(nodes.select("a", "b", "n", "parity", "short", F.col("r.id").alias("_id"), F.col("r.tie").alias("_tie")), "nodes")
 
     left = _postings(rows, frequent, size, percent).withColumn("c", F.xxhash64("a", "b"))
     links, reached, leaders = None, None, LEADERS
@@ -330,7 +351,7 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
         rest = made.where(~F.col("first")).select("sig", "a", "b", "n").join(reached, ["a", "b"], "left")
         rest = rest.select("sig", "a", "b", "n", F.when(F.col("label").isNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("label.a", "label.b")).alias("c"))
         open_groups = rest.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-        left = stored(rest.join(open_groups, "sig", "left_semi"), "left")
+        left = stored(rest.join(open_groups, "sig", "left_semi").join(nodes.select("a", "b", "short"), ["a", "b"]), "left")
         if left.isEmpty():
             break
         leaders *= GROWTH
