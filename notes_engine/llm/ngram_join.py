@@ -287,8 +287,8 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(paired, "first boolean, sig long, a long, b long, n long, a2 long, b2 long, n2 long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b, n, a2, b2, n2) whose sets are similar. nodes: (a, b, parity, _id, _tie), a row for each set; docs: (_id, _tie, _text)."""
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, a2, b2) whose parities allow a link. nodes: (a, b, parity)."""
 
     def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,25 +296,39 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
             good = [may_be_similar(*p, percent) for p in zip(x, y, m, n, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b", "a2", "b2"])
 
+    bits = nodes.select("a", "b", "parity")
+    both = pairs.join(bits, ["a", "b"]).join(_second(bits, "parity"), ["a2", "b2"])
+    return both.select("a", "b", "n", "parity", "a2", "b2", "n2", "parity2").mapInArrow(sifted, "a long, b long, a2 long, b2 long")
+
+
+def _second(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col(column).alias(f"{column}2"))
+
+
+def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(a, b, tokens) of the wanted sets (a, b), made anew from one text of each. nodes: (a, b, _id, _tie); docs: (_id, _tie, _text)."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), size).tobytes() for t in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.binary())], names=["a", "b", "tokens"])
 
+    keys = wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie"))
+    texts = docs.join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
+    return texts.mapInArrow(sets, "a long, b long, tokens binary").groupBy("a", "b").agg(F.first("tokens").alias("tokens"))
+
+
+def _verified(likely: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, a2, b2) whose sets are similar."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(c) for c in ("tokens", "tokens2"))
             good = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in p), percent) for p in zip(x, y, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b", "a2", "b2"])
 
-    second = lambda df, c: df.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col(c).alias(f"{c}2"))
-    keys = "a long, b long, a2 long, b2 long"
-    bits = nodes.select("a", "b", "parity")
-    likely = stored(pairs.join(bits, ["a", "b"]).join(second(bits, "parity"), ["a2", "b2"]).select("a", "b", "n", "parity", "a2", "b2", "n2", "parity2").mapInArrow(sifted, keys), "likely")
-    wanted = likely.select("a", "b").union(likely.select("a2", "b2")).distinct().join(nodes, ["a", "b"]).select("a", "b", "_id", "_tie")
-    texts = docs.join(wanted.withColumnRenamed("_id", "_key"), (F.col("_key").eqNullSafe(F.col("_id"))) & (wanted["_tie"] == docs["_tie"])).select("a", "b", "_text")
-    tokens = stored(texts.mapInArrow(sets, "a long, b long, tokens binary").groupBy("a", "b").agg(F.first("tokens").alias("tokens")), "tokens")
-    return likely.join(tokens, ["a", "b"]).join(second(tokens, "tokens"), ["a2", "b2"]).select("a", "b", "a2", "b2", "tokens", "tokens2").mapInArrow(compared, keys)
+    both = likely.join(tokens, ["a", "b"]).join(_second(tokens, "tokens"), ["a2", "b2"])
+    return both.select("a", "b", "a2", "b2", "tokens", "tokens2").mapInArrow(compared, "a long, b long, a2 long, b2 long")
 
 
 def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,11 +353,15 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
     nodes = stored(nodes.select("a", "b", "n", "parity", "short", F.col("r.id").alias("_id"), F.col("r.tie").alias("_tie")), "nodes")
 
     left = _postings(rows, frequent, size, percent).withColumn("c", F.xxhash64("a", "b"))
-    links, reached, leaders = None, None, LEADERS
+    links, reached, tokens, leaders = None, None, None, LEADERS
     while True:
         made = stored(_pairs(left, leaders, percent), "pairs")
         pairs = made.where("first").select("a", "b", "n", "a2", "b2", "n2").distinct()
-        found = stored(_verified(pairs, nodes, rows, size, percent), "found")
+        likely = stored(_likely(pairs, nodes, percent), "likely")
+        if links is None:  # the first round's pairs; later ones are all of sets that are left after it
+            ends = likely.select("a", "b").union(likely.select("a2", "b2"))
+            tokens = stored(_token_sets(ends, nodes, rows, size), "tokens")
+        found = stored(_verified(likely, tokens, percent), "found")
         links = found if links is None else links.union(found)
         node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
         reached = components(links.select(node("a", "b").alias("x"), node("a2", "b2").alias("y"))).select("node.a", "node.b", "label")
@@ -354,6 +372,8 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
         left = stored(rest.join(open_groups, "sig", "left_semi").join(nodes.select("a", "b", "short"), ["a", "b"]), "left")
         if left.isEmpty():
             break
+        if leaders == LEADERS:
+            tokens = stored(_token_sets(left.select("a", "b"), nodes, rows, size), "tokens")
         leaders *= GROWTH
     named = nodes.join(reached, ["a", "b"], "left").select("a", "b", "_id", F.coalesce("label", F.struct("a", "b")).alias("label"))
     least_id = named.groupBy("label").agg(F.min("_id").alias("component_id"))
