@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ LEAST_DOCS = 4
 SMOOTHING = 1.0
 RIDGE = 5e-4
 STEPS = 250
+#: Sampled documents whose gradients are computed together.
+AT_ONCE = 512
 #: Tasks that read the sample; each sends one pair of counts a bucket and class to the driver.
 SAMPLE_TASKS = 4
 
@@ -65,16 +68,26 @@ class NgramModel:
         return score
 
 
-def _fit_logistic(rows: np.ndarray, cols: np.ndarray, n: int, scale: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias over features scale[j] * (document has j), by accelerated gradient steps on the ridge-penalised loss."""
+def _fit_logistic(bounds: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias over features scale[j] * (document has j), by accelerated gradient steps on the ridge-penalised loss.
+
+    Document k has the features cols[bounds[k]:bounds[k + 1]]. Each step adds up
+    the gradients of AT_ONCE documents at a time, so that memory stays small.
+    """
+    n = len(y)
     w, bias, m = np.zeros(len(scale)), float(np.log(max((weight * y).sum(), 1e-9) / max((weight * (1 - y)).sum(), 1e-9))), np.zeros(len(scale))
     weight = weight / weight.sum()
     v, mb, vb = np.zeros(len(scale)), 0.0, 0.0
-    value = scale[cols]
     for t in range(1, STEPS + 1):
-        z = np.bincount(rows, value * w[cols], n) + bias
-        d = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        g, gb = np.bincount(cols, value * d[rows], len(scale)) + RIDGE * w, d.sum()
+        g, gb, scaled = np.zeros(len(scale)), 0.0, scale * w
+        for a in range(0, n, AT_ONCE):
+            b = min(n, a + AT_ONCE)
+            c, r = cols[bounds[a] : bounds[b]], np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+            z = np.bincount(r, scaled[c], b - a) + bias
+            d = weight[a:b] * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[a:b])
+            g += np.bincount(c, d[r], len(scale))
+            gb += d.sum()
+        g = g * scale + RIDGE * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate, fix, fix2 = 0.05, 1 - 0.9**t, 1 - 0.999**t
@@ -102,24 +115,27 @@ def fit_ngram_model(sample: DataFrame, classes: int, orders: tuple[int, ...] = O
                 counts[label][np.unique(buckets_of(text, orders))] += 1
                 docs[label] += 1
         if docs.any():
-            yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary()), pa.array([docs.tobytes()], pa.binary())], names=["counts", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([docs.tobytes()], pa.binary())], names=["counts", "docs"])
 
-    counts, docs = np.zeros((classes, 1 << BITS)), np.zeros(classes)
+    counts, docs = np.zeros((classes, 1 << BITS), np.int32), np.zeros(classes)
     for r in rows.select("text", "label").mapInArrow(counted, "counts binary, docs binary").toLocalIterator():
-        counts += np.frombuffer(r.counts, np.int32).reshape(classes, -1)
+        counts += np.frombuffer(zlib.decompress(r.counts), np.int32).reshape(classes, -1)
         docs += np.frombuffer(r.docs, np.int64)
     if not docs.sum():
         return NgramModel(np.zeros(0, np.int32), np.zeros((0, classes)), np.zeros(classes), orders)
-    seen = np.flatnonzero(counts.sum(axis=0) >= LEAST_DOCS)
+    total = counts.sum(axis=0, dtype=np.int32)
+    seen = np.flatnonzero(total >= LEAST_DOCS)
     ratios, picked = [], []
     for c in range(classes):
-        p, q = counts[c][seen] + SMOOTHING, counts.sum(axis=0)[seen] - counts[c][seen] + SMOOTHING
+        p = counts[c][seen].astype(np.float32)
+        p, q = p + SMOOTHING, total[seen] - p + SMOOTHING
         ratio = np.log(p / (docs[c] + 2 * SMOOTHING)) - np.log(q / (docs.sum() - docs[c] + 2 * SMOOTHING))
         sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
         ratios.append(ratio)
         picked.append(np.argsort(-sure, kind="stable")[:FEATURES])
     chosen = np.unique(np.concatenate(picked))
-    buckets, scale = seen[chosen].astype(np.int32), np.array(ratios)[:, chosen]
+    buckets, scale = seen[chosen].astype(np.int32), np.array([r[chosen] for r in ratios], np.float64)
+    del counts, total, ratios, seen
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = np.full(1 << BITS, -1, np.int32)
@@ -136,9 +152,9 @@ def fit_ngram_model(sample: DataFrame, classes: int, orders: tuple[int, ...] = O
         label.append(r.label)
         weight.append(r.weight)
         cols.append(np.frombuffer(r.features, "<i4"))
-    n, label, weight = len(label), np.array(label), np.array(weight)
-    at, cols = np.repeat(np.arange(n), [len(c) for c in cols]), np.concatenate(cols)
-    fitted = [_fit_logistic(at, cols, n, scale[c], (label == c).astype(float), weight) for c in range(classes)]
+    label, weight = np.array(label), np.array(weight)
+    bounds, cols = np.concatenate(([0], np.cumsum([len(c) for c in cols]))), np.concatenate(cols)
+    fitted = [_fit_logistic(bounds, cols, scale[c], (label == c).astype(float), weight) for c in range(classes)]
     return NgramModel(buckets, np.stack([w for w, _ in fitted], axis=1), np.array([b for _, b in fitted]), orders)
 
 
