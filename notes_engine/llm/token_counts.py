@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.tokens import CACHE_PIECES, DEFAULT_VOCABULARY, Remembered, byte_level, run_of
+from notes_engine.llm.tokens import DEFAULT_VOCABULARY, Remembered, byte_level, cannot_cut, run_of
 
 
 def byte_symbols() -> dict[str, int]:
@@ -66,18 +66,11 @@ class TokenCounter:
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.word = regex.compile(public_tokenizers.PATTERN)
         self.bytes = [bytes([b]) for b in range(256)]
-        self.words: dict[str, int] = {}
-        self.pieces = Remembered(self.whole)
+        self.words = Remembered(lambda word: count_merged([self.bytes[b] for b in word.encode()], self.ranks))
+        self.pieces = Remembered(lambda piece: None if cannot_cut(piece) else self.whole(" " + piece))
 
     def _word(self, word: str) -> int:
-        found = self.words.get(word)
-        if found is None:
-            found = count_merged([self.bytes[b] for b in word.encode()], self.ranks)
-            if len(word) <= 64:
-                if len(self.words) >= CACHE_PIECES:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        return self.words[word] if len(word) <= 64 else self.words.made(word)
 
     def whole(self, text: str) -> int:
         """Tokens of a text that isn't cut into pieces first."""

@@ -12,21 +12,23 @@ import public_tokenizers
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces that a Python worker remembers at most; then it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 
 
 class Remembered(dict):
-    """piece -> value(" " + piece), or None for a piece that can't be cut off (see run_of)."""
+    """key -> made(key), remembered in two generations of CACHE_PIECES / 2: when the newer is full the older is dropped, so what is used often stays."""
 
-    def __init__(self, value: Callable[[str], object]):
+    def __init__(self, made: Callable[[str], object]):
         super().__init__()
-        self.value = value
+        self.made, self.older = made, {}
 
-    def __missing__(self, piece: str):
-        if len(self) >= CACHE_PIECES:
+    def __missing__(self, key: str):
+        value = self.older[key] if key in self.older else self.made(key)
+        if len(self) >= CACHE_PIECES // 2:
+            self.older = dict(self)
             self.clear()
-        made = self[piece] = None if cannot_cut(piece) else self.value(" " + piece)
-        return made
+        self[key] = value
+        return value
 
 
 def cannot_cut(piece: str) -> bool:
@@ -71,7 +73,10 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.in_pieces = byte_level(json.load(f))
         self.known: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes] = {}
+        self.older: dict[str, bytes | None] = {}
+        added = {t.content: len(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.widths = np.array([added.get(x, len(x)) for x in names])  # bytes by id: byte-level names have one character each
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,25 +86,39 @@ class Encoder:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         return np.array([x.rstrip("\"')").endswith((".", "!", "?", "Ċ")) for x in names])
 
+    def _pieces(self, pieces: list[str], at_once: int = 2000) -> list[bytes]:
+        """The ids of " " + piece for each: many in one text, as they tokenize apart, and cut where the tokens' widths add up to them."""
+        out = []
+        groups = [pieces[k : k + at_once] for k in range(0, len(pieces), at_once)]
+        for group, raw in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+            ends = np.cumsum(self.widths[np.frombuffer(raw, "<u4")])
+            wanted = np.cumsum([1 + len(p.encode()) for p in group])
+            cuts = [0, *(4 * (np.searchsorted(ends, wanted) + 1)).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.in_pieces:
             return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
         cut = [t.split(" ") for t in texts]
-        new = [p for p in set(chain.from_iterable(cut)) if p not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = list(set(chain.from_iterable(cut)))
-        whole = [p for p in new if not cannot_cut(p)]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(whole, self._ids([" " + p for p in whole]), strict=True))
-        heads = [p[0] for p in cut]
-        starts = self._ids(heads)
+        if len(self.known) >= CACHE_PIECES // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for p in set(chain.from_iterable(cut)).difference(known):
+            if p in older:
+                known[p] = older[p]
+            elif cannot_cut(p):
+                known[p] = None
+            else:
+                new.append(p)
+        known.update(zip(new, self._pieces(new), strict=True))
         out = []
-        for text, pieces, start in zip(texts, cut, starts, strict=True):
+        for text, pieces, start in zip(texts, cut, self._ids([p[0] for p in cut]), strict=True):
             try:
-                if len(pieces) > 1 and self.known[pieces[0]] is None:
+                if len(pieces) > 1 and known[pieces[0]] is None:
                     raise TypeError
-                raw = start + b"".join(map(self.known.__getitem__, pieces[1:]))
+                raw = start + b"".join(map(known.__getitem__, pieces[1:]))
             except TypeError:  # some blank isn't alone
                 raw = b"".join(self._ids(list(run_of(text))))
             out.append(np.frombuffer(raw, "<u4"))
