@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notes_engine import schemas
 from notes_engine.functions import without_prefix
+from notes_engine.streaming.runs import shared_dir
 
 MARKER = "[SAFE] "
 LISTED = 20
@@ -32,33 +35,44 @@ def diff_stat(old: DataFrame, new: DataFrame) -> DataFrame:
     return differ.groupBy(*KEYS).agg(F.sum(F.greatest("n", F.lit(0))).alias("insertions"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("deletions"))
 
 
-def list_checkpoints(manifest: DataFrame, heads: DataFrame, *, marker: str = MARKER, listed: int = LISTED, max_depth: int = 1000) -> DataFrame:
+def list_checkpoints(manifest: DataFrame, heads: DataFrame, *, marker: str = MARKER, listed: int = LISTED) -> DataFrame:
     """(project_id, place, checkpoint_id, message): each project's last marked checkpoints, newest first, from its head along the parents.
 
     manifest: (project_id, checkpoint_id, parent_id, message); heads: (project_id, checkpoint_id). A walk
     ends at the root or once enough marked ones are passed; unmarked ones are passed, not listed.
+
+    Round k knows what is less than 2^k steps from a head, and from jumps of 2^k
+    steps what is less than twice as far. So walks of any length take few
+    rounds. Each round's tables are written to the shared folder, before this
+    returns. ValueError: a walk is caught in a cycle without marked ones.
     """
     spark = manifest.sparkSession
-    tag = uuid.uuid4().hex
-    manifest.select("project_id", "checkpoint_id", "parent_id", "message", F.coalesce(F.startswith("message", F.lit(marker)), F.lit(False)).cast("int").alias("marked")).createOrReplaceTempView(f"m_{tag}")
-    heads.createOrReplaceTempView(f"h_{tag}")
-    limit = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(limit, None)
-    spark.conf.set(limit, "-1")  # as many rows as there are checkpoints to pass
-    try:
-        walked = spark.sql(f"""
-            WITH RECURSIVE walk(project_id, checkpoint_id, parent_id, message, marked, place) MAX RECURSION LEVEL {max_depth} AS (
-              SELECT m.project_id, m.checkpoint_id, m.parent_id, m.message, m.marked, m.marked FROM m_{tag} m JOIN h_{tag} h ON m.project_id = h.project_id AND m.checkpoint_id = h.checkpoint_id
-              UNION ALL
-              SELECT m.project_id, m.checkpoint_id, m.parent_id, m.message, m.marked, w.place + m.marked
-              FROM walk w JOIN m_{tag} m ON m.project_id = w.project_id AND m.checkpoint_id = w.parent_id WHERE w.place < {listed}
-            ) SELECT * FROM walk WHERE marked = 1""")
-        return walked.select("project_id", F.col("place").cast("long").alias("place"), "checkpoint_id", without_prefix(F.col("message"), marker).alias("message"))
-    finally:
-        if before is None:
-            spark.conf.unset(limit)
-        else:
-            spark.conf.set(limit, before)
+    folder = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    marked = F.coalesce(F.startswith("message", F.lit(marker)), F.lit(False)).cast("long")
+    known = stored(manifest.select("project_id", "checkpoint_id", "parent_id", "message", marked.alias("marked")), "known")
+    most = known.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
+    # a jump leads to id "to" and passes so many marked ones, with its start and without its end
+    jumps = known.where("parent_id IS NOT NULL").select("project_id", "checkpoint_id", F.col("parent_id").alias("to"), "marked").where(F.col("marked") < listed)
+    reached = [stored(heads.select("project_id", "checkpoint_id", F.lit(0).cast("long").alias("passed")), "reached-0")]
+    for k in count(1):
+        so_far = reduce(DataFrame.unionByName, reached)
+        ahead = so_far.join(jumps, ["project_id", "checkpoint_id"]).select("project_id", F.col("to").alias("checkpoint_id"), (F.col("passed") + F.col("marked")).alias("passed"))
+        ahead = stored(ahead.where(F.col("passed") < listed), f"reached-{k}")
+        if ahead.isEmpty():
+            break
+        if 1 << (k - 1) > most * (listed + 1):
+            raise ValueError("the parents of checkpoints form a cycle")
+        reached.append(ahead)
+        onward = jumps.select("project_id", F.col("checkpoint_id").alias("to"), F.col("to").alias("_to"), F.col("marked").alias("_marked"))
+        twice = jumps.join(onward, ["project_id", "to"]).select("project_id", "checkpoint_id", F.col("_to").alias("to"), (F.col("marked") + F.col("_marked")).alias("marked"))
+        jumps = stored(twice.where(F.col("marked") < listed), f"jumps-{k}")
+    found = reduce(DataFrame.unionByName, reached).join(known.where("marked = 1"), ["project_id", "checkpoint_id"])
+    return found.select("project_id", (F.col("passed") + 1).alias("place"), "checkpoint_id", without_prefix(F.col("message"), marker).alias("message"))
 
 
 def resolve_targets(manifest: DataFrame, heads: DataFrame, wanted: DataFrame, *, marker: str = MARKER) -> DataFrame:

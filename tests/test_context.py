@@ -102,6 +102,27 @@ def test_list_leaves_out_unmarked(spark):
     assert [r.checkpoint_id for r in got] == [str(i) for i in range(57, 17, -2)] and got[0].message == f"cp {m}57"
 
 
+def test_list_walks_without_limits(spark):
+    """Longer walks than any limit on recursive queries, and cycles."""
+    m, limit = checkpoints.MARKER, "spark.sql.cteRecursionRowLimit"
+    schema = "project_id string, checkpoint_id string, parent_id string, message string"
+    rows = [("p", str(i), str(i - 1) if i else None, f"{m}{i}" if i in (0, 7, 1490) else "Another change") for i in range(1500)]
+    manifest = spark.createDataFrame([*rows, ("q", "a", "gone", f"{m}a"), ("r", "a", None, "Another change")], schema)
+    heads = spark.createDataFrame([("p", "1499"), ("q", "a"), ("r", "a"), ("s", "a")], "project_id string, checkpoint_id string")
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100")
+    try:
+        got = checkpoints.list_checkpoints(manifest, heads).collect()
+        newest = checkpoints.list_checkpoints(manifest, heads, listed=2).collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted((r.project_id, r.place, r.checkpoint_id, r.message) for r in got) == [("p", 1, "1490", "1490"), ("p", 2, "7", "7"), ("p", 3, "0", "0"), ("q", 1, "a", "a")]
+    assert sorted((r.project_id, r.place, r.checkpoint_id) for r in newest) == [("p", 1, "1490"), ("p", 2, "7"), ("q", 1, "a")]
+    ring = spark.createDataFrame([("p", "a", "b", "x"), ("p", "b", "a", "y")], schema)
+    with pytest.raises(ValueError, match="cycle"):
+        checkpoints.list_checkpoints(ring, heads.where("project_id = 'p'").withColumn("checkpoint_id", F.lit("a"))).collect()
+
+
 # gate
 
 
