@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.functions import in_order
 from notes_engine.operators import checkpoints, context, fold, gate, recall
 from notes_engine.operators.checkpoints import MARKER
 from notes_engine.plans import adapters
@@ -223,13 +222,10 @@ def note_fold_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Writes each source's notes as a JSON array in a file of its own, and scans the files."""
+    """Writes each source's notes as JSON arrays in as many files as its size takes, and scans the files."""
     path = f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}"
-    note = F.to_json(F.struct("key", "value", "tags", F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at")))
-    stores = _notes(spark, d).groupBy("project_id").agg(F.collect_list(F.struct("position", note.alias("note"))).alias("notes"))
-    array = F.concat(F.lit("["), in_order(F.col("notes"), "note", ","), F.lit("]"))
-    stores.select("project_id", array.alias("value")).repartition("project_id").write.partitionBy("project_id").text(path)
-    notes, _ = files.scan_notes(spark, f"{path}/*/*.txt")
+    files.write_stores(_notes(spark, d), path)
+    notes, _ = files.scan_notes(spark, f"{path}/*/*/*.txt")
     return notes.select(F.regexp_replace("project_id", "^project_id=", "").alias("project_id"), "key", F.md5("value").alias("value_md5"), _tags(), _time("updated_at"), "position")
 
 

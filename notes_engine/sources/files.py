@@ -2,35 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notes_engine.functions import canonical_tags
 
+#: Bytes of a note store, besides its last note.
+STORE_BYTES = 1 << 22
+#: A folder of this name and a number holds a store whose first note has that position in its project.
+FROM = "from="
 _NOTE = "struct<key:string,value:string,tags:array<string>,created_at:string,updated_at:string>"
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """(project_id, name, body) of each file: its folder's name, or the one above a hidden folder, is the project. Spark passes over files of no bytes."""
+    """(project_id, name, body, first) of each file: its folder's name, or the one above a hidden folder, is the project; below either, from=N gives first. Spark passes over files of no bytes."""
     parts = F.split(F.col("_metadata.file_path"), "/")
-    above = F.element_at(parts, -2)
-    project = F.when(above.startswith("."), F.element_at(parts, -3)).otherwise(above)
-    return spark.read.text(path, wholetext=True).select(project.alias("project_id"), F.element_at(parts, -1).alias("name"), F.col("value").alias("body"))
+    number = F.regexp_extract(F.element_at(parts, -2), f"^{FROM}([0-9]+)$", 1).try_cast("long")
+    folder = lambda up: F.when(number.isNull(), F.element_at(parts, -up)).otherwise(F.element_at(parts, -up - 1))
+    project = F.when(folder(2).startswith("."), folder(3)).otherwise(folder(2))
+    return spark.read.text(path, wholetext=True).select(project.alias("project_id"), F.element_at(parts, -1).alias("name"), F.col("value").alias("body"), F.coalesce(number, F.lit(0)).alias("first"))
 
 
 def scan_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(notes, rejects) of note stores: rejects are (project_id, name, body) whose body is no JSON array; such a project must not be overwritten."""
+    """(notes, rejects) of note stores: rejects are (project_id, name, body) whose body is no JSON array; such a project must not be overwritten.
+
+    A store is read and parsed whole; write_stores() makes as many of a project as that takes.
+    """
     files = _whole(spark, path).withColumn("_notes", F.from_json("body", f"array<{_NOTE}>"))
     is_array = F.trim(F.col("body")).startswith("[") & F.col("_notes").isNotNull()
-    rows = files.where(is_array).select("project_id", F.posexplode("_notes").alias("position", "n"))
+    rows = files.where(is_array).select("project_id", "first", F.posexplode("_notes").alias("position", "n"))
     time = lambda c: F.col(f"n.{c}").cast("timestamp_ntz").alias(c)
     notes = rows.select(
         "project_id", F.coalesce("n.key", F.lit("")).alias("key"), F.coalesce("n.value", F.lit("")).alias("value"), canonical_tags(F.col("n.tags")).alias("tags"),
-        time("created_at"), time("updated_at"), F.col("position").cast("long").alias("position"),
+        time("created_at"), time("updated_at"), (F.col("first") + F.col("position")).alias("position"),
     )
     return notes, files.where(~F.coalesce(is_array, F.lit(False))).select("project_id", "name", "body")
 
 
+def write_stores(notes: DataFrame, path: str, *, most: int = STORE_BYTES) -> None:
+    """Writes notes as stores that scan_notes() reads from path/*/*/*.txt: project_id=.../from=N/, JSON arrays of most bytes and one note at most.
+
+    Notes are sorted by project and position over all tasks, and a task cuts
+    them where a store is full; so a project is as many tasks and files as its
+    size takes. from=N counts the notes of the stores before. Positions that
+    have gaps become those in the project's order.
+    """
+    spark = notes.sparkSession
+    note = F.to_json(F.struct("key", "value", "tags", F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at")))
+    ranged = notes.select("project_id", "position", note.alias("note")).repartitionByRange("project_id", "position").sortWithinPartitions("project_id", "position", "note")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size = number = 0
+        project = None
+
+        def full() -> pa.RecordBatch:
+            columns = [pa.array([project], pa.string()), pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([f"[{','.join(held)}]"], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["project_id", "part", "number", "n", "value"])
+
+        for batch in batches:
+            for p, part, text in zip(*batch.columns, strict=True):  # noqa: B007
+                p, part, text = p.as_py(), part.as_py(), text.as_py()
+                if held and (p != project or size >= most):
+                    yield full()
+                    held, size, number = [], 0, number + 1
+                project = p
+                held.append(text)
+                size += len(text.encode()) + 1
+        if held:
+            yield full()
+
+    folder = f"{path}-cut"
+    ranged.select("project_id", F.spark_partition_id().alias("part"), "note").mapInArrow(cut, "project_id string, part int, number long, n long, value string").write.parquet(folder)
+    stores = spark.read.parquet(folder)
+    before = F.sum("n").over(Window.partitionBy("project_id").orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))  # a row a store
+    first = stores.select("part", "number", F.coalesce(before, F.lit(0)).alias("from"))
+    stores.join(first, ["part", "number"]).select("project_id", "from", "value").write.partitionBy("project_id", "from").text(path)
+
+
 def scan_docs(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
     """(project_id, kind, body) of context documents; kinds by file name, other files are left out."""
     kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])

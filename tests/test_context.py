@@ -198,6 +198,24 @@ def test_scans(spark, tmp_path):
         files.write_notes(notes, f"{tmp_path}/table", 1)
 
 
+def test_stores_of_bounded_size(spark, tmp_path):
+    """A project of many stores is scanned like one of a single store."""
+    rows = [(p, f"{p}{i}", f"{i} \u00e9" * 20, ["t"], DAY, DAY, 10 * i) for p in ("one", "two") for i in range(120)] + [("small", "k", None, None, None, None, 5)]
+    notes = spark.createDataFrame(rows, schemas.NOTES).repartition(7)
+    files.write_stores(notes, f"{tmp_path}/stores", most=1000)
+    stores = list(tmp_path.glob("stores/*/*/*.txt"))
+    assert len({p.parent for p in stores if "=one" in str(p)}) > 5 and len({p.parent for p in stores}) == len(stores)
+    assert max(p.stat().st_size for p in stores) < 1500
+    found, rejects = files.scan_notes(spark, f"{tmp_path}/stores/*/*/*.txt")
+    want = [(f"project_id={p}", f"{p}{i}", f"{i} \u00e9" * 20, i) for p in ("one", "two") for i in range(120)] + [("project_id=small", "k", "", 0)]
+    assert sorted((r.project_id, r.key, r.value, r.position) for r in found.collect()) == sorted(want) and rejects.count() == 0
+    for first, keys in ((0, "ab"), (2, "c")):
+        (tmp_path / "p" / ".store" / f"from={first}").mkdir(parents=True)
+        (tmp_path / "p" / ".store" / f"from={first}" / "notes.json").write_text(json.dumps([{"key": k} for k in keys]))
+    found, _ = files.scan_notes(spark, f"{tmp_path}/p/.store/*/notes.json")
+    assert sorted((r.project_id, r.key, r.position) for r in found.collect()) == [("p", "a", 0), ("p", "b", 1), ("p", "c", 2)]
+
+
 def test_lines(spark):
     status = spark.createDataFrame([("p", " M f.txt"), ("p", "?? a b.md"), ("p", ""), ("p", "D  x")], "project_id string, line string")
     assert [(r.status, r.file) for r in lines.parse_status(status).collect()] == [("M", "f.txt"), ("??", "a b.md"), ("D", "x")]
