@@ -4,10 +4,17 @@ Both take a key's events in the order of time within a micro-batch, and expect
 micro-batches in that order; events older than what a key has seen are late:
 they don't change it, and the fold counts them. Gate state holds one date a
 session; fold state holds the live notes.
+
+Spark hands over a key's rows in chunks without order. Both go through the
+chunks twice, once for what decides (the last forget and replace; the first
+onboarding of each day) and once for the rest, with one chunk in memory; chunks
+wait in a temporary file of the task in between.
 """
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +28,35 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 NOTE_OUT = "project_id STRING, key STRING, value STRING, tags ARRAY<STRING>, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ, position BIGINT, live BOOLEAN, late BIGINT"
 
 
+class Chunks:
+    """A key's chunks of rows for two passes: the first one's chunks, but for the very first, are kept in a temporary file for the second."""
+
+    def __init__(self, rows: Iterator[pd.DataFrame]):
+        self.rows, self.head, self.file = rows, None, None
+
+    def first(self) -> Iterator[pd.DataFrame]:
+        for chunk in self.rows:
+            if self.head is None:
+                self.head = chunk
+            else:
+                self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115
+                pickle.dump(chunk, self.file, pickle.HIGHEST_PROTOCOL)
+            yield chunk
+
+    def again(self) -> Iterator[pd.DataFrame]:
+        if self.head is None:
+            return
+        head, self.head = self.head, None
+        yield head
+        del head
+        if self.file:
+            with self.file as file:
+                end = file.tell()
+                file.seek(0)
+                while file.tell() < end:
+                    yield pickle.load(file)  # noqa: S301
+
+
 class NoteFold(StatefulProcessor):
     """Emits a key's note after each micro-batch that touches it; live is false once it is forgotten."""
 
@@ -30,21 +66,41 @@ class NoteFold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         state = self.note.get() if self.note.exists() else (None, [], None, None, None, False, 0, None, None)
         value, tags, created, updated, position, live, late, ts, seq = state
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        for e in events.itertuples(index=False):
-            if ts is not None and (e.ts, e.seq) < (pd.Timestamp(ts), seq):
-                late += 1
-                continue
-            ts, seq = e.ts, e.seq
-            if e.op == "forget":
-                value, tags, created, updated, position, live = None, [], None, None, None, False
-                continue
-            text = "" if e.value is None else e.value
-            value = f"{value}\n{text}" if live and e.op == "append" else text
-            given = [] if e.tags is None else [t for t in e.tags if t is not None]
-            tags = sorted({*(tags if live else []), *given})
-            created, position = (created, position) if live else (e.ts, e.seq)
-            updated, live = e.ts, True
+        start = None if ts is None else (pd.Timestamp(ts), seq)
+        chunks = Chunks(rows)
+        forget = replace = newest = None
+        for chunk in chunks.first():
+            for t, n, op in zip(chunk["ts"], chunk["seq"], chunk["op"], strict=True):
+                at = t, n
+                if start is not None and at < start:
+                    late += 1
+                    continue
+                newest = at if newest is None else max(newest, at)
+                if op == "forget":
+                    forget = at if forget is None else max(forget, at)
+                elif op == "replace":
+                    replace = at if replace is None else max(replace, at)
+        if newest is not None:
+            ts, seq = newest
+        if forget is not None:
+            value, tags, created, updated, position, live = None, [], None, None, None, False
+        whole = replace is not None and (forget is None or replace > forget)  # the value starts at the last replace
+        first, last, parts, given = None, None, [], set(tags)
+        for chunk in chunks.again():
+            for e in chunk.itertuples(index=False):
+                at = e.ts, e.seq
+                if e.op == "forget" or (start is not None and at < start) or (forget is not None and at < forget):
+                    continue
+                first = at if first is None else min(first, at)
+                last = at if last is None else max(last, at)
+                given.update(() if e.tags is None else (t for t in e.tags if t is not None))
+                if not whole or at >= replace:
+                    parts.append((*at, "" if e.value is None else e.value))
+        if first is not None:
+            joined = "\n".join(p[2] for p in sorted(parts, key=lambda p: p[:2]))
+            value = f"{value}\n{joined}" if live and not whole else joined
+            created, position = (created, position) if live else first
+            tags, updated, live = sorted(given), last[0], True
         plain = lambda t: None if t is None else pd.Timestamp(t).to_pydatetime()
         self.note.update((value, list(tags), plain(created), plain(updated), position, live, late, plain(ts), seq))
         yield pd.DataFrame({"project_id": [key[0]], "key": [key[1]], "value": [value], "tags": [list(tags)], "created_at": [created], "updated_at": [updated], "position": pd.array([position], "Int64"), "live": [live], "late": [late]})
@@ -69,16 +125,19 @@ class OnboardedDay(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         last = self.last.get()[0] if self.last.exists() else None
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        seen = []
-        for e in events.itertuples(index=False):
-            day = e.ts.date()
-            if e.marked and e.tool_name == self.onboard_tool and (last is None or day > last):
-                last = day
-            seen.append(last == day)
-        if last is not None:
-            self.last.update((last,))
-        yield events.assign(onboarded=seen)
+        chunks = Chunks(rows)
+        opened = {}  # the first onboarding of each day
+        for chunk in chunks.first():
+            found = chunk[chunk["marked"].astype(bool) & (chunk["tool_name"] == self.onboard_tool)]
+            for at in zip(found["ts"], found["event_id"], strict=True):
+                day = at[0].date()
+                if last is None or day > last:
+                    opened[day] = min(opened.get(day, at), at)
+        for chunk in chunks.again():
+            seen = [(day := at[0].date()) == last or (day in opened and at >= opened[day]) for at in zip(chunk["ts"], chunk["event_id"], strict=True)]
+            yield chunk.assign(onboarded=seen)
+        if opened:
+            self.last.update((max(opened),))
 
     def close(self) -> None:
         pass

@@ -1,8 +1,12 @@
 """Context assembly, checkpoints, the gate, sources and streams."""
 
 import datetime as dt
+import gc
 import json
+import random
+import weakref
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +174,81 @@ def test_fold_stream(spark, tmp_path):
     assert all(r.late == 0 for r in last)
 
 
+class Held:
+    """A handle with one state value in memory."""
+
+    def __init__(self, value=None):
+        self.value = value
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def in_chunks(rows, columns, size, alive):
+    """Frames of rows in a random order; alive: how many of them are held each time one more is asked for."""
+    frames, rows = weakref.WeakSet(), random.Random(5).sample(rows, len(rows))
+    for k in range(0, len(rows), size):
+        chunk = pd.DataFrame(rows[k : k + size], columns=columns)
+        frames.add(owner := Owner())
+        chunk.attrs["owner"] = owner
+        yield chunk
+        del chunk, owner
+        gc.collect()
+        alive.append(len(frames))
+
+
+class Owner:
+    """Lives as long as its frame."""
+
+    def __deepcopy__(self, memo):
+        return Owner()
+
+
+def test_stream_keys_are_never_whole_in_memory():
+    """One key with all events: many chunks without order, of which a few are held at a time, give what replaying does."""
+    rng, ops = random.Random(3), {"replace": 1, "append": 20, "forget": 1}
+    state, batches, late = Held(), [], 0
+    for batch in range(3):
+        events = [("p", "k", op, f"{batch}.{i}", [rng.choice("abc")], 400 * batch + i // 2, 400 * batch + i) for i, op in enumerate(rng.choices([*ops], ops.values(), k=400))]
+        batches += events
+        if batch == 2:
+            late = [("p", "k", "forget", None, None, 1, s) for s in range(7)]
+            events = events + late
+        alive, fold = [], processors.NoteFold()
+        fold.init(state)
+        rows = [(p, k, o, v, t, pd.Timestamp(DAY + dt.timedelta(minutes=m)), s) for p, k, o, v, t, m, s in events]
+        (out,) = fold.handleInputRows(("p", "k"), in_chunks(rows, ["project_id", "key", "op", "value", "tags", "ts", "seq"], 10, alive), None)
+        notes, _ = replay(batches)
+        n, r = notes.get(("p", "k")), out.iloc[0]
+        assert r.live == (n is not None) and max(alive) <= 3
+        if n:
+            assert (r.value, set(r.tags), r.created_at, r.updated_at, r.position) == (n["value"], n["tags"], n["created"], n["updated"], n["position"])
+    assert r.late == len(late)
+
+    rows = [("s", "p", rng.choice(["Edit"] * 99 + ["onboard"]), None, pd.Timestamp(DAY + dt.timedelta(minutes=10 * i)), i, True) for i in range(900)]
+    want, last = {}, DAY.date()
+    for r in rows:
+        last = r[4].date() if r[2] == "onboard" else last
+        want[r[5]] = last == r[4].date()
+    assert len(set(want.values())) == 2
+    alive, gates = [], processors.OnboardedDay("onboard")
+    gates.init(state := Held((DAY.date(),)))
+    got = {}
+    for chunk in gates.handleInputRows(("s",), in_chunks(rows, ["session_id", "project_id", "tool_name", "file_path", "ts", "event_id", "marked"], 10, alive), None):
+        assert len(chunk) <= 10
+        got |= dict(zip(chunk["event_id"], chunk["onboarded"], strict=True))
+    assert got == want and state.value == (last,) and max(alive) <= 3
+
+
 # sources
 
 
