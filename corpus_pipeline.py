@@ -47,10 +47,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at the rates that bring the domains of the labels table to their target weights.
 
     Targets take the clean domain whole, so its documents' rates are near 1 and
-    stay; others are thinned. No document is repeated.
+    stay; others are thinned. No document is repeated: rates are fitted under
+    the bound of 1, so that what is kept is what was fitted.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    fitted = mixing.fit_mix(docs, mixing.label_domains(labels), mixing.DOMAIN_WEIGHTS)
+    fitted = mixing.fit_mix(docs, mixing.label_domains(labels), mixing.DOMAIN_WEIGHTS, highest=1.0)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"))
     return mixing.apply_mix(row, fitted, id_col="_i", text_col="_t").where(F.col("copies") >= 1).select("_row.*")
 

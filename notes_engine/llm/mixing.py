@@ -33,6 +33,7 @@ class Mix:
     natural: tuple[float, ...]
     target: tuple[float, ...]
     reached: tuple[float, ...]
+    highest: float | None = None
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -54,8 +55,8 @@ def posteriors(text: Column, model: NgramModel) -> Column:
     return scored(F.coalesce(text, F.lit("")))
 
 
-def rate_after(posterior: Column, gradients: tuple[tuple[float, ...], ...]) -> Column:
-    """A document's rate after the given steps from 1: each goes against the gradient and is projected to 0 or more.
+def rate_after(posterior: Column, gradients: tuple[tuple[float, ...], ...], highest: float | None = None) -> Column:
+    """A document's rate after the given steps from 1: each goes against the gradient and is projected to 0 or more, and to highest or less if that is given.
 
     A step needs nothing but the document's posterior and one vector, so rates are never stored between steps.
     """
@@ -63,11 +64,12 @@ def rate_after(posterior: Column, gradients: tuple[tuple[float, ...], ...]) -> C
         return F.lit(1.0)
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in gradients])
     slope = lambda g: F.aggregate(F.zip_with(posterior, g, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - (slope(g) + RIDGE * (r - 1)) / (1 + RIDGE)))
+    step = lambda r, g: F.greatest(F.lit(0.0), r - (slope(g) + RIDGE * (r - 1)) / (1 + RIDGE))
+    return F.aggregate(steps, F.lit(1.0), step if highest is None else lambda r, g: F.least(F.lit(float(highest)), step(r, g)))
 
 
 def fit_mix(
-    docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], *, anchor: str | None = None, text_col: str = "text", id_col: str = "doc_id", size: Column | None = None, most: int = SAMPLE_PER_DOMAIN,
+    docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], *, anchor: str | None = None, text_col: str = "text", id_col: str = "doc_id", size: Column | None = None, most: int = SAMPLE_PER_DOMAIN, highest: float | None = None,
 ) -> Mix:
     """Rates under which the expected tokens of each domain come to their targets.
 
@@ -75,7 +77,7 @@ def fit_mix(
     of them and gives every document its posteriors p. With n a document's tokens
     (size; its words by default) and r its rate, the sum over domains of
     (sum of n p r - target)^2 / natural total, plus a ridge on r - 1, is
-    minimised over r >= 0; each step is one aggregate over (n, p) that brings one
+    minimised over r >= 0, and r <= highest where that is given; each step is one aggregate over (n, p) that brings one
     number a domain to the driver. Steps are scaled by n, so that rates depend
     on p alone.
 
@@ -104,8 +106,8 @@ def fit_mix(
     while len(gradients) < STEPS and np.abs(reached - target).max() > 0 and np.abs(reached - before).max() > TOLERANCE * natural.sum():
         before = reached
         gradients.append(tuple(np.divide(reached - target, natural, out=np.zeros(len(domains)), where=natural > 0).tolist()))
-        reached = totals(rate_after(F.col("p"), tuple(gradients)))
-    return Mix(domains, model, tuple(gradients), tuple(natural.tolist()), tuple(target.tolist()), tuple(reached.tolist()))
+        reached = totals(rate_after(F.col("p"), tuple(gradients), highest))
+    return Mix(domains, model, tuple(gradients), tuple(natural.tolist()), tuple(target.tolist()), tuple(reached.tolist()), highest)
 
 
 def apply_mix(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
@@ -116,7 +118,7 @@ def apply_mix(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", text_col: st
     ids pass through. Repeated rows are treated alike. Empty table: no rows.
     """
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rated = docs.withColumn("posterior", posteriors(F.col(text_col), mix.model)).withColumn("rate", rate_after(F.col("posterior"), mix.gradients))
+    rated = docs.withColumn("posterior", posteriors(F.col(text_col), mix.model)).withColumn("rate", rate_after(F.col("posterior"), mix.gradients, mix.highest))
     return rated.withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
