@@ -57,8 +57,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens at most."""
-    return pack(docs, with_ids=False)
+    """Pieces of documents in sequences of 2048 tokens at most, with their ids."""
+    return pack(docs)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mix), ("packing", packing)]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import corpus_pipeline as cp
 import pytest
@@ -71,3 +72,9 @@ def test_mixing_comes_to_the_fitted_totals(spark, sf_dir, monkeypatch):
         expected = sum(words[r.doc_id] * r.posterior[k] * r.rate for r in rows)
         assert expected == pytest.approx(mix.reached[k], rel=0.02, abs=1)
         assert abs(sum(words[r.doc_id] * r.posterior[k] for r in rows if r.doc_id in out) - mix.target[k]) < 0.15 * sum(mix.natural)
+
+
+def test_packing_has_the_ids(spark, sf_dir, make_docs):
+    docs = make_docs(["one two three", None, "word " * 5000])
+    pieces = cp.packing(spark, docs, sf_dir).collect()
+    assert all(len(p.ids) == p.length and p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in p.ids)) for p in pieces) and len(pieces) > 3
