@@ -35,12 +35,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similar shingle sets hold together, that with the smallest id; documents without words stay.
 
-    Ids are unique here: exact dedup left one row of repeated ones. Rows
-    without an id stay, as they can't be told apart.
+    Exact dedup leaves one row of equal texts, not of equal ids, so rows are
+    told apart by id and text. Of equal ids one is kept by its text's hash; rows
+    without an id come after all others.
     """
-    found = ngram_join(docs)
-    dropped = found.where((F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"))
+    row = row.withColumn("_h", F.xxhash64(F.coalesce("_t", F.lit(""))))
+    found = ngram_join(row.withColumn("_key", F.struct(F.col("_i").isNull().alias("none"), F.col("_i").alias("id"), F.col("_h").alias("tie"))), id_col="_key", text_col="_t")
+    dropped = found.where(F.col("_key") != F.col("component_id")).select(F.col("_key.id").alias("_di"), F.col("_key.tie").alias("_dh")).distinct()
+    return row.join(dropped, F.col("_i").eqNullSafe(F.col("_di")) & (F.col("_h") == F.col("_dh")), "left_anti").select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

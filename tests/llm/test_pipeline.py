@@ -78,3 +78,12 @@ def test_packing_has_the_ids(spark, sf_dir, make_docs):
     docs = make_docs(["one two three", None, "word " * 5000])
     pieces = cp.packing(spark, docs, sf_dir).collect()
     assert all(len(p.ids) == p.length and p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in p.ids)) for p in pieces) and len(pieces) > 3
+
+
+def test_near_tells_rows_of_one_id_apart(spark, sf_dir, clash):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng) for _ in range(4))
+    docs = clash([(1, a), (2, f"{a} end"), (2, b), (3, c), (3, f"{c} end"), (None, d), (None, f"{d} end"), (None, f"{a} fin"), (4, None)])
+    kept = [(r.doc_id, r.text) for r in cp.near(spark, docs, sf_dir).collect()]
+    assert len(kept) == 5 and {(1, a), (2, b), (4, None)} < set(kept)
+    assert {i for i, t in kept if t and t.startswith(c)} == {3} and {i for i, t in kept if t and t.startswith(d)} == {None}
