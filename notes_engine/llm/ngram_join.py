@@ -17,8 +17,8 @@ can be looked for in few of them:
   the other set misses of it, so some rare token or two frequent tokens of one
   class are shared, and are in the other prefix as well.
 - The number of classes follows the size of a set, so that combinations stay
-  in proportion to it. A set uses the classes for its own size and for the
-  largest size that can be similar to it; a pair meets in those of the larger.
+  in proportion to it. A set uses the classes for its own size, for the
+  largest size that can be similar to it, and for all bit lengths between; a pair meets in those of the larger.
 
 Candidates come from the sets that have a signature. In each group the first
 few members are compared to all others; the rest are compared only if the
@@ -136,7 +136,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     if len(rare) >= need:
         return rare[:need]
     found = [rare]
-    for tag in {n.bit_length(), (100 * n // percent).bit_length()}:
+    for tag in range(n.bit_length(), (100 * n // percent).bit_length() + 1):
         classes = max(1, (1 << (tag - 1)) // SET_PER_CLASS)
         kind = (_mix(often) % np.uint64(classes)).astype(np.int64)
         order = np.argsort(kind, kind="stable")

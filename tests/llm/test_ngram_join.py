@@ -115,3 +115,12 @@ def test_signatures_are_shared():
         frequent = frequent[rng.random(len(frequent)) < rng.choice([0, 0.3, 0.9, 1])]
         if len(y) and nj.similar(x, y) and not np.array_equal(x, y):
             assert np.intersect1d(nj.signatures(x, frequent), nj.signatures(y, frequent)).size
+
+
+@pytest.mark.parametrize("percent", [5, 30, 49, 80])
+def test_similar_sets_share_a_signature_at_any_percent(percent):
+    """Also where all tokens are frequent and sizes are several bit lengths apart."""
+    for n in range(2, 45):
+        for m in range(n, min(100 * n // percent, 300) + 1):
+            x, y = np.arange(1, n + 1, dtype=np.uint64), np.arange(1, m + 1, dtype=np.uint64)
+            assert len(np.intersect1d(nj.signatures(x, y, percent), nj.signatures(y, y, percent))), (n, m)
