@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ from notes_engine.streaming.processors import PROVIDER
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a new temporary folder only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A new temporary one where that is unset and all runs on one machine; else ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         found = f"file://{tempfile.mkdtemp(prefix='spark-notes-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
