@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notes_engine.llm.tokens import DEFAULT_VOCABULARY, encoder, in_groups
+from notes_engine.llm.tokens import DEFAULT_VOCABULARY, encoder, forget_pieces, in_groups
 
 #: What a cut costs, in tokens of padding: at a document's end, at a sentence's, and elsewhere; and what each sequence costs.
 CUT_COST = {"document": 0.0, "sentence": 2.0, "elsewhere": 24.0}
@@ -33,24 +33,27 @@ def best_cuts(places: list[int], costs: list[float], limit: int) -> list[int]:
     limit - places[k] + places[j], so that the least cost(j) + places[j] of a sliding window decides: a
     monotone queue holds it. Lengths that are powers of two need no padding; each is one more transition.
     """
-    n = len(places)
-    at = dict(zip(places, range(n), strict=True))
-    powers = [p for p in (1 << b for b in range(limit.bit_length())) if LEAST_POWER <= p <= limit]
+    n, at = len(places), np.asarray(places, np.int64)
+    where = np.full(at[-1] + 1, -1, np.int64)  # which place a token count is, if any
+    where[at] = np.arange(n)
+    powers = np.array([p for p in (1 << b for b in range(limit.bit_length())) if LEAST_POWER <= p <= limit], np.int64)
+    origin = at[:, None] - powers
+    origin = np.where(origin >= 0, where[np.maximum(origin, 0)], -1)
+    found = origin >= 0
+    bounds, exact = np.concatenate(([0], np.cumsum(found.sum(axis=1)))).tolist(), origin[found].tolist()
     cost, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])
-    find = at.get
     for k in range(1, n):
         p = places[k]
         while queue[0][1] < p - limit:
             queue.popleft()
         head = queue[0]
-        best, origin = head[0] + (limit - p), head[2]
-        for length in powers:
-            j = find(p - length)
-            if j is not None and cost[j] <= best:
-                best, origin = cost[j], j
+        best, chosen = head[0] + (limit - p), head[2]
+        for j in exact[bounds[k] : bounds[k + 1]]:
+            if cost[j] <= best:
+                best, chosen = cost[j], j
         best += costs[k] + SEQUENCE_COST
-        cost[k], back[k] = best, origin
+        cost[k], back[k] = best, chosen
         key = best + p
         while queue and queue[-1][0] >= key:
             queue.pop()
@@ -99,19 +102,18 @@ def pack(
         enc = encoder(vocabulary)
         ends = enc.sentence_ends()
         ends[end_id] = False
-        tail = np.array([end_id], "<u4")
         number = TaskContext.get().partitionId() << 33
-        names: list = []
+        names: list[pa.Array] = []
         held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         size = 0
-        kinds: pa.DataType | None = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal names, held, size, number
+            nonlocal names, held, sizes, size, number
             if not held:
                 return
             ids = np.concatenate(held)
-            lengths = np.array([len(x) for x in held], np.int64)
+            lengths = np.concatenate(sizes)
             stops = cut_part(lengths, ids, ends, limit)
             starts = np.concatenate(([0], np.cumsum(lengths)))
             begin = np.union1d(starts[:-1], np.concatenate(([0], stops[:-1])))
@@ -121,26 +123,28 @@ def pack(
             seq_start = np.concatenate(([0], stops))[seq]
             raw = memoryview(ids).cast("B")
             cols = [
-                pa.array(names, type=kinds).take(pa.array(doc)), pa.array(begin - starts[doc]), pa.array(end - begin),
+                pa.concat_arrays(names).take(pa.array(doc)), pa.array(begin - starts[doc]), pa.array(end - begin),
                 pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.int64()),
                 pa.array(lengths[doc]), pa.array(number + seq), pa.array(begin - seq_start),
             ]
             if with_ids:
                 cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
             number += len(stops)
-            names, held, size = [], [], 0
+            names, held, sizes, size = [], [], [], 0
             yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
         for batch in batches:
-            kinds = batch.schema.field(0).type
-            for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for key, ids in zip(keys, enc.encode(texts), strict=True):
-                    names.append(key)
-                    held.append(np.concatenate((ids, tail)))
-                    size += len(ids) + 1
-                    if size >= PART_TOKENS:
-                        yield from flush()
+            for part in in_groups(batch.column(1)):
+                keys, texts = (batch.column(c)[part] for c in range(2))
+                ids, lengths = enc.encode_all(texts, end_id)
+                names.append(keys)
+                held.append(ids)
+                sizes.append(lengths)
+                size += len(ids)
+                if size >= PART_TOKENS:
+                    yield from flush()
         yield from flush()
+        forget_pieces()
 
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(packed, out)
 

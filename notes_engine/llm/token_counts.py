@@ -6,20 +6,14 @@ import heapq
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.tokens import DEFAULT_VOCABULARY, Remembered, byte_level, cannot_cut, run_of
-
-
-def byte_symbols() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabulary files: visible Latin-1 ones for themselves, the others from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+from notes_engine.llm.tokens import DEFAULT_VOCABULARY, Pieces, Remembered, byte_level, byte_symbols, in_groups, run_of
 
 
 def count_merged(symbols: list[bytes], ranks: dict[tuple[bytes, bytes], int]) -> int:
@@ -66,28 +60,40 @@ class TokenCounter:
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.word = regex.compile(public_tokenizers.PATTERN)
         self.bytes = [bytes([b]) for b in range(256)]
-        self.words = Remembered(lambda word: count_merged([self.bytes[b] for b in word.encode()], self.ranks))
-        self.pieces = Remembered(lambda piece: None if cannot_cut(piece) else self.whole(" " + piece))
+        self.memory = Remembered(self._led)
+
+    def _merged(self, word: str) -> int:
+        return count_merged([self.bytes[b] for b in word.encode()], self.ranks)
 
-    def _word(self, word: str) -> int:
-        return self.words[word] if len(word) <= 64 else self.words.made(word)
+    def _led(self, words: list[str]) -> list[int]:
+        """The tokens of each word with what leads it, its own line end or else a blank. A blank and letters are one token of the pattern."""
+        return [self._merged(" " + w) if w.isalpha() else self.whole(w if w[0] == "\n" else " " + w) for w in words]
 
     def whole(self, text: str) -> int:
         """Tokens of a text that isn't cut into pieces first."""
         total, at = 0, 0
         for m in self.added.finditer(text) if self.added else ():
-            total += 1 + sum(map(self._word, self.word.findall(text, at, m.start())))
+            total += 1 + sum(map(self._merged, self.word.findall(text, at, m.start())))
             at = m.end()
-        return total + sum(map(self._word, self.word.findall(text, at)))
+        return total + sum(map(self._merged, self.word.findall(text, at)))
+
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text: each distinct piece is counted once, and added up at all its places. A sign after a word is one token."""
+        cut = Pieces(texts)
+        words = np.zeros(len(cut.words), np.int64)
+        plain = np.ones(len(words), bool)
+        plain[cut.word[cut.odd]] = False
+        words[plain] = self.memory.values([w for w, p in zip(cut.words, plain.tolist(), strict=True) if p])
+        there = (words[cut.word] + (cut.sign >= 0))[cut.codes]
+        there[cut.first] = 0
+        total = np.add.reduceat(there, cut.first) if len(texts) else np.zeros(0, np.int64)
+        total += np.fromiter(map(self.whole, cut.starts), np.int64, len(texts))
+        for k in np.flatnonzero(cut.whole).tolist():
+            total[k] = sum(map(self.whole, run_of(texts[k].as_py())))
+        return total
 
     def count(self, text: str) -> int:
-        first, *rest = text.split(" ")
-        try:
-            if rest and self.pieces[first] is None:
-                raise TypeError
-            return self.whole(first) + sum(map(self.pieces.__getitem__, rest))
-        except TypeError:  # some blank isn't alone
-            return sum(map(self.whole, run_of(text)))
+        return int(self.count_all(pa.array([text], pa.string()))[0])
 
 
 _counters: dict[str, TokenCounter] = {}
@@ -104,13 +110,14 @@ def count_tokens(docs: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY, limit
     n log n. Empty table: no rows.
     """
 
-    @F.pandas_udf("long")
-    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if vocabulary not in _counters:
             _counters[vocabulary] = TokenCounter(vocabulary)
         counter = _counters[vocabulary]
         for texts in batches:
-            yield pd.Series([counter.count(t) for t in texts], dtype="int64")
+            yield pa.array(np.concatenate([np.zeros(0, np.int64), *(counter.count_all(texts[group]) for group in in_groups(texts))]))
+        counter.memory.clear()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), counted(text).alias("n_tokens"))

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notes_engine.llm import pfor
-from notes_engine.llm.common import shared_dir
-from notes_engine.llm.tokens import DEFAULT_VOCABULARY, encoder, in_groups
+from notes_engine.llm.tokens import DEFAULT_VOCABULARY, encoder, forget_pieces, in_groups
+from notes_engine.streaming.runs import shared_dir
 
-#: A segment is closed after the document with which it reaches so many ids.
+#: A segment is closed after the group of documents with which it reaches so many ids.
 SEGMENT_IDS = 1 << 20
 
 
@@ -39,32 +39,32 @@ def write_token_files(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         part, segment, size = TaskContext.get().partitionId(), 0, 0
-        tail = np.array([end_id], "<u4")
-        names: list = []
+        names: list[pa.Array] = []
         held: list[np.ndarray] = []
-        kinds: pa.DataType = pa.null()
+        sizes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal names, held, size, segment
-            ids = np.concatenate(held)
-            cols = [
-                pa.array([part], pa.int64()), pa.array([segment], pa.int64()), pa.array([len(ids)], pa.int64()),
-                pa.array([names], pa.list_(kinds)), pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([pfor.encode(ids)], pa.binary()),
-            ]
-            names, held, size, segment = [], [], 0, segment + 1
+            nonlocal names, held, sizes, size, segment
+            ids, keys = np.concatenate(held), pa.concat_arrays(names)
+            lengths = pa.array(np.concatenate(sizes), pa.int64())
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            cols = [pa.array([part], pa.int64()), pa.array([segment], pa.int64()), pa.array([len(ids)], pa.int64()), one(keys), one(lengths), pa.array([pfor.encode(ids)], pa.binary())]
+            names, held, sizes, size, segment = [], [], [], 0, segment + 1
             return pa.RecordBatch.from_arrays(cols, names=["part", "segment", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            kinds = batch.schema.field(0).type
-            for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for key, ids in zip(keys, enc.encode(texts), strict=True):
-                    names.append(key)
-                    held.append(np.concatenate((ids, tail)))
-                    size += len(ids) + 1
-                    if size >= SEGMENT_IDS:
-                        yield flush()
+            for group in in_groups(batch.column(1)):
+                keys, texts = (batch.column(c)[group] for c in range(2))
+                ids, lengths = enc.encode_all(texts, end_id)
+                names.append(keys)
+                held.append(ids)
+                sizes.append(lengths)
+                size += len(ids)
+                if size >= SEGMENT_IDS:
+                    yield flush()
         if held:
             yield flush()
+        forget_pieces()
 
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
     ordered = rows.repartitionByRange("_id", "_tie").sortWithinPartitions("_id", "_tie").select("_id", "_text")

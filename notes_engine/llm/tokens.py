@@ -4,31 +4,59 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Pieces that a Python worker remembers at most; then it starts anew.
-CACHE_PIECES = 1_000_000
+#: Bytes of pieces and their values that a Python worker remembers at most, and the longest piece that is remembered.
+CACHE_BYTES = 120_000_000
+LONGEST_KEPT = 200
+#: What an entry takes besides its key and value.
+ENTRY_BYTES = 180
+#: Bytes of text that are worked on together.
+GROUP_BYTES = 2_000_000
 
 
-class Remembered(dict):
-    """key -> made(key), remembered in two generations of CACHE_PIECES / 2: when the newer is full the older is dropped, so what is used often stays."""
+class Remembered:
+    """Values of text pieces, made for many at once and remembered in two generations of CACHE_BYTES / 2: when the newer is full the older is dropped, so what is used often stays."""
 
-    def __init__(self, made: Callable[[str], object]):
-        super().__init__()
-        self.made, self.older = made, {}
+    def __init__(self, made: Callable[[list[str]], list], size: Callable[[object], int] = lambda value: 0):
+        self.made, self.size = made, size
+        self.clear()
 
-    def __missing__(self, key: str):
-        value = self.older[key] if key in self.older else self.made(key)
-        if len(self) >= CACHE_PIECES // 2:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def clear(self) -> None:
+        self.known, self.older, self.held = {}, {}, 0
+
+    def values(self, pieces: list[str]) -> list:
+        """The values of distinct pieces. Long pieces' values are made each time."""
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+        out = list(map(self.known.get, pieces))
+        for k in [k for k, v in enumerate(out) if v is None]:
+            out[k] = self.older.get(pieces[k])
+            if out[k] is not None:
+                self._keep(pieces[k], out[k])
+        new = [k for k, v in enumerate(out) if v is None]
+        for k, value in zip(new, self.made([pieces[k] for k in new]), strict=True):
+            out[k] = value
+            self._keep(pieces[k], value)
+        return out
+
+    def _keep(self, piece: str, value: object) -> None:
+        if len(piece) <= LONGEST_KEPT:
+            self.known[piece] = value
+            self.held += len(piece) + ENTRY_BYTES + self.size(value)
+
+
+#: White space as str.isspace() has it but for the line end, for Arrow's patterns.
+_SPACE = r"\t\f\r\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
+#: Signs that end a word, behind a letter or digit: there the vocabulary's pattern starts a token.
+SIGNS = ".,;:!?"
 
 
 def cannot_cut(piece: str) -> bool:
@@ -54,6 +82,13 @@ def run_of(text: str) -> Iterator[str]:
         yield open_part
 
 
+def byte_symbols() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabulary files: visible Latin-1 ones for themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 def byte_level(spec: dict) -> bool:
     """Whether a tokenizer file is plain byte-level BPE, to which run_of applies."""
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
@@ -62,6 +97,48 @@ def byte_level(spec: dict) -> bool:
     return plain and apart and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
 
+def listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+class Pieces:
+    """Texts cut at each blank and before each line end: distinct pieces, and for each place which one stands there; Arrow does both.
+
+    A line end between two characters that aren't white space is a token, so a
+    text can be cut there as at a blank that stands alone. A piece is a word and
+    a sign or none after it; distinct words are told apart once more.
+    """
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary
+        self.codes = coded.indices.to_numpy()
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        self.bounds = bounds - bounds[0]
+        self.first = self.bounds[:-1]
+        #: By piece: whether it has white space at its ends, but for a first line end, or nothing else; by text: whether such a piece is in it.
+        self.odd = pc.match_substring_regex(pieces, rf"^$|^[{_SPACE}]|^\n[\n{_SPACE}]|[\n{_SPACE}]$").to_numpy(zero_copy_only=False)
+        self.whole = np.logical_or.reduceat(self.odd[self.codes], self.first) & (np.diff(self.bounds) > 1) if len(texts) else np.zeros(0, bool)
+        trimmed = pc.utf8_rtrim(pieces, SIGNS)
+        signs = pc.subtract(pc.binary_length(pieces), pc.binary_length(trimmed)).to_numpy(zero_copy_only=False)
+        signed = (signs == 1) & pc.match_substring_regex(trimmed, r"[\p{L}\p{N}]$").to_numpy(zero_copy_only=False)
+        words = pc.if_else(pa.array(signed), trimmed, pieces).dictionary_encode()
+        self.words: list[str] = listed(words.dictionary)
+        #: By piece: its word, and the place of its sign in SIGNS, or -1.
+        self.word = words.indices.to_numpy()
+        self.sign = np.full(len(pieces), -1)
+        last = listed(pc.utf8_slice_codeunits(pieces.filter(pa.array(signed)), -1))
+        self.sign[signed] = [SIGNS.index(c) for c in last]
+        self.starts = listed(pieces.take(pa.array(self.codes[self.first])))
+
+
+def taken(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of pool that begin there and have these sizes, one after the other; and where each ends."""
+    stops = np.cumsum(sizes)
+    return pool[np.repeat(begins - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)], stops
+
+
 class Encoder:
     """Token ids as the tokenizers library gives them, without added tokens; pieces seen before come from memory."""
 
@@ -72,8 +149,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.in_pieces = byte_level(json.load(f))
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.memory = Remembered(self._led, len)
+        self.signs = self._ids(list(SIGNS))
+        self.letters = {b: c for c, b in byte_symbols().items()}
         added = {t.content: len(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()}
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.widths = np.array([added.get(x, len(x)) for x in names])  # bytes by id: byte-level names have one character each
@@ -86,43 +164,73 @@ class Encoder:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         return np.array([x.rstrip("\"')").endswith((".", "!", "?", "Ċ")) for x in names])
 
-    def _pieces(self, pieces: list[str], at_once: int = 2000) -> list[bytes]:
-        """The ids of " " + piece for each: many in one text, as they tokenize apart, and cut where the tokens' widths add up to them."""
-        out = []
-        groups = [pieces[k : k + at_once] for k in range(0, len(pieces), at_once)]
-        for group, raw in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+    def _led(self, words: list[str], at_once: int = 2000) -> list[bytes]:
+        """The ids of each word with what leads it, its own line end or else a blank.
+
+        Blanks and letters are one token of the pattern, so the library's merges
+        are asked directly. Others: many in one text, as they tokenize apart,
+        and cut where the tokens' widths add up to them.
+        """
+        out = [b""] * len(words)
+        letters = [k for k, w in enumerate(words) if w.isalpha()]
+        blank, merged = self.letters[32], self.tokenizer.model.tokenize
+        shown = " ".join([words[k] for k in letters]).encode().decode("latin-1").translate(self.letters).split(blank)
+        for k, w in zip(letters, shown, strict=False):
+            out[k] = array("I", [t.id for t in merged(blank + w)]).tobytes()
+        others = [k for k, w in enumerate(words) if not w.isalpha()]
+        for at in range(0, len(others), at_once):
+            group = others[at : at + at_once]
+            led = [words[k] if words[k][0] == "\n" else " " + words[k] for k in group]
+            raw = self._ids(["".join(led)])[0]
             ends = np.cumsum(self.widths[np.frombuffer(raw, "<u4")])
-            wanted = np.cumsum([1 + len(p.encode()) for p in group])
-            cuts = [0, *(4 * (np.searchsorted(ends, wanted) + 1)).tolist()]
-            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            cuts = [0, *(4 * (np.searchsorted(ends, np.cumsum([len(w.encode()) for w in led])) + 1)).tolist()]
+            for k, a, b in zip(group, cuts, cuts[1:], strict=False):
+                out[k] = raw[a:b]
         return out
 
+    def encode_all(self, texts: pa.Array, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; how many each has). tail: an id that is appended to each.
+
+        Each distinct piece is looked up once; its ids are then copied to all
+        its places by one take. A text's first piece, or the whole text where a
+        blank isn't alone, is encoded by itself.
+        """
+        end = b"" if tail is None else np.array([tail], "<u4").tobytes()
+        if not self.in_pieces or not len(texts):
+            raw = [x + end for x in self._ids(texts.to_pylist())]
+            return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
+        cut = Pieces(texts)
+        words: list[bytes] = [b""] * len(cut.words)
+        plain = np.ones(len(words), bool)
+        plain[cut.word[cut.odd]] = False
+        at = np.flatnonzero(plain).tolist()
+        for k, raw in zip(at, self.memory.values([cut.words[k] for k in at]), strict=True):
+            words[k] = raw
+        own = self._ids(cut.starts)
+        for k in np.flatnonzero(cut.whole).tolist():
+            own[k] = b"".join(self._ids(list(run_of(texts[k].as_py()))))
+        # by piece: its word's ids, then its sign's
+        entries = [*words, *self.signs, b""]
+        sizes = np.array([*map(len, entries)], np.int64) // 4
+        parts = np.column_stack((cut.word, np.where(cut.sign < 0, len(entries) - 1, len(words) + cut.sign))).ravel()
+        ids, stops = taken(np.frombuffer(b"".join(entries), "<u4"), (np.cumsum(sizes) - sizes)[parts], sizes[parts])
+        stops = stops[1::2]
+        # by place: a piece; at a text's first place, what is its own; after its last, the tail
+        sizes = np.concatenate((np.diff(stops, prepend=0), np.array([*map(len, own), 0, len(end)], np.int64) // 4))
+        pool = np.concatenate((ids, np.frombuffer(b"".join([*own, end]), "<u4")))
+        entry = cut.codes.astype(np.int64)
+        if cut.whole.any():
+            entry[np.repeat(cut.whole, np.diff(cut.bounds))] = len(sizes) - 2
+        entry[cut.first] = len(stops) + np.arange(len(own))
+        bounds = cut.bounds[1:]
+        if tail is not None:
+            entry, bounds = np.insert(entry, bounds, len(sizes) - 1), bounds + np.arange(1, len(bounds) + 1)
+        ids, stops = taken(pool, (np.cumsum(sizes) - sizes)[entry], sizes[entry])
+        return ids, np.diff(stops[bounds - 1], prepend=0)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.in_pieces:
-            return [np.frombuffer(x, "<u4") for x in self._ids(texts)]
-        cut = [t.split(" ") for t in texts]
-        if len(self.known) >= CACHE_PIECES // 2:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = []
-        for p in set(chain.from_iterable(cut)).difference(known):
-            if p in older:
-                known[p] = older[p]
-            elif cannot_cut(p):
-                known[p] = None
-            else:
-                new.append(p)
-        known.update(zip(new, self._pieces(new), strict=True))
-        out = []
-        for text, pieces, start in zip(texts, cut, self._ids([p[0] for p in cut]), strict=True):
-            try:
-                if len(pieces) > 1 and known[pieces[0]] is None:
-                    raise TypeError
-                raw = start + b"".join(map(known.__getitem__, pieces[1:]))
-            except TypeError:  # some blank isn't alone
-                raw = b"".join(self._ids(list(run_of(text))))
-            out.append(np.frombuffer(raw, "<u4"))
-        return out
+        ids, lengths = self.encode_all(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(lengths)[:-1]) if texts else []
 
 
 _encoders: dict[str, Encoder] = {}
@@ -135,13 +243,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_groups(rows: list, texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
-    """rows and their texts in groups of about most_chars characters, so that memory follows the group and not the batch."""
-    start, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t) + 16
-        if size >= most_chars:
-            yield rows[start : k + 1], texts[start : k + 1]
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield rows[start:], texts[start:]
+def forget_pieces() -> None:
+    """Drops what this worker's encoders remember. A task does so at its end, as workers live longer than stages."""
+    for e in _encoders.values():
+        e.memory.clear()
+
+
+def in_groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[slice]:
+    """Slices of about most bytes of texts, so that memory follows the group and not the batch."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    start = 0
+    while start < len(ends):
+        reached = most + (ends[start - 1] if start else 0)
+        stop = min(len(ends), int(np.searchsorted(ends, reached)) + 1)
+        yield slice(start, stop)
+        start = stop
