@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notes_engine.streaming.runs import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space that parts words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,18 +45,20 @@ def running_sum(values: Column, block: int = 1024) -> Column:
     return F.when(F.size(values) == 0, zero).otherwise(F.aggregate(blocks, zero, lambda acc, b: F.concat(F.slice(acc, 1, F.size(acc) - 1), inner(b, F.element_at(acc, -1)))))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-notes-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back; a lost executor costs no recomputation of what is before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path  # for dropped()
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes stored() tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,15 +6,17 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import SPACE, stored, words_of
+from notes_engine.llm.common import stored
 from notes_engine.llm.ngram_model import NgramModel, fit_ngram_model, sample_by_class
+from notes_engine.llm.tokens import DEFAULT_VOCABULARY, encoder, forget_pieces, in_groups
 
-#: Labelled documents of each domain that the classifier is fitted on at most.
-SAMPLE_PER_DOMAIN = 4096
+#: Labelled documents of each domain that the classifier is fitted on at most, and the orders of its n-grams.
+SAMPLE_PER_DOMAIN = 2048
+ORDERS = (4, 6)
 STEPS = 30
 #: How strongly rates are held near 1, and the change of totals in a step, as a part of all tokens, at which steps end.
 RIDGE = 0.002
@@ -25,16 +27,20 @@ DOMAIN_WEIGHTS = {"clean": 0.97, "low_quality": 0.02, "toxic": 0.01}
 
 @dataclass(frozen=True)
 class Mix:
-    """A fitted mix: domains, the classifier, the gradient of each step, and totals of tokens by domain."""
+    """A fitted mix: domains, the gradient of each step, and totals of tokens by domain: as they are, wanted, and under the rates."""
 
     domains: tuple[str, ...]
-    model: NgramModel
     gradients: tuple[tuple[float, ...], ...]
     natural: tuple[float, ...]
     target: tuple[float, ...]
     reached: tuple[float, ...]
     highest: float | None = None
 
+    @property
+    def gap(self) -> float:
+        """The largest distance of a domain's total from its target, as a part of all tokens."""
+        return max((abs(r - t) for r, t in zip(self.reached, self.target, strict=True)), default=0.0) / max(sum(self.natural), 1.0)
+
 
 def label_domains(labels: DataFrame) -> DataFrame:
     """The labels table as (doc_id, domain): toxic before low_quality before clean; unlabelled rows are left out."""
@@ -42,90 +48,113 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).where("domain IS NOT NULL AND doc_id IS NOT NULL")
 
 
-def posteriors(text: Column, model: NgramModel) -> Column:
-    """array<double>: the domains' scores, divided by their sum."""
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], *, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_PER_DOMAIN) -> NgramModel:
+    """A classifier of the domains, learned from a bounded sample of labelled (id, domain): `most` of each, which are the side that is broadcast.
+
+    Of several labels of an id the last domain counts. Labels of no document,
+    null ids and unknown domains are not learned from. Null texts are empty. No
+    labels: all domains are equally likely.
+    """
+    number = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
+    known = labelled.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), number.alias("label")).where("label >= 0").groupBy("_id").agg(F.max("label").alias("label"))
+    ids = sample_by_class(known, id_col="_id", label_col="label", classes=len(domains), most=most)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id")
+    return fit_ngram_model(texts.select("text", "label", "weight"), len(domains), ORDERS)
+
+
+def with_posteriors(docs: DataFrame, model: NgramModel, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, seed: int = 0) -> DataFrame:
+    """docs with n_tokens, posterior (the domains' probabilities, in their order), and chance (0 to 1, by a hash of seed, id and text).
 
-    @F.pandas_udf("array<double>")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = model.scorer()
+    Columns of docs that have those names are replaced. One pass over the texts,
+    no shuffle. Null texts: as empty, without tokens. Very long texts: memory of
+    30 bytes a character. Null ids and repeated rows: alike for alike rows.
+    Empty table: no rows.
+    """
+
+    @F.arrow_udf("struct<n_tokens:long,posterior:array<double>>")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoder(vocabulary)
         for texts in batches:
-            s = score(texts.tolist())
-            yield pd.Series(list(s / s.sum(axis=1, keepdims=True)))
+            sizes, found = [np.zeros(0, np.int64)], [np.zeros((0, len(model.bias) + 1))]
+            for group in in_groups(texts):
+                sizes.append(enc.encode_all(texts[group])[1])
+                found.append(model.probabilities(texts[group].to_pylist()))
+            p = np.concatenate(found)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(sizes)), lists], ["n_tokens", "posterior"])
+        forget_pieces()
 
-    return scored(F.coalesce(text, F.lit("")))
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    new = docs.withColumns({"chance": chance, "_told": told(F.coalesce(F.col(text_col), F.lit("")))})
+    return new.withColumns({"n_tokens": F.col("_told.n_tokens"), "posterior": F.col("_told.posterior")}).drop("_told")
 
 
-def rate_after(posterior: Column, gradients: tuple[tuple[float, ...], ...], highest: float | None = None) -> Column:
+def rate_after(gradients: tuple[tuple[float, ...], ...], highest: float | None = None) -> Column:
     """A document's rate after the given steps from 1: each goes against the gradient and is projected to 0 or more, and to highest or less if that is given.
 
     A step needs nothing but the document's posterior and one vector, so rates are never stored between steps.
     """
-    if not gradients:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in gradients])
-    slope = lambda g: F.aggregate(F.zip_with(posterior, g, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
-    step = lambda r, g: F.greatest(F.lit(0.0), r - (slope(g) + RIDGE * (r - 1)) / (1 + RIDGE))
-    return F.aggregate(steps, F.lit(1.0), step if highest is None else lambda r, g: F.least(F.lit(float(highest)), step(r, g)))
+    rate = F.lit(1.0)
+    for g in gradients:
+        slope = sum((F.col("posterior")[k] * float(x) for k, x in enumerate(g)), F.lit(-RIDGE))
+        rate = F.greatest(F.lit(0.0), rate * (1 - RIDGE / (1 + RIDGE)) - slope / (1 + RIDGE))
+        rate = rate if highest is None else F.least(F.lit(float(highest)), rate)
+    return rate
 
 
-def fit_mix(
-    docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], *, anchor: str | None = None, text_col: str = "text", id_col: str = "doc_id", size: Column | None = None, most: int = SAMPLE_PER_DOMAIN, highest: float | None = None,
-) -> Mix:
+def fit_mix(scored: DataFrame, weights: Mapping[str, float], *, anchor: str | None = None, highest: float | None = None, steps: int = STEPS) -> Mix:
     """Rates under which the expected tokens of each domain come to their targets.
 
-    labelled: (id, domain). A classifier learns the domains from a bounded sample
-    of them and gives every document its posteriors p. With n a document's tokens
-    (size; its words by default) and r its rate, the sum over domains of
-    (sum of n p r - target)^2 / natural total, plus a ridge on r - 1, is
-    minimised over r >= 0, and r <= highest where that is given; each step is one aggregate over (n, p) that brings one
-    number a domain to the driver. Steps are scaled by n, so that rates depend
-    on p alone.
+    scored: with n_tokens and posterior, as from with_posteriors(), the
+    posteriors in the order of weights; best a written table, as each step reads
+    it. With n a document's tokens, p its posteriors and r its rate, the sum
+    over domains of (sum of n p r - target)^2 / natural total, plus a ridge on
+    r - 1, is minimised over r >= 0, and r <= highest where that is given; each
+    step is one aggregate over (n, p) that brings one number a domain to the
+    driver. Steps are scaled by n, so that rates depend on p alone. They end
+    when totals move no more, or after `steps`; Mix.gap tells how far they came.
 
     Targets: weights, of as many tokens as make anchor's target its natural total
     (default: the first domain), each at most its natural total, so that nothing
-    need be repeated. A domain without documents or labels stays at 0. Null
-    texts are empty and weigh nothing. Empty tables: no steps.
+    need be repeated. A domain without documents or labels stays at 0. Documents
+    that are equally likely to be of several domains count to each in that part.
+    Documents without tokens weigh nothing. Empty tables: no steps.
     """
     domains = tuple(weights)
-    number = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
-    known = labelled.select(id_col, number.alias("label")).where("label >= 0").groupBy(id_col).agg(F.max("label").alias("label"))
-    ids = sample_by_class(known, id_col=id_col, label_col="label", classes=len(domains), most=most)
-    model = fit_ngram_model(docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).select("text", "label", "weight"), len(domains))
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sizes = F.size(words_of(text, SPACE)) if size is None else size
-    table = stored(docs.select(sizes.cast("double").alias("n"), posteriors(text, model).alias("p")), "posteriors")
-    totals = lambda rate: np.array([x or 0.0 for x in table.agg(*[F.sum(F.col("n") * F.col("p")[k] * rate).alias(f"t{k}") for k in range(len(domains))]).first()])
+    def totals(rate: Column) -> np.ndarray:
+        one = scored.agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[k] * rate).alias(f"t{k}") for k in range(len(domains))]).first()
+        return np.array([x or 0.0 for x in one])
 
     natural = totals(F.lit(1.0))
     share = np.array([float(weights[d]) for d in domains])
-    whole = natural[domains.index(anchor or domains[0])] / max(share[domains.index(anchor or domains[0])], 1e-12)
-    target = np.minimum(share / max(share.sum(), 1e-12) * share.sum() * whole, natural)
+    place = domains.index(anchor or domains[0])
+    target = np.minimum(share * natural[place] / max(share[place], 1e-12), natural)
     gradients: list[tuple[float, ...]] = []
     before, reached = np.full(len(domains), np.inf), natural
-    while len(gradients) < STEPS and np.abs(reached - target).max() > 0 and np.abs(reached - before).max() > TOLERANCE * natural.sum():
+    while len(gradients) < steps and np.abs(reached - target).max() > 0 and np.abs(reached - before).max() > TOLERANCE * natural.sum():
         before = reached
         gradients.append(tuple(np.divide(reached - target, natural, out=np.zeros(len(domains)), where=natural > 0).tolist()))
-        reached = totals(rate_after(F.col("p"), tuple(gradients), highest))
-    return Mix(domains, model, tuple(gradients), tuple(natural.tolist()), tuple(target.tolist()), tuple(reached.tolist()), highest)
+        reached = totals(rate_after(tuple(gradients), highest))
+    return Mix(domains, tuple(gradients), tuple(natural.tolist()), tuple(target.tolist()), tuple(reached.tolist()), highest)
 
 
-def apply_mix(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """docs with posterior (array), rate, and copies: the rate rounded down, or up by chance in proportion to the rest.
+def apply_mix(scored: DataFrame, mix: Mix) -> DataFrame:
+    """scored (with posterior and chance) with rate, and copies: the rate rounded down, or up by chance in proportion to the rest.
 
-    Chance is a hash of (seed, id, text), so a document has the same copies each
-    time. Columns of docs that have those names are replaced. No shuffle. Null
-    ids pass through. Repeated rows are treated alike. Empty table: no rows.
+    A document has the same copies each time. Columns that have those names are
+    replaced. No shuffle. Repeated rows are treated alike. Empty table: no rows.
     """
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rated = docs.withColumn("posterior", posteriors(F.col(text_col), mix.model)).withColumn("rate", rate_after(F.col("posterior"), mix.gradients, mix.highest))
-    return rated.withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+    rated = scored.withColumn("rate", rate_after(mix.gradients, mix.highest))
+    return rated.withColumn("copies", (F.floor("rate") + F.when(F.col("chance") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents by the domains of the labels table: doc_id, source, domain (likeliest), posterior, rate, copies."""
+    """The mix of all documents by the domains of the labels table: doc_id, source, domain (likeliest, the first of equals), n_tokens, posterior, rate, copies, gap (of the whole mix)."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    mix = fit_mix(docs, label_domains(labels), DOMAIN_WEIGHTS)
+    model = fit_domains(docs, label_domains(labels), tuple(DOMAIN_WEIGHTS))
+    scored = stored(with_posteriors(docs.select("doc_id", "source", "text"), model).drop("text"), "posteriors")
+    mix = fit_mix(scored, DOMAIN_WEIGHTS)
     names = F.array(*[F.lit(d) for d in mix.domains])
-    out = apply_mix(docs, mix)
-    return out.select("doc_id", "source", F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1).alias("domain"), "posterior", "rate", "copies")
+    domain = F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
+    return apply_mix(scored, mix).select("doc_id", "source", domain.alias("domain"), "n_tokens", "posterior", "rate", "copies", F.lit(mix.gap).alias("gap"))

@@ -11,21 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import stored
+from notes_engine.llm.common import dropped, stored
 
 #: Orders of the n-grams, and the number of hash buckets (a power of two) that they fall into.
-ORDERS = (3, 4, 5, 6, 7, 8)
+ORDERS = (3, 4, 5, 6)
 BITS = 21
-#: Buckets that a model uses for each class at most, and in how many sampled documents one must be.
-FEATURES = 8000
-LEAST_DOCS = 4
-SMOOTHING = 1.0
-RIDGE = 5e-4
-STEPS = 250
-#: Sampled documents whose gradients are computed together.
-AT_ONCE = 512
-#: Tasks that read the sample; each sends one pair of counts a bucket and class to the driver.
-SAMPLE_TASKS = 4
+#: Documents added to each bucket's counts, divided as the classes are; and the standard errors by which a log-count ratio is drawn towards nought.
+SMOOTHING = 2.0
+ERRORS = 3.0
+STEPS = 150
+#: The power of the number of n-grams by which counts are divided: 0 sums up evidence, 1 averages it.
+LENGTH_POWER = 0.25
+#: Characters of the sample that one task fits on; the tasks' weights are averaged.
+SHARD_CHARS = 4_000_000
 
 
 def buckets_of(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
@@ -46,116 +44,145 @@ def buckets_of(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
 
 @dataclass(frozen=True)
 class NgramModel:
-    """One logistic score per class: bias + the weights of the buckets that a text has."""
+    """Log-odds of each class against the first: bias + the weights of all n-grams of a text, divided by a power of their number."""
 
-    buckets: np.ndarray  # (features,), ascending
-    weights: np.ndarray  # (features, classes)
-    bias: np.ndarray  # (classes,)
+    weights: np.ndarray  # (classes - 1, buckets), float32
+    bias: np.ndarray  # (classes - 1,)
     orders: tuple[int, ...] = ORDERS
 
-    def scorer(self):
-        """A function from texts to an array (texts, classes) of scores in 0..1."""
-        slot = np.full(1 << BITS, -1, np.int32)
-        slot[self.buckets] = np.arange(len(self.buckets), dtype=np.int32)
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        """(texts, classes)"""
+        odds = np.empty((len(texts), len(self.bias)))
+        for k, text in enumerate(texts):
+            b = buckets_of(text, self.orders)
+            odds[k] = [w[b].sum(dtype=np.float64) for w in self.weights]
+            odds[k] = self.bias + odds[k] / max(1, len(b)) ** LENGTH_POWER
+        return softmax(odds)
 
-        def score(texts: list[str]) -> np.ndarray:
-            sums = np.empty((len(texts), len(self.bias)))
-            for k, text in enumerate(texts):
-                s = slot[buckets_of(text, self.orders)]
-                sums[k] = self.bias + self.weights[np.unique(s[s >= 0])].sum(axis=0)
-            return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
 
-        return score
+def softmax(odds: np.ndarray) -> np.ndarray:
+    """(rows, classes) from log-odds against the first class."""
+    z = np.concatenate((np.zeros((len(odds), 1)), odds), axis=1)
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
-def _fit_logistic(bounds: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias over features scale[j] * (document has j), by accelerated gradient steps on the ridge-penalised loss.
+def _fit_shard(texts: list[str], label: np.ndarray, weight: np.ndarray, ratios: np.ndarray, bias: np.ndarray, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the buckets, and bias, by accelerated gradient steps on the softmax loss over features ratio * count / length^LENGTH_POWER.
 
-    Document k has the features cols[bounds[k]:bounds[k + 1]]. Each step adds up
-    the gradients of AT_ONCE documents at a time, so that memory stays small.
+    The step's size comes from the largest curvature at the start, which a few
+    power iterations find, and is halved where the loss grows; the number of
+    steps bounds the weights.
     """
-    n = len(y)
-    w, bias, m = np.zeros(len(scale)), float(np.log(max((weight * y).sum(), 1e-9) / max((weight * (1 - y)).sum(), 1e-9))), np.zeros(len(scale))
-    weight = weight / weight.sum()
-    v, mb, vb = np.zeros(len(scale)), 0.0, 0.0
-    for t in range(1, STEPS + 1):
-        g, gb, scaled = np.zeros(len(scale)), 0.0, scale * w
-        for a in range(0, n, AT_ONCE):
-            b = min(n, a + AT_ONCE)
-            c, r = cols[bounds[a] : bounds[b]], np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
-            z = np.bincount(r, scaled[c], b - a) + bias
-            d = weight[a:b] * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[a:b])
-            g += np.bincount(c, d[r], len(scale))
-            gb += d.sum()
-        g = g * scale + RIDGE * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        rate, fix, fix2 = 0.05, 1 - 0.9**t, 1 - 0.999**t
-        w -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-8)
-        bias -= rate * (mb / fix) / (np.sqrt(vb / fix2) + 1e-8)
-    return w * scale, bias
+    cols, values, bounds = [], [], [0]
+    for text in texts:
+        b, n = np.unique(buckets_of(text, orders), return_counts=True)
+        size = max(1, n.sum()) ** LENGTH_POWER
+        some = (ratios[:, b] != 0).any(axis=0)  # others have no weight
+        cols.append(b[some])
+        values.append((n[some] / size).astype(np.float32))
+        bounds.append(bounds[-1] + len(cols[-1]))
+    used, cols = np.unique(np.concatenate(cols), return_inverse=True)
+    values, rows, others, n = np.concatenate(values), np.repeat(np.arange(len(texts)), np.diff(bounds)), len(bias), len(texts)
+    scaled = [values * r[used][cols] for r in ratios]
+    wanted = (label[:, None] == np.arange(1, others + 1)).astype(float)
+    share = weight / weight.sum()
+    forward = lambda c, w: np.bincount(rows, scaled[c] * w[cols], n)
+    back = lambda c, d: np.bincount(cols, d[rows] * scaled[c], len(used))
+    curved = 0.0
+    for c in range(others):
+        spread = share * max((share * wanted[:, c]).sum() * (1 - (share * wanted[:, c]).sum()), 1e-3)
+        x = np.abs(back(c, share)) + 1e-12
+        for _ in range(6):
+            x /= np.linalg.norm(x)
+            x = back(c, spread * forward(c, x)) + 1e-12
+        curved = max(curved, float(np.linalg.norm(x)))
+    step = 1 / (curved + 0.25)
+    w, bias = np.zeros((others, len(used))), bias.astype(float)
+    ahead, bias_ahead, pace, before = w, bias, 1.0, np.inf
+    for _ in range(STEPS):
+        odds = np.stack([forward(c, ahead[c]) for c in range(others)], axis=1) + bias_ahead
+        p = softmax(odds)
+        loss = -(share * np.log(np.maximum(p[np.arange(n), label], 1e-12))).sum()
+        if loss > 1.02 * before:  # too far: go back, with smaller steps
+            step, ahead, bias_ahead, pace = step / 2, w, bias, 1.0
+            before = np.inf
+            continue
+        before = loss
+        off = share[:, None] * (p[:, 1:] - wanted)
+        to = ahead - step * np.stack([back(c, off[:, c]) for c in range(others)])
+        bias_to = bias_ahead - step * off.sum(axis=0)
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, bias_ahead = to + (pace - 1) / faster * (to - w), bias_to + (pace - 1) / faster * (bias_to - bias)
+        w, bias, pace = to, bias_to, faster
+    out = np.zeros_like(ratios)
+    out[:, used] = w * ratios[:, used]
+    return out, bias
+
+
+def _ratio(own: np.ndarray, own_docs: float, first: np.ndarray, first_docs: float) -> np.ndarray:
+    """Log-count ratios of a class to the first, by bucket: the bound, ERRORS standard errors from the estimate, that is nearer to nought."""
+    part = own_docs / max(own_docs + first_docs, 1)
+    if not 0 < part < 1:
+        return np.zeros(len(own), np.float32)
+    p, q = own.astype(np.float32) + np.float32(SMOOTHING * part), first.astype(np.float32) + np.float32(SMOOTHING * (1 - part))
+    ratio = np.log(p / np.float32(part)) - np.log(q / np.float32(1 - part))
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - np.float32(ERRORS) * np.sqrt(1 / p + 1 / q))
 
 
 def fit_ngram_model(sample: DataFrame, classes: int, orders: tuple[int, ...] = ORDERS) -> NgramModel:
-    """A model from a bounded sample (text, label, weight): one class against the rest, for each label 0 to classes - 1.
+    """A model from a bounded sample (text, label, weight), labels from 0 to classes - 1.
 
     weight: how many documents a sampled one stands for. First pass: in how many
-    documents of each class a bucket is, counted in SAMPLE_TASKS tasks. From
-    that the log-count ratios, and the buckets whose ratio is surest. Second
-    pass: which of them each document has. The weights are then fitted on the
-    driver; what it gets is bounded by the sample. Null texts: empty. No rows:
-    a model whose scores are all 0.5.
+    documents of each class a bucket is; from that, for all buckets, the
+    log-count ratio of each class to the first. Second pass: each task fits
+    weights on its part of the sample, of SHARD_CHARS or one text, and they are
+    averaged. What the driver gets is bounded by the sample: one compressed
+    vector a task and class. Null texts: empty. Very long texts: memory of a
+    task in proportion. No rows of some class: its probability is nought, or
+    where no class has rows, all are alike.
     """
-    rows = stored(sample.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"), F.col("weight").cast("double")).repartition(SAMPLE_TASKS), "sample")
+    none = NgramModel(np.zeros((classes - 1, 1 << BITS), np.float32), np.zeros(classes - 1), orders)
+    rows = stored(sample.select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"), F.col("weight").cast("double")), "sample")
+    told = {r.label: r for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum("weight").alias("weight"), F.sum(F.length("text")).alias("chars")).collect()}
+    if not told:
+        dropped(rows)
+        return none
+    docs = np.array([told[c].docs if c in told else 0 for c in range(classes)], float)
+    total = np.array([told[c].weight if c in told else 0.0 for c in range(classes)])
+    bias = np.log(np.maximum(total[1:], 1e-9) / max(total[0], 1e-9))
+    shards = max(4, -(-sum(r.chars for r in told.values()) // SHARD_CHARS))
+    dealt = rows.repartition(int(shards))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs = np.zeros((classes, 1 << BITS), np.int32), np.zeros(classes, np.int64)
+        counts = np.zeros((classes, 1 << BITS), np.int32)
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[label][np.unique(buckets_of(text, orders))] += 1
-                docs[label] += 1
-        if docs.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([docs.tobytes()], pa.binary())], names=["counts", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["counts"])
 
-    counts, docs = np.zeros((classes, 1 << BITS), np.int32), np.zeros(classes)
-    for r in rows.select("text", "label").mapInArrow(counted, "counts binary, docs binary").toLocalIterator():
+    counts = np.zeros((classes, 1 << BITS), np.int32)
+    for r in dealt.select("text", "label").mapInArrow(counted, "counts binary").collect():
         counts += np.frombuffer(zlib.decompress(r.counts), np.int32).reshape(classes, -1)
-        docs += np.frombuffer(r.docs, np.int64)
-    if not docs.sum():
-        return NgramModel(np.zeros(0, np.int32), np.zeros((0, classes)), np.zeros(classes), orders)
-    total = counts.sum(axis=0, dtype=np.int32)
-    seen = np.flatnonzero(total >= LEAST_DOCS)
-    ratios, picked = [], []
-    for c in range(classes):
-        p = counts[c][seen].astype(np.float32)
-        p, q = p + SMOOTHING, total[seen] - p + SMOOTHING
-        ratio = np.log(p / (docs[c] + 2 * SMOOTHING)) - np.log(q / (docs.sum() - docs[c] + 2 * SMOOTHING))
-        sure = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-        ratios.append(ratio)
-        picked.append(np.argsort(-sure, kind="stable")[:FEATURES])
-    chosen = np.unique(np.concatenate(picked))
-    buckets, scale = seen[chosen].astype(np.int32), np.array([r[chosen] for r in ratios], np.float64)
-    del counts, total, ratios, seen
-
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.full(1 << BITS, -1, np.int32)
-        slot[buckets] = np.arange(len(buckets), dtype=np.int32)
+    ratios = np.stack([_ratio(counts[c], docs[c], counts[0], docs[0]) for c in range(1, classes)])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, label, weight = [], [], []
         for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                s = slot[buckets_of(text, orders)]
-                found.append(np.unique(s[s >= 0]).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], names=["label", "weight", "features"])
-
-    label, weight, cols = [], [], []
-    for r in rows.mapInArrow(present, "label int, weight double, features binary").toLocalIterator():
-        label.append(r.label)
-        weight.append(r.weight)
-        cols.append(np.frombuffer(r.features, "<i4"))
-    label, weight = np.array(label), np.array(weight)
-    bounds, cols = np.concatenate(([0], np.cumsum([len(c) for c in cols]))), np.concatenate(cols)
-    fitted = [_fit_logistic(bounds, cols, scale[c], (label == c).astype(float), weight) for c in range(classes)]
-    return NgramModel(buckets, np.stack([w for w, _ in fitted], axis=1), np.array([b for _, b in fitted]), orders)
+            for held, column in zip((texts, label, weight), batch.columns, strict=True):
+                held += column.to_pylist()
+        if texts:
+            w, own = _fit_shard(texts, np.array(label), np.array(weight), ratios, bias, orders)
+            yield pa.RecordBatch.from_arrays([pa.array([len(texts)], pa.int64()), pa.array([zlib.compress(w.tobytes(), 1)], pa.binary()), pa.array([own.tobytes()], pa.binary())], names=["docs", "weights", "bias"])
+
+    del counts
+    weights, means, n = np.zeros((classes - 1, 1 << BITS)), np.zeros(classes - 1), 0
+    for r in dealt.mapInArrow(fitted, "docs long, weights binary, bias binary").collect():
+        weights += r.docs * np.frombuffer(zlib.decompress(r.weights), np.float32).reshape(classes - 1, -1)
+        means += r.docs * np.frombuffer(r.bias)
+        n += r.docs
+    dropped(rows)
+    return NgramModel((weights / n).astype(np.float32), means / n, orders)
 
 
 def sample_by_class(labelled: DataFrame, *, id_col: str, label_col: str, classes: int, most: int) -> DataFrame:
