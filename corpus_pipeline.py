@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notes_engine.llm import mixing, quality_rules
-from notes_engine.llm.common import shared_dir
+from notes_engine.llm.common import stored
 from notes_engine.llm.exact_dedup import keep_one
 from notes_engine.llm.ngram_join import ngram_join
 from notes_engine.llm.packing import pack
+from notes_engine.streaming.runs import shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the bound of 1, so that what is kept is what was fitted.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    fitted = mixing.fit_mix(docs, mixing.label_domains(labels), mixing.DOMAIN_WEIGHTS, highest=1.0)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"))
-    return mixing.apply_mix(row, fitted, id_col="_i", text_col="_t").where(F.col("copies") >= 1).select("_row.*")
+    model = mixing.fit_domains(row, mixing.label_domains(labels).withColumnRenamed("doc_id", "_i"), tuple(mixing.DOMAIN_WEIGHTS), id_col="_i", text_col="_t")
+    scored = stored(mixing.with_posteriors(row, model, id_col="_i", text_col="_t").select("_row", "n_tokens", "posterior", "chance"), "scored")
+    return mixing.apply_mix(scored, mixing.fit_mix(scored, mixing.DOMAIN_WEIGHTS, highest=1.0)).where(F.col("copies") >= 1).select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
