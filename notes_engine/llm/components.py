@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import stored
+from notes_engine.llm.common import dropped, stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for each node of links (x, y): label is the least node that x reaches.
+    """(node, label, and old, of no use) for each node of links (x, y): label is the least node that x reaches.
 
     Each round, every node takes the least of the labels next to it and of its
     label's label, so that chains halve; a table is written each round.
@@ -18,10 +18,12 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        lower = labels.join(near, "node").join(ahead, "label", "left").select("node", F.least("label", "near", F.coalesce("further", "label")).alias("label"), F.col("label").alias("old"))
-        lower = stored(lower, "labels")
-        labels = lower.select("node", "label")
-        if lower.where(F.col("label") != F.col("old")).isEmpty():
+        now = labels.select("node", "label")
+        near = both.join(now.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        ahead = now.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        lower = stored(now.join(near, "node").join(ahead, "label", "left").select("node", F.least("label", "near", F.coalesce("further", "label")).alias("label"), F.col("label").alias("old")), "labels")
+        dropped(labels)
+        labels = lower
+        if labels.where(F.col("label") != F.col("old")).isEmpty():
+            dropped(both)
             return labels

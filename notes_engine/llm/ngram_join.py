@@ -31,16 +31,19 @@ lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import stored
+from notes_engine.llm.common import dropped, stored
 from notes_engine.llm.components import components
+from notes_engine.llm.tokens import in_groups, listed
 
 #: Words in a shingle; similarity in hundredths.
 WORDS = 5
@@ -58,40 +61,56 @@ SET_PER_CLASS = 16
 LEADERS, GROWTH = 1, 16
 #: Bits of the short parity, by which members are told apart before they make a pair.
 SHORT_BITS = 1024
-CACHE_WORDS = 500_000
+#: 64-bit words of the table by which texts are sieved before they are sent anywhere: the bound of what is broadcast for it.
+MOST_SIEVE_WORDS = 1 << 19
 
 NODE = ("a", "b")
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        made = self[word] = xxhash.xxh64_intdigest(word)
-        return made
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-_words = _WordHashes()
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending; for 64-bit hashes faster than np.unique()."""
+    h = np.sort(h)
+    first = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
+    """Of each text, the hashes of its distinct shingles, ascending. Words: between ASCII white space, A-Z in lower case; fewer words than size are one shingle.
+
+    Arrow cuts and codes the words of about GROUP_BYTES of texts; each distinct word is hashed once.
+    """
+    for group in in_groups(texts):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[group]))
+        coded = lists.flatten().dictionary_encode()
+        words = listed(coded.dictionary)
+        codes, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        if "" in words:  # beside white space at a text's ends
+            there = codes != words.index("")
+            bounds = np.concatenate(([0], np.cumsum(there)))[bounds]
+            codes = codes[there]
+        w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[codes]
+        h = w[: max(0, len(w) - size + 1)].copy()  # at each word; those that reach into the next text aren't read
+        for k in range(1, size):
+            h = _mix(h) + w[k : k + len(h)]
+        h = _mix(h)
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            if b - a >= size:
+                yield _distinct(h[a : b - size + 1])
+            elif b > a:
+                yield np.array([xxhash.xxh64_intdigest(" ".join(words[c] for c in codes[a:b].tolist()), seed=b - a)], np.uint64)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
-    """Hashes of the distinct shingles, ascending. Words: between ASCII white space, A-Z in lower case; fewer words than size are one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = len(w) - size + 1
-    h = w[:n].copy()
-    for k in range(1, size):
-        h = _mix(h) + w[k : n + k]
-    return np.unique(_mix(h))
+    return next(shingle_sets(pa.array([text or ""], pa.string()), size))
 
 
 def node_of(tokens: np.ndarray) -> tuple[int, int]:
@@ -180,8 +199,7 @@ def _read_sets(docs: DataFrame, size: int) -> DataFrame:
 
         for batch in batches:
             kind, rows = batch.schema.field(0).type, []
-            for text in batch.column(2):
-                tokens = shingles(text.as_py(), size)
+            for tokens in shingle_sets(batch.column(2), size):
                 node = node_of(tokens)
                 rows.append((len(tokens), *node, parity(tokens), parity(tokens, SHORT_BITS)))
                 if node not in seen:
@@ -204,8 +222,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             sig, nodes = [], []
-            for text in batch.column(0):
-                tokens = shingles(text.as_py(), size)
+            for tokens in shingle_sets(batch.column(0), size):
                 if len(tokens) and (node := node_of(tokens)) not in seen:
                     seen.add(node)
                     found = signatures(tokens, frequent, percent)
@@ -228,7 +245,8 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
     partition is read once; of each group only the first members are remembered.
     first: this row is a pair of a first member (a2, b2) and a later one of
     another component whose sizes and parities allow a link; else it is a member
-    that isn't among the first and is compared with the others in a later round.
+    that isn't among the first and is compared with the others in a later round
+    (a2, b2, n2 are null); one alone has no others and is left out.
     """
     names = ["first", "sig", "a", "b", "n", "a2", "b2", "n2"]
     words = SHORT_BITS // 64
@@ -243,6 +261,8 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
         empty = np.zeros((5, 0), np.int64), np.zeros((0, words * by_parity), np.uint64)
         kept, kept_bits = empty  # the first members of the group that is open
         length, last = 0, None  # of that group; its last member
+        waiting = None  # its first member that isn't among the first, as long as it is alone
+        nothing = lambda n: [pa.nulls(n, pa.int64())] * 3
         for batch in batches:
             rows, bits = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]), parities(batch)
             before = np.concatenate(([[*last]] if last is not None else [[rows[0, 0] ^ 1, 0, 0]], rows[:3].T[:-1]))
@@ -252,7 +272,7 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
                 continue
             last = rows[:3, -1]
             if not kept.shape[1] or kept[0, 0] != rows[0, 0]:
-                (kept, kept_bits), length = empty, 0
+                (kept, kept_bits), length, waiting = empty, 0, None
             old = kept.shape[1]
             rows, bits = np.concatenate((kept, rows), axis=1), np.concatenate((kept_bits, bits))
             begins = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
@@ -277,9 +297,15 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
                     i, j = i[good], j[good]
                 if len(i):
                     yield _batch(names, np.ones(len(i), bool), *rows[:4, i], *rows[1:4, j])
-            i = np.flatnonzero((place >= leaders) & new)
+            members = sizes + np.where(np.arange(len(sizes)) == 0, length - old, 0)
+            alone = members == leaders + 1
+            i = np.flatnonzero((place >= leaders) & new & ~np.repeat(alone, sizes))
+            if waiting is not None and not alone[0]:
+                yield _batch(names, np.zeros(1, bool), *waiting[:4, None], *nothing(1))
+                waiting = None
             if len(i):
-                yield _batch(names, np.zeros(len(i), bool), *rows[:4, i], *rows[1:4, i])
+                yield _batch(names, np.zeros(len(i), bool), *rows[:4, i], *nothing(len(i)))
+            waiting = rows[:, -1] if alone[-1] else None
             keep = slice(begins[-1], begins[-1] + min(leaders, sizes[-1]))
             kept, kept_bits, length = rows[:, keep], bits[keep], int(place[-1]) + 1
 
@@ -305,17 +331,44 @@ def _second(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col(column).alias(f"{column}2"))
 
 
+def _sieved(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose (_id, _tie) may be among keys' (_key, _key_tie), without a shuffle of docs.
+
+    Keys' hashes set bits in a table of words, at most MOST_SIEVE_WORDS, that is
+    broadcast. Rows that it lets through in error are for a join to take out;
+    the more keys, the more they are, up to all.
+    """
+    words = min(MOST_SIEVE_WORDS, 1 << max(0, keys.count() - 1).bit_length())
+    place = lambda h: (F.pmod(h, F.lit(words)).cast("int"), F.shiftrightunsigned(h, 58).cast("int"))
+    word, bit = place(F.xxhash64("_key", "_key_tie"))
+    table = keys.select(word.alias("_word"), F.expr("1L").alias("_one"), bit.alias("_bit")).select("_word", F.expr("shiftleft(_one, _bit)").alias("_set"))
+    table = table.groupBy("_word").agg(F.bit_or("_set").alias("_bits"))
+    word, bit = place(F.xxhash64("_id", "_tie"))
+    marked = docs.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word")
+    return marked.where(F.expr("shiftrightunsigned(_bits, _bit) & 1L") != 0).select(docs.columns)
+
+
 def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(a, b, tokens) of the wanted sets (a, b), made anew from one text of each. nodes: (a, b, _id, _tie); docs: (_id, _tie, _text)."""
+    """(a, b, tokens) of the wanted sets (a, b), written, made anew from one text of each (a row that is repeated may give more). nodes: (a, b, _id, _tie); docs: (_id, _tie, _text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            found = [shingles(t.as_py(), size).tobytes() for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.binary())], names=["a", "b", "tokens"])
+            keep = []
+            for k, node in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                if node not in seen:
+                    seen.add(node)
+                    keep.append(k)
+            if len(seen) > 200_000:
+                seen.clear()
+            a, b, texts = (batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b", "_text"))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array([t.tobytes() for t in shingle_sets(texts, size)], pa.binary())], names=["a", "b", "tokens"])
 
-    keys = wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie"))
-    texts = docs.join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
-    return texts.mapInArrow(sets, "a long, b long, tokens binary").groupBy("a", "b").agg(F.first("tokens").alias("tokens"))
+    keys = stored(wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie")), "keys")
+    texts = _sieved(docs, keys).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
+    made = stored(texts.mapInArrow(sets, "a long, b long, tokens binary"), "tokens")
+    dropped(keys)
+    return made
 
 
 def _verified(likely: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -353,28 +406,31 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
     nodes = stored(nodes.select("a", "b", "n", "parity", "short", F.col("r.id").alias("_id"), F.col("r.tie").alias("_tie")), "nodes")
 
     left = _postings(rows, frequent, size, percent).withColumn("c", F.xxhash64("a", "b"))
-    links, reached, tokens, leaders = None, None, None, LEADERS
+    found, reached, leaders = [], None, LEADERS
     while True:
         made = stored(_pairs(left, leaders, percent), "pairs")
         pairs = made.where("first").select("a", "b", "n", "a2", "b2", "n2").distinct()
         likely = stored(_likely(pairs, nodes, percent), "likely")
-        if links is None:  # the first round's pairs; later ones are all of sets that are left after it
-            ends = likely.select("a", "b").union(likely.select("a2", "b2"))
-            tokens = stored(_token_sets(ends, nodes, rows, size), "tokens")
-        found = stored(_verified(likely, tokens, percent), "found")
-        links = found if links is None else links.union(found)
+        tokens = _token_sets(likely.select("a", "b").union(likely.select("a2", "b2")), nodes, rows, size)
+        found.append(stored(_verified(likely, tokens, percent), "found"))
+        dropped(likely, tokens)
+        dropped(reached)
         node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-        reached = components(links.select(node("a", "b").alias("x"), node("a2", "b2").alias("y"))).select("node.a", "node.b", "label")
+        links = reduce(DataFrame.union, found)
+        reached = components(links.select(node("a", "b").alias("x"), node("a2", "b2").alias("y")))
+        labels = reached.select("node.a", "node.b", "label")
         # What is left: groups whose members, without those compared to all, lie in several components.
-        rest = made.where(~F.col("first")).select("sig", "a", "b", "n").join(reached, ["a", "b"], "left")
-        rest = rest.select("sig", "a", "b", "n", F.when(F.col("label").isNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("label.a", "label.b")).alias("c"))
+        rest = made.where(~F.col("first")).select("sig", "a", "b", "n").join(labels, ["a", "b"], "left")
+        rest = stored(rest.select("sig", "a", "b", "n", F.when(F.col("label").isNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("label.a", "label.b")).alias("c")), "rest")
+        dropped(made, left)
         open_groups = rest.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
         left = stored(rest.join(open_groups, "sig", "left_semi").join(nodes.select("a", "b", "short"), ["a", "b"]), "left")
+        dropped(rest)
         if left.isEmpty():
             break
-        if leaders == LEADERS:
-            tokens = stored(_token_sets(left.select("a", "b"), nodes, rows, size), "tokens")
         leaders *= GROWTH
+    dropped(left, *found)
+    reached = reached.select("node.a", "node.b", "label")
     named = nodes.join(reached, ["a", "b"], "left").select("a", "b", "_id", F.coalesce("label", F.struct("a", "b")).alias("label"))
     least_id = named.groupBy("label").agg(F.min("_id").alias("component_id"))
     classes = named.join(least_id, "label").select("a", "b", F.col("_id").alias("class_id"), "component_id")
