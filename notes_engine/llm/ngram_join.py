@@ -348,31 +348,19 @@ def _sieved(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return marked.where(F.expr("shiftrightunsigned(_bits, _bit) & 1L") != 0).select(docs.columns)
 
 
-def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(a, b, tokens) of the wanted sets (a, b), written, made anew from one text of each (a row that is repeated may give more). nodes: (a, b, _id, _tie); docs: (_id, _tie, _text)."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b, a2, b2) whose sets are similar, written. nodes: (a, b, _id, _tie); docs: (_id, _tie, _text).
+
+    Sets are made anew from one text each: for a pair's first set a row that
+    goes to the second, for each second set a row of its own (a2 is null). A row
+    of docs that is repeated may give more; what stands twice does no harm.
+    """
+    schema = "a long, b long, a2 long, b2 long, tokens binary"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            keep = []
-            for k, node in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                if node not in seen:
-                    seen.add(node)
-                    keep.append(k)
-            if len(seen) > 200_000:
-                seen.clear()
-            a, b, texts = (batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b", "_text"))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array([t.tobytes() for t in shingle_sets(texts, size)], pa.binary())], names=["a", "b", "tokens"])
-
-    keys = stored(wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie")), "keys")
-    texts = _sieved(docs, keys).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
-    made = stored(texts.mapInArrow(sets, "a long, b long, tokens binary"), "tokens")
-    dropped(keys)
-    return made
-
-
-def _verified(likely: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, a2, b2) whose sets are similar."""
+            tokens = pa.array([t.tobytes() for t in shingle_sets(batch.column("_text"), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "a2", "b2")), tokens], names=["a", "b", "a2", "b2", "tokens"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,8 +368,23 @@ def _verified(likely: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
             good = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in p), percent) for p in zip(x, y, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b", "a2", "b2"])
 
-    both = likely.join(tokens, ["a", "b"]).join(_second(tokens, "tokens"), ["a2", "b2"])
-    return both.select("a", "b", "a2", "b2", "tokens", "tokens2").mapInArrow(compared, "a long, b long, a2 long, b2 long")
+    none = F.lit(None).cast("long")
+    wanted = pairs.select("a", "b", "a2", "b2").union(pairs.select("a2", "b2").distinct().select("a2", "b2", none, none))
+    keys = stored(wanted.join(nodes.select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie")), ["a", "b"]), "keys")
+    texts = _sieved(docs, keys).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "a2", "b2", "_text")
+    made = stored(texts.mapInArrow(sets, schema), "tokens")
+    second = made.where("a2 IS NULL").select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("tokens").alias("tokens2"))
+    both = made.where("a2 IS NOT NULL").join(second, ["a2", "b2"])
+    out = stored(both.select("a", "b", "a2", "b2", "tokens", "tokens2").mapInArrow(compared, "a long, b long, a2 long, b2 long"), "found")
+    dropped(keys, made)
+    return out
+
+
+def _thinned(found: DataFrame) -> DataFrame:
+    """Links (x, y) that hold the same sets together as found: each first set with the least of its second sets, and that with the others, which few are."""
+    node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    told = found.groupBy(node("a", "b").alias("x")).agg(F.min(node("a2", "b2")).alias("y"), F.collect_set(node("a2", "b2")).alias("others"))
+    return told.select("x", "y").union(told.select(F.explode("others").alias("x"), "y").where("x <> y").distinct())
 
 
 def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,19 +409,30 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
     nodes = stored(nodes.select("a", "b", "n", "parity", "short", F.col("r.id").alias("_id"), F.col("r.tie").alias("_tie")), "nodes")
 
     left = _postings(rows, frequent, size, percent).withColumn("c", F.xxhash64("a", "b"))
-    found, reached, leaders = [], None, LEADERS
+    links: list[DataFrame] = []
+    reached, leaders = None, LEADERS
+
+    def grown(pairs: DataFrame) -> DataFrame:
+        """The components with the similar ones of these pairs."""
+        found = _verified(pairs, nodes, rows, size, percent)
+        links.append(stored(_thinned(found), "links"))
+        dropped(found, reached)
+        return components(reduce(DataFrame.union, links))
+
     while True:
         made = stored(_pairs(left, leaders, percent), "pairs")
         pairs = made.where("first").select("a", "b", "n", "a2", "b2", "n2").distinct()
         likely = stored(_likely(pairs, nodes, percent), "likely")
-        tokens = _token_sets(likely.select("a", "b").union(likely.select("a2", "b2")), nodes, rows, size)
-        found.append(stored(_verified(likely, tokens, percent), "found"))
-        dropped(likely, tokens)
-        dropped(reached)
-        node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-        links = reduce(DataFrame.union, found)
-        reached = components(links.select(node("a", "b").alias("x"), node("a2", "b2").alias("y")))
+        # One pair of each set joins most that belong together; then the pairs that still lie apart.
+        one = likely.groupBy("a", "b").agg(F.min(F.struct("a2", "b2")).alias("m")).select("a", "b", "m.a2", "m.b2")
+        reached = grown(one)
         labels = reached.select("node.a", "node.b", "label")
+        placed = likely.join(labels, ["a", "b"], "left").join(_second(labels, "label"), ["a2", "b2"], "left")
+        apart = stored(placed.where("label IS NULL OR label2 IS NULL OR label <> label2").join(one, ["a", "b", "a2", "b2"], "left_anti").select("a", "b", "a2", "b2"), "apart")
+        if not apart.isEmpty():
+            reached = grown(apart)
+            labels = reached.select("node.a", "node.b", "label")
+        dropped(likely, apart)
         # What is left: groups whose members, without those compared to all, lie in several components.
         rest = made.where(~F.col("first")).select("sig", "a", "b", "n").join(labels, ["a", "b"], "left")
         rest = stored(rest.select("sig", "a", "b", "n", F.when(F.col("label").isNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("label.a", "label.b")).alias("c")), "rest")
@@ -429,8 +443,8 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
         if left.isEmpty():
             break
         leaders *= GROWTH
-    dropped(left, *found)
-    reached = reached.select("node.a", "node.b", "label")
+    dropped(left, *links)
+    reached = labels
     named = nodes.join(reached, ["a", "b"], "left").select("a", "b", "_id", F.coalesce("label", F.struct("a", "b")).alias("label"))
     least_id = named.groupBy("label").agg(F.min("_id").alias("component_id"))
     classes = named.join(least_id, "label").select("a", "b", F.col("_id").alias("class_id"), "component_id")
