@@ -50,7 +50,7 @@ WORDS = 5
 PERCENT = 80
 #: Tokens that a task counts together; those in this part of the sets counted (and in LEAST_LOCAL of them) may be frequent.
 COUNTED = 4_000_000
-SHARE = 1 / 1024
+SHARE = 1 / 2048
 LEAST_LOCAL = 3
 LEAST_FREQUENT = 12
 #: The most frequent tokens that the list holds; it is sent to each task.
@@ -60,7 +60,7 @@ SET_PER_CLASS = 16
 #: Members of a group that are compared to all others: in the first round, and by what it grows.
 LEADERS, GROWTH = 1, 16
 #: Bits of the short parity, by which members are told apart before they make a pair.
-SHORT_BITS = 1024
+SHORT_BITS = 512
 #: 64-bit words of the table by which texts are sieved before they are sent anywhere: the bound of what is broadcast for it.
 MOST_SIEVE_WORDS = 1 << 19
 
@@ -411,28 +411,16 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
     left = _postings(rows, frequent, size, percent).withColumn("c", F.xxhash64("a", "b"))
     links: list[DataFrame] = []
     reached, leaders = None, LEADERS
-
-    def grown(pairs: DataFrame) -> DataFrame:
-        """The components with the similar ones of these pairs."""
-        found = _verified(pairs, nodes, rows, size, percent)
-        links.append(stored(_thinned(found), "links"))
-        dropped(found, reached)
-        return components(reduce(DataFrame.union, links))
-
     while True:
         made = stored(_pairs(left, leaders, percent), "pairs")
         pairs = made.where("first").select("a", "b", "n", "a2", "b2", "n2").distinct()
-        likely = stored(_likely(pairs, nodes, percent), "likely")
-        # One pair of each set joins most that belong together; then the pairs that still lie apart.
-        one = likely.groupBy("a", "b").agg(F.min(F.struct("a2", "b2")).alias("m")).select("a", "b", "m.a2", "m.b2")
-        reached = grown(one)
+        # Later rounds' pairs have been told apart by the short parity already.
+        likely = stored(_likely(pairs, nodes, percent) if leaders == LEADERS else pairs.select("a", "b", "a2", "b2"), "likely")
+        found = _verified(likely, nodes, rows, size, percent)
+        links.append(stored(_thinned(found), "links"))
+        dropped(likely, found, reached)
+        reached = components(reduce(DataFrame.union, links))
         labels = reached.select("node.a", "node.b", "label")
-        placed = likely.join(labels, ["a", "b"], "left").join(_second(labels, "label"), ["a2", "b2"], "left")
-        apart = stored(placed.where("label IS NULL OR label2 IS NULL OR label <> label2").join(one, ["a", "b", "a2", "b2"], "left_anti").select("a", "b", "a2", "b2"), "apart")
-        if not apart.isEmpty():
-            reached = grown(apart)
-            labels = reached.select("node.a", "node.b", "label")
-        dropped(likely, apart)
         # What is left: groups whose members, without those compared to all, lie in several components.
         rest = made.where(~F.col("first")).select("sig", "a", "b", "n").join(labels, ["a", "b"], "left")
         rest = stored(rest.select("sig", "a", "b", "n", F.when(F.col("label").isNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("label.a", "label.b")).alias("c")), "rest")

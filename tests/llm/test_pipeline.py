@@ -61,17 +61,16 @@ def test_stages_on_edges(spark, sf_dir, clash, make_docs):
 def test_mixing_comes_to_the_fitted_totals(spark, sf_dir, monkeypatch):
     """No rate is above 1, so the stage's rows are the fitted decision and its totals near those fitted and the targets."""
     fit, mixes = cp.mixing.fit_mix, []
-    monkeypatch.setattr(cp.mixing, "fit_mix", lambda *args, **options: mixes.append(fit(*args, **options)) or mixes[-1])
+    monkeypatch.setattr(cp.mixing, "fit_mix", lambda scored, *args, **options: mixes.append((scored, fit(scored, *args, **options))) or mixes[-1][1])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = {r.doc_id for r in cp.mix(spark, docs, sf_dir).collect()}
-    (mix,) = mixes
-    rows = cp.mixing.apply_mix(docs, mix).collect()
+    ((scored, mix),) = mixes
+    rows = cp.mixing.apply_mix(scored, mix).select("_row.doc_id", "n_tokens", "posterior", "rate", "copies").collect()
     assert max(r.rate for r in rows) <= 1 and {r.doc_id for r in rows if r.copies} == out
-    words = {r.doc_id: len((r.text or "").split()) for r in rows}
-    for k, natural in enumerate(mix.natural):
-        expected = sum(words[r.doc_id] * r.posterior[k] * r.rate for r in rows)
+    for k in range(len(mix.natural)):
+        expected = sum(r.n_tokens * r.posterior[k] * r.rate for r in rows)
         assert expected == pytest.approx(mix.reached[k], rel=0.02, abs=1)
-        assert abs(sum(words[r.doc_id] * r.posterior[k] for r in rows if r.doc_id in out) - mix.target[k]) < 0.15 * sum(mix.natural)
+        assert abs(sum(r.n_tokens * r.posterior[k] for r in rows if r.doc_id in out) - mix.target[k]) < 0.15 * sum(mix.natural)
 
 
 def test_packing_has_the_ids(spark, sf_dir, make_docs):
