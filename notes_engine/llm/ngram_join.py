@@ -60,7 +60,7 @@ SET_PER_CLASS = 16
 #: Members of a group that are compared to all others: in the first round, and by what it grows.
 LEADERS, GROWTH = 1, 16
 #: Bits of the short parity, by which members are told apart before they make a pair.
-SHORT_BITS = 512
+SHORT_BITS = 1024
 #: 64-bit words of the table by which texts are sieved before they are sent anywhere: the bound of what is broadcast for it.
 MOST_SIEVE_WORDS = 1 << 19
 
@@ -348,19 +348,31 @@ def _sieved(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return marked.where(F.expr("shiftrightunsigned(_bits, _bit) & 1L") != 0).select(docs.columns)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b, a2, b2) whose sets are similar, written. nodes: (a, b, _id, _tie); docs: (_id, _tie, _text).
-
-    Sets are made anew from one text each: for a pair's first set a row that
-    goes to the second, for each second set a row of its own (a2 is null). A row
-    of docs that is repeated may give more; what stands twice does no harm.
-    """
-    schema = "a long, b long, a2 long, b2 long, tokens binary"
+def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(a, b, tokens) of the wanted sets (a, b), written, made anew from one text of each (a row that is repeated may give more). nodes: (a, b, _id, _tie); docs: (_id, _tie, _text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            tokens = pa.array([t.tobytes() for t in shingle_sets(batch.column("_text"), size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "a2", "b2")), tokens], names=["a", "b", "a2", "b2", "tokens"])
+            keep = []
+            for k, node in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                if node not in seen:
+                    seen.add(node)
+                    keep.append(k)
+            if len(seen) > 200_000:
+                seen.clear()
+            a, b, texts = (batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b", "_text"))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array([t.tobytes() for t in shingle_sets(texts, size)], pa.binary())], names=["a", "b", "tokens"])
+
+    keys = stored(wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie")), "keys")
+    texts = _sieved(docs, keys).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
+    made = stored(texts.mapInArrow(sets, "a long, b long, tokens binary"), "tokens")
+    dropped(keys)
+    return made
+
+
+def _verified(likely: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, a2, b2) whose sets are similar."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,16 +380,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
             good = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in p), percent) for p in zip(x, y, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b", "a2", "b2"])
 
-    none = F.lit(None).cast("long")
-    wanted = pairs.select("a", "b", "a2", "b2").union(pairs.select("a2", "b2").distinct().select("a2", "b2", none, none))
-    keys = stored(wanted.join(nodes.select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie")), ["a", "b"]), "keys")
-    texts = _sieved(docs, keys).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "a2", "b2", "_text")
-    made = stored(texts.mapInArrow(sets, schema), "tokens")
-    second = made.where("a2 IS NULL").select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("tokens").alias("tokens2"))
-    both = made.where("a2 IS NOT NULL").join(second, ["a2", "b2"])
-    out = stored(both.select("a", "b", "a2", "b2", "tokens", "tokens2").mapInArrow(compared, "a long, b long, a2 long, b2 long"), "found")
-    dropped(keys, made)
-    return out
+    both = likely.join(tokens, ["a", "b"]).join(_second(tokens, "tokens"), ["a2", "b2"])
+    return both.select("a", "b", "a2", "b2", "tokens", "tokens2").mapInArrow(compared, "a long, b long, a2 long, b2 long")
 
 
 def _thinned(found: DataFrame) -> DataFrame:
@@ -414,11 +418,11 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
     while True:
         made = stored(_pairs(left, leaders, percent), "pairs")
         pairs = made.where("first").select("a", "b", "n", "a2", "b2", "n2").distinct()
-        # Later rounds' pairs have been told apart by the short parity already.
-        likely = stored(_likely(pairs, nodes, percent) if leaders == LEADERS else pairs.select("a", "b", "a2", "b2"), "likely")
-        found = _verified(likely, nodes, rows, size, percent)
+        likely = stored(_likely(pairs, nodes, percent), "likely")
+        tokens = _token_sets(likely.select("a", "b").union(likely.select("a2", "b2")), nodes, rows, size)
+        found = stored(_verified(likely, tokens, percent), "found")
         links.append(stored(_thinned(found), "links"))
-        dropped(likely, found, reached)
+        dropped(likely, tokens, found, reached)
         reached = components(reduce(DataFrame.union, links))
         labels = reached.select("node.a", "node.b", "label")
         # What is left: groups whose members, without those compared to all, lie in several components.
