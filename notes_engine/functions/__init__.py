@@ -28,11 +28,6 @@ def any_tag(tags: Column, wanted: Column) -> Column:
     return F.coalesce(F.arrays_overlap(tags, wanted), F.lit(False))
 
 
-def strip(s: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
-
-
 def without_prefix(s: Column, prefix: str) -> Column:
     return F.when(s.startswith(prefix), F.substr(s, F.lit(len(prefix) + 1))).otherwise(s)
 
