@@ -240,9 +240,9 @@ def _postings(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
 def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
     """Candidate pairs, and what is left for later: rows of (first, sig, a, b, n, a2, b2, n2).
 
-    postings: (sig, a, b, n, c), with c the node's component so far or its own,
-    and short, its short parity, or none in the first round. Sorted by sig, a
-    partition is read once; of each group only the first members are remembered.
+    postings: (sig, a, b, n), and after the first round c, the node's component
+    so far or its own, and short, its short parity. Sorted by sig, a partition
+    is read once; of each group only the first members are remembered.
     first: this row is a pair of a first member (a2, b2) and a later one of
     another component whose sizes and parities allow a link; else it is a member
     that isn't among the first and is compared with the others in a later round
@@ -251,6 +251,7 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
     names = ["first", "sig", "a", "b", "n", "a2", "b2", "n2"]
     words = SHORT_BITS // 64
     by_parity = "short" in postings.columns
+    columns = ["sig", "a", "b", "n", *["c"] * by_parity]
 
     def parities(batch: pa.RecordBatch) -> np.ndarray:
         if not by_parity:
@@ -258,13 +259,13 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
         return np.frombuffer(b"".join(batch.column("short").to_pylist()), np.uint64).reshape(-1, words)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros((5, 0), np.int64), np.zeros((0, words * by_parity), np.uint64)
+        empty = np.zeros((len(columns), 0), np.int64), np.zeros((0, words * by_parity), np.uint64)
         kept, kept_bits = empty  # the first members of the group that is open
         length, last = 0, None  # of that group; its last member
         waiting = None  # its first member that isn't among the first, as long as it is alone
         nothing = lambda n: [pa.nulls(n, pa.int64())] * 3
         for batch in batches:
-            rows, bits = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]), parities(batch)
+            rows, bits = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]), parities(batch)
             before = np.concatenate(([[*last]] if last is not None else [[rows[0, 0] ^ 1, 0, 0]], rows[:3].T[:-1]))
             fresh = (rows[:3].T != before).any(axis=1)  # not the same set from another task
             rows, bits = rows[:, fresh], bits[fresh]
@@ -288,7 +289,9 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
                     break
                 i, j = later, begin[later] + k
                 m, n = rows[3, i], rows[3, j]
-                good = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (rows[4, i] != rows[4, j])
+                good = 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+                if by_parity:
+                    good &= rows[4, i] != rows[4, j]
                 i, j = i[good], j[good]
                 if by_parity and len(i):
                     m = rows[3, i] + rows[3, j]
@@ -309,7 +312,7 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
             keep = slice(begins[-1], begins[-1] + min(leaders, sizes[-1]))
             kept, kept_bits, length = rows[:, keep], bits[keep], int(place[-1]) + 1
 
-    dealt = postings.select("sig", "a", "b", "n", "c", *["short"] * by_parity).repartition("sig").sortWithinPartitions("sig", "a", "b")
+    dealt = postings.select(*columns, *["short"] * by_parity).repartition("sig").sortWithinPartitions("sig", "a", "b")
     return dealt.mapInArrow(paired, "first boolean, sig long, a long, b long, n long, a2 long, b2 long, n2 long")
 
 
@@ -412,7 +415,7 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
     nodes = members.where("n > 0").groupBy("a", "b", "n").agg(one, F.first("parity").alias("parity"), F.first("short").alias("short"))
     nodes = stored(nodes.select("a", "b", "n", "parity", "short", F.col("r.id").alias("_id"), F.col("r.tie").alias("_tie")), "nodes")
 
-    left = _postings(rows, frequent, size, percent).withColumn("c", F.xxhash64("a", "b"))
+    left = _postings(rows, frequent, size, percent)
     links: list[DataFrame] = []
     reached, leaders = None, LEADERS
     while True:
