@@ -48,10 +48,9 @@ from notes_engine.llm.tokens import in_groups, listed
 #: Words in a shingle; similarity in hundredths.
 WORDS = 5
 PERCENT = 80
-#: Tokens that a task counts together; those in this part of the sets counted (and in LEAST_LOCAL of them) may be frequent.
+#: Tokens that a task counts together; those in LEAST_LOCAL of the sets counted may be frequent, and are if such counts add up to LEAST_FREQUENT.
 COUNTED = 4_000_000
-SHARE = 1 / 2048
-LEAST_LOCAL = 3
+LEAST_LOCAL = 2
 LEAST_FREQUENT = 12
 #: The most frequent tokens that the list holds; it is sent to each task.
 MOST_FREQUENT = 1 << 18
@@ -64,7 +63,8 @@ SHORT_BITS = 1024
 #: 64-bit words of the table by which texts are sieved before they are sent anywhere: the bound of what is broadcast for it.
 MOST_SIEVE_WORDS = 1 << 19
 
-NODE = ("a", "b")
+#: Pairs that a task remembers, so as not to make them again.
+PAIRS_KNOWN = 200_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -190,7 +190,7 @@ def _read_sets(docs: DataFrame, size: int) -> DataFrame:
         def frequent() -> Iterator[pa.RecordBatch]:
             if held:
                 token, times = np.unique(np.concatenate(held), return_counts=True)
-                some = times >= max(LEAST_LOCAL, SHARE * len(held))
+                some = times >= LEAST_LOCAL
                 k = int(some.sum())
                 none = lambda t: pa.nulls(k, t)
                 yield _batch(names, none(kind), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.binary()), token[some].view(np.int64), times[some])
@@ -262,6 +262,7 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
         empty = np.zeros((len(columns), 0), np.int64), np.zeros((0, words * by_parity), np.uint64)
         kept, kept_bits = empty  # the first members of the group that is open
         length, last = 0, None  # of that group; its last member
+        made: set[tuple[int, ...]] = set()
         waiting = None  # its first member that isn't among the first, as long as it is alone
         nothing = lambda n: [pa.nulls(n, pa.int64())] * 3
         for batch in batches:
@@ -298,8 +299,18 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
                     differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                     good = differ <= m - 2 * -(-percent * m // (100 + percent))
                     i, j = i[good], j[good]
+                # A pair that this task has just made needs no second row.
+                told = list(zip(*rows[1:3, i].tolist(), *rows[1:3, j].tolist(), strict=True))
+                new_pairs = []
+                for at, p in enumerate(told):
+                    if p not in made:
+                        made.add(p)
+                        new_pairs.append(at)
+                i, j = i[new_pairs], j[new_pairs]
                 if len(i):
                     yield _batch(names, np.ones(len(i), bool), *rows[:4, i], *rows[1:4, j])
+                if len(made) > PAIRS_KNOWN:
+                    made.clear()
             members = sizes + np.where(np.arange(len(sizes)) == 0, length - old, 0)
             alone = members == leaders + 1
             i = np.flatnonzero((place >= leaders) & new & ~np.repeat(alone, sizes))
@@ -408,8 +419,7 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_tie"), F.coalesce(text_col, F.lit("")).alias("_text"))
     read = _read_sets(rows, size)
     members = read.where("token IS NULL").select("_id", "_tie", "n", "a", "b", "parity", "short")
-    least = max(LEAST_FREQUENT, SHARE / 2 * members.count())
-    often = read.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT)
+    often = read.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST_FREQUENT).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT)
     frequent = np.sort(np.array([r.token for r in often.select("token").toLocalIterator()], np.int64).view(np.uint64))
     one = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie"))).alias("r")
     nodes = members.where("n > 0").groupBy("a", "b", "n").agg(one, F.first("parity").alias("parity"), F.first("short").alias("short"))
@@ -424,9 +434,12 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
         likely = stored(_likely(pairs, nodes, percent), "likely")
         tokens = _token_sets(likely.select("a", "b").union(likely.select("a2", "b2")), nodes, rows, size)
         found = stored(_verified(likely, tokens, percent), "found")
-        links.append(stored(_thinned(found), "links"))
-        dropped(likely, tokens, found, reached)
-        reached = components(reduce(DataFrame.union, links))
+        more = stored(_thinned(found), "links")
+        dropped(likely, tokens, found)
+        if reached is None or not more.isEmpty():
+            links.append(more)
+            dropped(reached)
+            reached = components(reduce(DataFrame.union, links))
         labels = reached.select("node.a", "node.b", "label")
         # What is left: groups whose members, without those compared to all, lie in several components.
         rest = made.where(~F.col("first")).select("sig", "a", "b", "n").join(labels, ["a", "b"], "left")

@@ -70,7 +70,6 @@ def test_frequent_tokens(clash, monkeypatch):
     """With nearly all tokens frequent, combinations must find every pair."""
     monkeypatch.setattr(nj, "LEAST_LOCAL", 1)
     monkeypatch.setattr(nj, "LEAST_FREQUENT", 2)
-    monkeypatch.setattr(nj, "SHARE", 0.0)
     docs = varied(random.Random(7))
     compare(clash(docs), docs)
 
