@@ -136,16 +136,18 @@ class CheckpointStore:
     def create(self, notes: DataFrame, message: str | None, *, tracked_only: bool = False, dry_run: bool = False, marker: str = MARKER) -> DataFrame:
         """Stores the notes of each project that has changes since its head: (project_id, checkpoint_id, message, n_changes, preview, error).
 
-        One message makes one checkpoint a project. dry_run writes nothing. With
+        One message makes one checkpoint a project; only the heads of projects
+        that got one move. Others have the error "no changes" and no id. preview:
+        the first PREVIEW changes by key. dry_run writes nothing. With
         tracked_only, new keys are neither counted nor stored.
         """
         if not message:
             raise ValueError("a checkpoint needs a message")
         last = self.head_notes()
         changes = change_set(last, notes, tracked_only=tracked_only)
-        number = F.row_number().over(Window.partitionBy("project_id").orderBy("key"))
-        first = F.collect_list(F.when(F.col("_n") <= PREVIEW, F.struct("key", "status"))).alias("preview")
-        counted = changes.withColumn("_n", number).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_changes"), first)
+        first = changes.withColumn("_n", F.row_number().over(Window.partitionBy("project_id").orderBy("key"))).where(F.col("_n") <= PREVIEW)
+        first = first.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("key", "status"))).alias("preview"))
+        counted = changes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_changes")).join(first, "project_id")
         token = uuid.uuid4().hex
         named = counted.withColumn("checkpoint_id", F.left(F.sha2(F.concat_ws("|", F.lit(token), "project_id"), 256), F.lit(8))).withColumn("message", F.lit(f"{marker}{message}"))
         projects = notes.select("project_id").union(last.select("project_id")).distinct()
@@ -161,11 +163,13 @@ class CheckpointStore:
         rows = named.join(heads, "project_id", "left").join(seq, "project_id", "left").select(
             "project_id", "checkpoint_id", "parent_id", (F.coalesce("_seq", F.lit(0)) + 1).alias("seq"), "message", "n_changes", F.current_timestamp().cast("timestamp_ntz").alias("created_at"),
         )
-        rows.write.mode("append").parquet(f"{self.path}/manifest")
-        made = self.manifest().where(F.col("checkpoint_id").isNotNull()).join(projects, "project_id", "left_semi")
-        newest = made.groupBy("project_id").agg(F.max_by("checkpoint_id", "seq").alias("checkpoint_id"), F.max_by("message", "seq").alias("message"), F.max_by("n_changes", "seq").alias("n_changes"))
-        self._move_heads(newest.where(F.col("message") == f"{marker}{message}"))
-        return newest
+        made = f"{self.path}/created/{token}"  # written once: later reads don't depend on the heads that move
+        report.join(rows.select("project_id", "parent_id", "seq", "created_at"), "project_id", "left").write.parquet(made)
+        told = self.spark.read.parquet(made)
+        new = told.where(F.col("error").isNull()).select(*[c.split()[0] for c in schemas.CHECKPOINTS.split(", ")])
+        new.write.mode("append").parquet(f"{self.path}/manifest")
+        self._move_heads(new)
+        return told.select("project_id", "checkpoint_id", "message", "n_changes", "preview", "error")
 
     def list(self, *, marker: str = MARKER) -> DataFrame:
         return list_checkpoints(self.manifest(), self.heads(), marker=marker)

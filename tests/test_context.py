@@ -97,6 +97,20 @@ def test_store_round_trip(spark, tmp_path):
     assert {r.value for r in kept.restore(back, "p", second).where("project_id = 'p'").collect()} == {"modified", "new"}
 
 
+def test_create_moves_only_heads_of_changed_projects(spark, tmp_path):
+    schema = "project_id string, key string, value string, tags array<string>, created_at timestamp_ntz, updated_at timestamp_ntz, position long"
+    notes = lambda **values: spark.createDataFrame([("p", k, v, [], None, None, 0) for k, v in values.items()], schema)
+    kept = checkpoints.CheckpointStore(spark, f"file://{tmp_path}/s")
+    one = kept.create(notes(a="1"), "one").first()
+    assert (one.n_changes, one.error, [tuple(x) for x in one.preview]) == (1, None, [("a", "A")])
+    two = kept.create(notes(**{f"k{n:02}": "x" for n in range(12)}), "two").first()
+    assert two.n_changes == 13 and [x.key for x in two.preview] == ["a", *(f"k{n:02}" for n in range(9))]
+    now = kept.restore(kept.head_notes(), "p", one.checkpoint_id)
+    again = kept.create(now, "two").first()  # nothing changed since "one"
+    assert (again.checkpoint_id, again.error) == (None, "no changes")
+    assert kept.heads().first().checkpoint_id == one.checkpoint_id and kept.manifest().count() == 2
+
+
 def test_list_leaves_out_unmarked(spark):
     m = checkpoints.MARKER
     rows = [("p", str(i), str(i - 1) if i else None, f"{m}cp {m}{i}" if i % 2 else "Another change") for i in range(60)]
