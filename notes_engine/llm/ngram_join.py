@@ -64,7 +64,7 @@ SHORT_BITS = 1024
 MOST_SIEVE_WORDS = 1 << 19
 
 #: Pairs that a task remembers, so as not to make them again.
-PAIRS_KNOWN = 200_000
+PAIRS_KNOWN = 50_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
