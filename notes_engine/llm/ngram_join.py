@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import dropped, stored
+from notes_engine.llm.common import SPACE, UPPER, dropped, stored
 from notes_engine.llm.components import components
 from notes_engine.llm.tokens import in_groups, listed
 
@@ -465,3 +465,28 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ngram_join() over all documents."""
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs of sets that share a shingle are counted, and labels spread along links: for small tables.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{SPACE}'), lambda x: x <> '') AS w FROM documents
+), t AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) >= {WORDS} THEN list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d
+), c AS (
+  SELECT doc_id, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM t
+), node AS (
+  SELECT class_id, len(s) AS n, unnest(s) AS x FROM c WHERE doc_id = class_id
+), link AS (
+  SELECT a.class_id AS p, b.class_id AS q FROM node a JOIN node b ON a.x = b.x AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))
+), reach AS (
+  SELECT DISTINCT class_id AS p, class_id AS label FROM c
+  UNION
+  SELECT link.q, reach.label FROM reach JOIN link ON link.p = reach.p WHERE reach.label < link.q
+), least AS (
+  SELECT p AS class_id, min(label) AS component_id FROM reach GROUP BY p
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, class_id, component_id FROM c JOIN least USING (class_id)
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_license_scan": license_scan.ORACLE_SQL,
+    "op5_ngram_join": ngram_join.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
