@@ -13,6 +13,8 @@ from notes_engine.streaming.runs import shared_dir
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space that parts words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+#: 64-bit words of the table by which rows are sieved before they are sent anywhere: the bound of what is broadcast for it.
+MOST_SIEVE_WORDS = 1 << 19
 
 
 def ascii_lower(text: Column) -> Column:
@@ -62,3 +64,25 @@ def dropped(*tables: DataFrame | None) -> None:
         if path:
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def marked(rows: DataFrame, row_hash: Column, keys: DataFrame, key_hash: Column, name: str = "_may") -> DataFrame:
+    """rows, with whether they may be among keys (a stored table), by 64-bit hashes, without a shuffle of rows.
+
+    Keys' hashes set bits in a table of words, at most MOST_SIEVE_WORDS, that is
+    broadcast. A row that isn't marked is not among keys; of those that are,
+    some are marked in error, the more keys, the more, up to all.
+    """
+    words = min(MOST_SIEVE_WORDS, 1 << max(0, keys.count() - 1).bit_length())
+    place = lambda h: (F.pmod(h, F.lit(words)).cast("int"), F.shiftrightunsigned(h, 58).cast("int"))
+    word, bit = place(key_hash)
+    table = keys.select(word.alias("_word"), F.expr("1L").alias("_one"), bit.alias("_bit")).select("_word", F.expr("shiftleft(_one, _bit)").alias("_set"))
+    table = table.groupBy("_word").agg(F.bit_or("_set").alias("_bits"))
+    word, bit = place(row_hash)
+    found = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word", "left")
+    return found.withColumn(name, F.coalesce(F.expr("shiftrightunsigned(_bits, _bit) & 1L") != 0, F.lit(False))).drop("_word", "_bit", "_bits")
+
+
+def sieved(rows: DataFrame, row_hash: Column, keys: DataFrame, key_hash: Column) -> DataFrame:
+    """The rows that marked() marks; those marked in error are for a join or a group to take out."""
+    return marked(rows, row_hash, keys, key_hash).where("_may").drop("_may")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import SPACE, UPPER, dropped, stored
+from notes_engine.llm.common import SPACE, UPPER, dropped, sieved, stored
 from notes_engine.llm.components import components
 from notes_engine.llm.tokens import in_groups, listed
 
@@ -60,9 +60,6 @@ SET_PER_CLASS = 16
 LEADERS, GROWTH = 1, 16
 #: Bits of the short parity, by which members are told apart before they make a pair.
 SHORT_BITS = 1024
-#: 64-bit words of the table by which texts are sieved before they are sent anywhere: the bound of what is broadcast for it.
-MOST_SIEVE_WORDS = 1 << 19
-
 #: Pairs that a task remembers, so as not to make them again.
 PAIRS_KNOWN = 50_000
 
@@ -345,23 +342,6 @@ def _second(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col(column).alias(f"{column}2"))
 
 
-def _sieved(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs whose (_id, _tie) may be among keys' (_key, _key_tie), without a shuffle of docs.
-
-    Keys' hashes set bits in a table of words, at most MOST_SIEVE_WORDS, that is
-    broadcast. Rows that it lets through in error are for a join to take out;
-    the more keys, the more they are, up to all.
-    """
-    words = min(MOST_SIEVE_WORDS, 1 << max(0, keys.count() - 1).bit_length())
-    place = lambda h: (F.pmod(h, F.lit(words)).cast("int"), F.shiftrightunsigned(h, 58).cast("int"))
-    word, bit = place(F.xxhash64("_key", "_key_tie"))
-    table = keys.select(word.alias("_word"), F.expr("1L").alias("_one"), bit.alias("_bit")).select("_word", F.expr("shiftleft(_one, _bit)").alias("_set"))
-    table = table.groupBy("_word").agg(F.bit_or("_set").alias("_bits"))
-    word, bit = place(F.xxhash64("_id", "_tie"))
-    marked = docs.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word")
-    return marked.where(F.expr("shiftrightunsigned(_bits, _bit) & 1L") != 0).select(docs.columns)
-
-
 def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(a, b, tokens) of the wanted sets (a, b), written, made anew from one text of each (a row that is repeated may give more). nodes: (a, b, _id, _tie); docs: (_id, _tie, _text)."""
 
@@ -379,7 +359,7 @@ def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int)
             yield pa.RecordBatch.from_arrays([a, b, pa.array([t.tobytes() for t in shingle_sets(texts, size)], pa.binary())], names=["a", "b", "tokens"])
 
     keys = stored(wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie")), "keys")
-    texts = _sieved(docs, keys).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
+    texts = sieved(docs, F.xxhash64("_id", "_tie"), keys, F.xxhash64("_key", "_key_tie")).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
     made = stored(texts.mapInArrow(sets, "a long, b long, tokens binary"), "tokens")
     dropped(keys)
     return made
