@@ -1,4 +1,4 @@
-"""Licence scans: a positional index of the rarest words of licence phrases, and a check of the phrases themselves."""
+"""Licence scans: each file's rarest licence words are looked up in a positional index of the wordings; key phrases are checked word by word."""
 
 from __future__ import annotations
 
@@ -40,22 +40,36 @@ def _phrase(label: str, text: str, key: str | None = None, base: bool = False) -
     return Template(label, text, key or text, base)
 
 
-#: Phrases of public licences, in lower case.
+#: Words of a template that are looked up in each file.
+LOOKED_UP = 2
+#: Wordings of public licences, in lower case.
 TEMPLATES = (
     _phrase("mit", "under the mit license", base=True),
     _phrase("apache-2", "apache license version 2", base=True),
     _phrase("cc-by-nc", "cc by nc", base=True),
-    _phrase("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
-    _phrase("apache-2", "you may not use this file except in compliance with the license", "except in compliance with the license"),
+    _phrase(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "hereby granted free of charge",
+    ),
+    _phrase("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
     _phrase("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    _phrase("gpl", "this program is free software you can redistribute it and or modify it", "you can redistribute it and or modify it"),
-    _phrase("lgpl", "gnu lesser general public license"),
-    _phrase("agpl", "gnu affero general public license"),
-    _phrase("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    _phrase("mpl-2", "mozilla public license version 2 0", "mozilla public license"),
-    _phrase("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution"),
-    _phrase("cc-by-sa", "cc by sa"),
-    _phrase("cc0", "cc0 1 0 universal"),
+    _phrase(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "you can redistribute it and or modify it",
+    ),
+    _phrase("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    _phrase("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    _phrase(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistribution and use in source and binary forms",
+    ),
+    _phrase("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    _phrase("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    _phrase("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    _phrase("cc0", "creative commons cc0 1 0 universal public domain dedication", "cc0 1 0 universal"),
     _phrase("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
     _phrase("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
@@ -69,55 +83,65 @@ def word_counts(docs: DataFrame, words: list[str], *, text_col: str = "text") ->
     return {w: 0 for w in ["", *words]} | {r["w"]: r["count"] for r in rows}
 
 
-def rarest(template: Template, counts: dict[str, int], n: int = 2) -> list[tuple[str, int]]:
-    """The n key words of the highest IDF, with their places in the template; the earlier of equals first."""
-    first = {w: template.key_at + template.key_words.index(w) for w in template.key_words}
-    return sorted(first.items(), key=lambda x: (counts.get(x[0], 0), x[1]))[:n]
-
-
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, and matches: array of (template, label, base, start, score).
 
     A first pass counts, over all documents, how rare each key word is. In the
-    second, a document's words that are among the rarest of some template give
-    postings; where the postings of a template's two rarest words agree on
-    where it would start, its key phrase is checked there word by word. start:
-    the template's first word, from 0 (below 0 where the text begins inside it);
-    score: the part of the template's words that stand where they should.
-
-    Every place of a key phrase is found, since its rarest words stand there. No
-    shuffle of texts. Null and empty text: no words, no matches. Null ids and
-    repeated rows pass through. Very long texts: time in proportion to their
-    words. Empty table: no rows.
+    second, a file's own licence words are put in order of IDF; of each template
+    whose key words it has, its LOOKED_UP rarest are looked up. Their postings
+    give where the template would start; where they agree, its key phrase is
+    checked word by word. start: the template's first word, from 0 (below 0
+    where the text begins inside it); score: the part of the template's words
+    that stand where they should, so a reworded licence with a whole key phrase
+    keeps its label and scores below 1.
+
+    Every place of a key phrase is found, since the words looked up stand there.
+    Ties: of equally rare words, the one that sorts first is looked up, which
+    changes no result. No shuffle of texts. Null and empty text: no words, no
+    matches. Null ids and repeated rows pass through. Further columns of docs
+    are not read. Very long texts: time in proportion to their words. Empty
+    table: no rows.
     """
-    counts = word_counts(docs, sorted({w for t in templates for w in t.key_words}), text_col=text_col)
-    chosen = [rarest(t, counts) for t in templates]
-    rare_words = sorted({w for c in chosen for w, _ in c})
-    index = F.array(*[F.lit(w) for w in rare_words])
+    vocabulary = sorted({w for t in templates for w in t.key_words})
+    counts = word_counts(docs, vocabulary, text_col=text_col)
+    by_idf = F.array(*[F.lit(w) for w in sorted(vocabulary, key=lambda w: (counts[w], w))])
+    keys = [F.split(F.lit(t.key), " ") for t in templates]
+    fewest = min((len(set(t.key_words)) for t in templates), default=0)
     kind = "array<struct<template:int,label:string,base:boolean,start:int,score:double>>"
+    nothing = F.array().cast(kind)
+
+    def rarest(mine: Column) -> Column:
+        """Of each template, the words to look up: none where a key word is missing."""
 
-    def starts(hits: Column, word: str, place: int) -> Column:
-        return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"] - place)
+        def of(t: Template, key: Column) -> Column:
+            return let(F.array_intersect(mine, key), lambda c: F.when(F.size(c) == len(set(t.key_words)), F.slice(c, 1, LOOKED_UP)).otherwise(F.array().cast("array<string>")))
 
-    def matches(w: Column, hits: Column) -> Column:
-        def of(k: int, t: Template, rare: list[tuple[str, int]]) -> Column:
-            agreed = starts(hits, *rare[0])
-            for other in rare[1:]:
-                agreed = F.array_intersect(agreed, starts(hits, *other))
-            key, wording = F.split(F.lit(t.key), " "), F.split(F.lit(t.text), " ")
-            whole = F.filter(agreed, lambda s: (s + t.key_at >= 0) & (F.slice(w, F.greatest(s + t.key_at, F.lit(0)) + 1, len(t.key_words)) == key))
+        return F.array(*[of(t, key) for t, key in zip(templates, keys, strict=True)])
+
+    def matches(w: Column, chosen: Column) -> Column:
+        def of(k: int, t: Template, key: Column, hits: Column) -> Column:
+            def starts(word: Column) -> Column:
+                place = F.array_position(key, word).cast("int") - 1 + t.key_at
+                return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"] - place)
+
+            agreed = F.transform(chosen[k], starts)
+            both = F.array_intersect(agreed[0], F.coalesce(F.get(agreed, F.lit(1)), agreed[0]))
+            whole = F.filter(both, lambda s: (s + t.key_at >= 0) & (F.slice(w, F.greatest(s + t.key_at, F.lit(0)) + 1, len(t.key_words)) == key))
 
             def told(s: Column) -> Column:
-                same = F.size(F.filter(F.transform(wording, lambda x, j: F.get(w, s + j) == x), lambda x: x))
+                same = F.size(F.filter(F.transform(F.split(F.lit(t.text), " "), lambda x, j: F.get(w, s + j) == x), lambda x: x))
                 return F.struct(F.lit(k).alias("template"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"), (same / F.lit(float(len(t.words)))).alias("score"))
 
-            return F.transform(F.array_sort(whole), told)
+            return F.when(F.size(chosen[k]) == 0, nothing).otherwise(F.transform(F.array_sort(whole), told))
+
+        def looked_up(words: Column) -> Column:
+            hits = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(words, x), F.struct(x.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
+            return let(hits, lambda h: F.concat(*[of(k, t, key, h) for k, (t, key) in enumerate(zip(templates, keys, strict=True))]))
 
-        return F.concat(*[of(k, t, rare) for k, (t, rare) in enumerate(zip(templates, chosen, strict=True))])
+        return let(F.array_distinct(F.flatten(chosen)), lambda words: F.when(F.size(words) == 0, nothing).otherwise(looked_up(words)))
 
     def scanned(w: Column) -> Column:
-        hits = F.filter(F.transform(w, lambda x, i: F.when(x.isin(rare_words), F.struct(x.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
-        some = F.when(F.arrays_overlap(w, index), let(hits, lambda h: matches(w, h))).otherwise(F.array().cast(kind))
+        some = let(F.array_intersect(by_idf, w), lambda mine: F.when(F.size(mine) < fewest, nothing).otherwise(let(rarest(mine), lambda chosen: matches(w, chosen))))
         return F.struct(F.size(w).cast("long").alias("n_words"), some.alias("matches"))
 
     words = words_of(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), GAP)

@@ -113,6 +113,20 @@ def test_license_base(clash):
     assert {m.label for m in rows[7].matches} == {"gpl"} and {m.label for m in rows[6].matches} == {"cc-by-sa"}
 
 
+def test_reworded_license(make_docs):
+    bsd = next(t for t in ls.TEMPLATES if t.label == "bsd")
+    texts = [bsd.text, bsd.text.replace("provided that the following conditions are met", "if these conditions are kept"), bsd.text.replace("binary forms", "binary shapes")]
+    rows = [r.matches for r in ls.scan_licenses(make_docs(texts)).orderBy("doc_id").collect()]
+    assert [[m.label for m in r] for r in rows] == [["bsd"], ["bsd"], []]
+    assert rows[0][0].score == 1 and 0.5 < rows[1][0].score < 1
+
+
+def test_license_very_long_text(clash):
+    text = "the license " * 20_000 + "Under the MIT License. " + "permission granted " * 20_000
+    (row,) = ls.scan_licenses(clash([text])).collect()
+    assert [(m.label, m.start, m.score) for m in row.matches] == [("mit", 40_000, 1.0)]
+
+
 def test_license_empty(make_docs):
     assert ls.scan_licenses(make_docs([])).count() == 0
 
@@ -166,5 +180,40 @@ def test_entropy_spans(make_docs):
     assert rows == [["entropy"], [], [], [], ["entropy"], ["assign"]]
 
 
+def plain_spans(text):
+    """Base spans, and candidates outside of them that no allowed pattern matches and whose entropy is high enough."""
+    base = base_spans(text)
+    more = []
+    for m in re.finditer(ss.CANDIDATE, text):
+        inside = any(s <= m.start() and m.end() <= e for s, _, e in base)
+        bits = ss.MIN_BITS["hex" if re.fullmatch("[0-9a-fA-F]+", m[0]) else "base64"]
+        if not inside and not any(re.search(p, m[0]) for p in ss.ALLOWED) and entropy(m[0]) >= bits - 1e-9:
+            more.append((m.start(), 3, m.end()))
+    return base, sorted(base + more)
+
+
+def told(spans):
+    return ",".join(f"{ss.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_op3_against_plain_python(spark, sf_dir, tmp_path, make_docs):
+    """The registered query, on documents and on texts full of candidates."""
+    rng = random.Random(9)
+    runs = ["".join(rng.choice(ss.ALPHABET[: rng.choice([16, 36, 67])]) for _ in range(rng.randrange(15, 90))) for _ in range(60)]
+    texts = secret_texts() + [" ".join(rng.sample(runs, 4)) for _ in range(60)] + ["".join(rng.choice(ss.ALPHABET) for _ in range(20_000))]
+    make_docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    n = 0
+    for d in (sf_dir, str(tmp_path)):
+        wanted = {r.doc_id: plain_spans(r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+        rows = ss.op3_secret_scan(spark, d).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(wanted)
+        for r in rows:
+            base, spans = wanted[r.doc_id]
+            assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+            assert r.base_sha256 == hashlib.sha256(told(base).encode()).hexdigest() and r.spans == told(spans)
+            n += len(spans) - len(base)
+    assert n > 50
+
+
 def test_secret_empty(make_docs):
     assert ss.scan_secrets(make_docs([])).count() == 0
