@@ -38,5 +38,5 @@ def test_query(spark, sf_dir, duck, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k[: k.index("_") + 1] for k in names if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k[: k.index("_") + 1] for k in names if k.startswith("op")}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
