@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.operators import checkpoints, context, fold, gate, recall
+from notes_engine.operators import checkpoints, context, fold, gate, line_diff, recall
 from notes_engine.operators.checkpoints import MARKER
+from notes_engine.operators.recall_many import recall_many as recall_many_requests
 from notes_engine.plans import adapters
 from notes_engine.sources import files, lines, requests
-from notes_engine.streaming import processors
-from notes_engine.streaming.runs import run_to_table, shared_dir
+from notes_engine.streaming import event_time, processors
+from notes_engine.streaming.runs import ARRIVALS, arrivals, run_to_table, shared_dir
 
 #: Literals that the recall queries look for.
 PROJECT, KEY, QUERY, TAGS = "src3", "23", "TION", ("de", "fr")
@@ -112,6 +115,12 @@ def recall_replies(spark: SparkSession, d: str) -> DataFrame:
     return recall.recall_replies(_notes(spark, d), _requests(spark))
 
 
+def recall_many(spark: SparkSession, d: str) -> DataFrame:
+    """A request of each document against the notes of its source."""
+    found = recall_many_requests(_notes(spark, d), adapters.document_requests(adapters.read(spark, d, "documents")))
+    return found.select("request_id", F.col("rank").cast("long").alias("rank"), "project_id", "key", F.md5("value").alias("value_md5"))
+
+
 def project_registry(spark: SparkSession, d: str) -> DataFrame:
     return context.project_registry(adapters.conversation_docs(adapters.read(spark, d, "conversations")))
 
@@ -150,6 +159,15 @@ def diff_stat(spark: SparkSession, d: str) -> DataFrame:
     return checkpoints.diff_stat(*_versions(spark, d))
 
 
+def line_diff_stat(spark: SparkSession, d: str) -> DataFrame:
+    """Documents against a version with the first line moved to the end, one more line, or neither."""
+    docs = adapters.read(spark, d, "documents").where("text IS NOT NULL")
+    lines = F.split("text", "\n", -1)
+    moved = F.array_join(F.concat(F.slice(lines, 2, F.size(lines)), F.slice(lines, 1, 1)), "\n")
+    text = F.when(F.col("lang") == "en", moved).when(F.col("lang") == "fr", F.concat("text", F.lit("\nextra"))).otherwise(F.col("text"))
+    return line_diff.line_diff_stat(adapters.notes(docs), adapters.notes(docs.withColumn("text", text)))
+
+
 def checkpoint_list(spark: SparkSession, d: str) -> DataFrame:
     rows = adapters.manifest(adapters.read(spark, d, "orders"))
     return checkpoints.list_checkpoints(rows, adapters.heads(rows))
@@ -171,6 +189,48 @@ def restore_state(spark: SparkSession, d: str) -> DataFrame:
     return out.select("project_id", "key", F.md5("value").alias("value_md5"))
 
 
+def _cycle(spark: SparkSession, d: str):
+    """A store after two checkpoints of all sources, the first one's report and the second's, and the notes now: one source has changes that no checkpoint holds."""
+    old, new = _versions(spark, d)
+    store = checkpoints.CheckpointStore(spark, f"{shared_dir(spark)}/cycle-{uuid.uuid4().hex}")
+    reports = store.create(old, "first"), store.create(new, "second")
+    current = new.withColumn("value", F.when(F.col("project_id") == "src1", F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    return store, reports, current
+
+
+def checkpoint_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """Create, change, create, restore to the first checkpoint, list: the reports, the list, and the notes at the end."""
+    store, reports, current = _cycle(spark, d)
+    first = store.at(1).heads()
+    notes, restored = store.restore_all(current, first)
+    told = lambda df, step, n, text: df.select(F.lit(step).alias("step"), "project_id", n.cast("long").alias("n"), text.alias("told"))
+    rows = [told(r, f"create {k}", F.col("n_changes"), F.coalesce("error", F.concat("message", F.lit(" "), F.array_join("preview.status", "")))) for k, r in enumerate(reports, 1)]
+    rows.append(told(restored, "restore", F.col("dirty").cast("int"), F.col("error")))
+    rows.append(told(store.list(), "list", F.col("place"), F.col("message")))
+    rows.append(told(notes, "note", F.col("position"), F.md5("value")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def restore_preview(spark: SparkSession, d: str) -> DataFrame:
+    """What restoring each source to its first checkpoint would undo, one unknown target included, without writing."""
+    store, _, current = _cycle(spark, d)
+    wanted = store.at(1).heads().withColumn("checkpoint_id", F.when(F.col("project_id") == "src2", F.lit("unknown")).otherwise(F.col("checkpoint_id")))
+    return store.preview(current, wanted).drop("checkpoint_id")
+
+
+def guarded_write(spark: SparkSession, d: str) -> DataFrame:
+    """Scans stores of which some sources' are cut off, changes every note, and writes the new version: its notes, and which sources were refused."""
+    path = f"{shared_dir(spark)}/guarded-{uuid.uuid4().hex}"
+    files.write_stores(_notes(spark, d), f"{path}/stores")
+    cut = _notes(spark, d).select("project_id").distinct().where(F.col("project_id").rlike("[37]$"))
+    cut.withColumn("value", F.lit('[{"key": "cut')).write.partitionBy("project_id").text(f"{path}/broken")
+    notes, rejects = files.scan_notes(spark, [f"{path}/stores/*/*/*.txt", f"{path}/broken/*/*.txt"])
+    report = files.write_guarded(notes.withColumn("value", F.concat("value", F.lit("!"))), rejects, f"{path}/table", 1, stored=notes)
+    written = spark.read.schema(notes.schema).parquet(f"{path}/table/version=1")
+    name = F.regexp_replace("project_id", "^project_id=", "").alias("project_id")
+    return written.join(report, "project_id").select(name, "key", F.md5("value").alias("value_md5"), "n_notes", "written", "error")
+
+
 def _status_lines(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("lang") == "en", " M ").when(F.col("lang") == "de", "?? ").otherwise("D  ")
     return adapters.read(spark, d, "documents").select(F.col("source").alias("project_id"), F.concat(code, F.col("doc_id").cast("string"), F.lit(".md")).alias("line"))
@@ -221,6 +281,41 @@ def note_fold_stream(spark: SparkSession, d: str) -> DataFrame:
     return last.where("live").select("project_id", "key", "value", _tags(), _time("created_at"), _time("updated_at"), "position")
 
 
+def _out_of_order(events: DataFrame, seq: str, name: str) -> tuple[DataFrame, str]:
+    """Events as a stream in which half of them come a micro-batch late or more, and the delay that bounds it."""
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    late = F.crc32(F.col(seq).cast("string").cast("binary")) % 2 == 1
+    second = F.timestamp_diff("SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    span = (last - first).total_seconds() if first else 0
+    return arrivals(events, second, late, name), f"{int(3 * span / (ARRIVALS - 1)) + 60} seconds"
+
+
+def note_fold_event_time(spark: SparkSession, d: str) -> DataFrame:
+    """The fold of a stream that is out of order over micro-batches: the last row of each key."""
+    stream, delay = _out_of_order(adapters.document_events(adapters.read(spark, d, "documents")), "seq", "late-notes")
+    rows = run_to_table(event_time.fold_stream(stream, delay=delay), "update", "late-fold")
+    last = rows.groupBy("project_id", "key").agg(F.max_by(F.struct("value", "tags", "created_at", "updated_at", "position", "live"), "batch_id").alias("n")).select("project_id", "key", "n.*")
+    return last.where("live").select("project_id", "key", "value", _tags(), _time("created_at"), _time("updated_at"), "position")
+
+
+def _late_gate(spark: SparkSession, d: str, per_project: bool) -> DataFrame:
+    stream, delay = _out_of_order(adapters.document_tool_events(adapters.read(spark, d, "documents")), "event_id", "late-tools")
+    marked = adapters.read(spark, d, "documents").where("lang <> 'es'").select(F.col("lang").alias("project_id")).distinct()
+    rows = run_to_table(event_time.gate_stream(stream, marked, delay=delay, per_project=per_project), "update", "late-gate")
+    last = rows.groupBy("event_id").agg(F.max_by(F.struct("session_id", "project_id", "decision", "reason"), "batch_id").alias("n"))
+    return last.select("event_id", "n.*")
+
+
+def gate_event_time(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on a stream that is out of order over micro-batches, those that late onboarding opened included."""
+    return _late_gate(spark, d, per_project=False)
+
+
+def gate_event_time_per_project(spark: SparkSession, d: str) -> DataFrame:
+    """The same, where onboarding opens its own project alone."""
+    return _late_gate(spark, d, per_project=True)
+
+
 def snapshot_scan(spark: SparkSession, d: str) -> DataFrame:
     """Writes each source's notes as JSON arrays in as many files as its size takes, and scans the files."""
     path = f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}"
@@ -234,7 +329,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         note_fold, note_actions, note_dedup_first, forget_batch, forget_report, recall_key, recall_query, recall_tags, recall_combined, recall_topk_per_project, recall_counts, recall_batch,
         recall_replies, project_registry, default_fill, note_summary, context_assemble, context_rows, change_set, change_set_tracked, diff_stat, checkpoint_list, checkpoint_targets, restore_state,
-        status_lines, log_lines, request_route, gate_batch, gate_stream, note_fold_stream, snapshot_scan,
+        status_lines, log_lines, request_route, gate_batch, gate_stream, note_fold_stream, snapshot_scan, note_fold_event_time, gate_event_time,
+        gate_event_time_per_project, checkpoint_cycle, restore_preview, guarded_write, line_diff_stat, recall_many,
     )
 } | {"recent_notes": flagship}
 
@@ -246,7 +342,11 @@ _LOG = """log AS (
   SELECT CAST(user_id AS VARCHAR) AS project_id, CAST(CAST(json_extract(props, '$.k') AS INTEGER) // 20 AS VARCHAR) AS key,
          CASE WHEN event_type = 'error' THEN 'forget' WHEN event_type IN ('click', 'signup') THEN 'append' ELSE 'replace' END AS op,
          CAST(event_id AS VARCHAR) AS value, event_type AS tag, ts, event_id AS seq FROM events)"""
-_FOLD = f"""{_LOG}, epochs AS (
+_AT = "TIMESTAMP '2024-01-01' + to_seconds(doc_id * 600)"
+_DOC_LOG = f"""log AS (
+  SELECT source AS project_id, CAST(n_chars % 10 AS VARCHAR) AS key, CASE WHEN n_chars % 11 = 3 THEN 'forget' WHEN n_chars % 3 = 0 THEN 'replace' ELSE 'append' END AS op,
+         md5(text) AS value, lang AS tag, {_AT} AS ts, doc_id AS seq FROM documents)"""
+_FOLD_STEPS = """epochs AS (
   SELECT *, sum(CAST(op = 'forget' AS INT)) OVER (PARTITION BY project_id, key ORDER BY ts, seq) AS epoch FROM log
 ), kept AS (
   SELECT *, row_number() OVER (PARTITION BY project_id, key ORDER BY ts, seq) AS rn
@@ -256,7 +356,9 @@ _FOLD = f"""{_LOG}, epochs AS (
 ), folded AS (
   SELECT project_id, key, string_agg(value, chr(10) ORDER BY rn) FILTER (WHERE rn >= base) AS value, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags,
          min(ts) AS created_at, max(ts) AS updated_at, arg_min(seq, rn) AS position FROM based GROUP BY project_id, key)"""
-_FOLDED = f"WITH {_FOLD} SELECT project_id, key, value, tags, strftime(created_at, {_TIME}) AS created_at, strftime(updated_at, {_TIME}) AS updated_at, position FROM folded"
+_FOLD = f"{_LOG}, {_FOLD_STEPS}"
+_ALL_FOLDED = f"SELECT project_id, key, value, tags, strftime(created_at, {_TIME}) AS created_at, strftime(updated_at, {_TIME}) AS updated_at, position FROM folded"
+_FOLDED = f"WITH {_FOLD} {_ALL_FOLDED}"
 _FORGET = f"""WITH {_NOTES}, german AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key FROM documents WHERE lang = 'de'),
 gone AS (SELECT * FROM german UNION ALL SELECT project_id, 'x' || key FROM german), left_over AS (SELECT * FROM notes n WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.project_id = n.project_id AND g.key = n.key))"""
 _HAS = f"(contains(lower(key), lower('{QUERY}')) OR contains(lower(value), lower('{QUERY}')))"
@@ -293,7 +395,19 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS session_id,
        CASE WHEN event_type = 'error' THEN 'malformed' WHEN event_type IN ('click', 'purchase') AND value >= 5 AND onboarded = 0 AND user_id IN (SELECT user_id FROM marked) THEN 'onboard first' END AS reason
 FROM e"""
 
+
+def _doc_gate_sql(by: str) -> str:
+    return f"""
+WITH e AS (SELECT doc_id AS event_id, source AS session_id, lang AS project_id, n_chars % 20 AS n, n_chars % 7 = 0 AS exempt, lang <> 'es' AS marked, {_AT} AS ts FROM documents),
+o AS (SELECT *, max(CAST(n = 0 AND marked AS INT)) OVER (PARTITION BY {by}, CAST(ts AS DATE) ORDER BY ts, event_id) AS opened FROM e),
+b AS (SELECT *, n BETWEEN 1 AND 14 AND marked AND NOT exempt AND opened = 0 AS blocked FROM o)
+SELECT event_id, session_id, project_id, CASE WHEN blocked THEN 'block' ELSE 'allow' END AS decision, CASE WHEN n = 19 THEN 'malformed' WHEN blocked THEN 'onboard first' END AS reason FROM b"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "note_fold_event_time": f"WITH {_DOC_LOG}, {_FOLD_STEPS} {_ALL_FOLDED}",
+    "gate_event_time": _doc_gate_sql("session_id"),
+    "gate_event_time_per_project": _doc_gate_sql("session_id, project_id"),
     "note_fold": _FOLDED,
     "note_fold_stream": _FOLDED,
     "recent_notes": f"""WITH {_FOLD} SELECT project_id, rank, key, value, tags, strftime(updated_at, {_TIME}) AS updated_at FROM (
@@ -316,6 +430,11 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN coalesce(total, 0) = 0 THEN 'no notes stored' WHEN coalesce(h, 0) = 0 THEN CASE WHEN coalesce(rk, '') <> '' THEN 'no note with key ' || rk ELSE 'no match' END END AS message
         FROM request LEFT JOIN (SELECT request_id, count(*) AS h, any_value(top) AS top FROM found GROUP BY request_id) USING (request_id)
         LEFT JOIN (SELECT project_id, count(*) AS total FROM notes GROUP BY project_id) t ON t.project_id = rp""",
+    "recall_many": f"""WITH {_NOTES}, r AS (SELECT doc_id AS request_id, source AS rp, CASE WHEN n_chars % 4 = 0 THEN CAST(doc_id + n_chars % 3 AS VARCHAR) END AS rk, CASE WHEN n_chars % 4 IN (1, 2) THEN translate(substring(text, 3, 12), '{string.ascii_lowercase}', '{string.ascii_uppercase}') END AS rq,
+          CASE WHEN n_chars % 4 = 2 THEN 'en' WHEN n_chars % 8 = 3 THEN lang END AS rt, CASE WHEN n_chars % 4 = 0 THEN 1 WHEN n_chars % 5 <> 4 THEN n_chars % 5 ELSE 10 END AS top FROM documents),
+        found AS (SELECT request_id, project_id, key, value, top, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN rk IS NULL THEN updated_at END DESC NULLS LAST, position) AS rank
+          FROM r JOIN notes ON rp = project_id AND CASE WHEN rk IS NOT NULL THEN key = rk ELSE (rt IS NULL OR tag = rt) AND (coalesce(rq, '') = '' OR contains(lower(key), lower(rq)) OR contains(lower(value), lower(rq))) END)
+        SELECT request_id, rank, project_id, key, md5(value) AS value_md5 FROM found WHERE rank <= top""",
     "project_registry": f"WITH {_DOCS}, f AS (SELECT project_id, bool_or(kind = 'settings') AS initialised FROM docs GROUP BY project_id) SELECT project_id, initialised, CASE WHEN NOT initialised THEN 'not initialised' END AS error FROM f",
     "default_fill": f"""WITH {_DOCS}, defaults(kind, body) AS (VALUES {_DEFAULTS}), own AS (SELECT project_id, kind, min(body) AS body FROM docs GROUP BY project_id, kind)
         SELECT p.project_id, d.kind, md5(coalesce(o.body, d.body)) AS body_md5, o.body IS NULL AS filled
@@ -338,12 +457,35 @@ ORACLE_SQL: dict[str, str] = {
     "diff_stat": f"""WITH {_VERSIONS}, l AS (SELECT project_id, key, unnest(string_split(value, chr(10))) AS line, -1 AS n FROM old UNION ALL SELECT project_id, key, unnest(string_split(value, chr(10))), 1 FROM new),
         d AS (SELECT project_id, key, line, sum(n) AS n FROM l GROUP BY ALL HAVING sum(n) <> 0)
         SELECT project_id, key, CAST(sum(greatest(n, 0)) AS BIGINT) AS insertions, CAST(sum(greatest(-n, 0)) AS BIGINT) AS deletions FROM d GROUP BY project_id, key""",
+    "line_diff_stat": """WITH t AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key, lang, text, string_split(text, chr(10)) AS l FROM documents WHERE lang IN ('en', 'fr') AND text IS NOT NULL)
+        SELECT project_id, key, CAST(1 AS BIGINT) AS insertions, CAST(CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS BIGINT) AS deletions FROM t
+        WHERE lang = 'fr' OR array_to_string(list_concat(l[2:], l[1:1]), chr(10)) <> text""",
     "checkpoint_list": f"WITH RECURSIVE {_WALK} SELECT project_id, CAST(place AS BIGINT) AS place, id AS checkpoint_id, message FROM walk WHERE marked = 1",
     "checkpoint_targets": f"""WITH RECURSIVE {_WALK}, newest AS (SELECT project_id, id FROM walk WHERE marked = 1 AND place = 1),
         a AS (SELECT CAST(c_custkey AS VARCHAR) AS project_id, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(c_custkey AS VARCHAR) END AS given FROM customer),
         t AS (SELECT a.project_id, coalesce(given, newest.id) AS checkpoint_id FROM a LEFT JOIN newest USING (project_id))
         SELECT t.project_id, t.checkpoint_id, CASE WHEN t.checkpoint_id IS NULL THEN 'no checkpoints' WHEN m.id IS NULL THEN 'not found' END AS error FROM t LEFT JOIN m ON m.project_id = t.project_id AND m.id = t.checkpoint_id""",
     "restore_state": f"WITH {_VERSIONS} SELECT project_id, key, md5(value) AS value_md5 FROM old WHERE project_id <> 'src1' AND project_id IN (SELECT project_id FROM new) UNION ALL SELECT project_id, key, md5(value || '!') FROM new WHERE project_id = 'src1'",
+    "checkpoint_cycle": f"""WITH {_VERSIONS},
+        c1 AS (SELECT project_id, key, 'A' AS status FROM old), c2 AS ({_CHANGES.replace("WITH " + _VERSIONS, "")}),
+        n1 AS (SELECT project_id, count(*) AS n, string_agg(status, '' ORDER BY key) FILTER (WHERE i <= {checkpoints.PREVIEW}) AS s FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY key) AS i FROM c1) GROUP BY project_id),
+        n2 AS (SELECT project_id, count(*) AS n, string_agg(status, '' ORDER BY key) FILTER (WHERE i <= {checkpoints.PREVIEW}) AS s FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY key) AS i FROM c2) GROUP BY project_id),
+        p AS (SELECT project_id FROM old UNION SELECT project_id FROM new), dirty AS (SELECT DISTINCT project_id FROM new WHERE project_id = 'src1'),
+        done AS (SELECT project_id FROM n1 WHERE project_id NOT IN (SELECT project_id FROM dirty))
+        SELECT 'create 1' AS step, project_id, n, '{MARKER}first ' || s AS told FROM n1
+        UNION ALL SELECT 'create 2', project_id, n, CASE WHEN n IS NULL THEN 'no changes' ELSE '{MARKER}second ' || s END FROM p LEFT JOIN n2 USING (project_id)
+        UNION ALL SELECT 'restore', project_id, CAST(project_id IN (SELECT project_id FROM dirty) AS BIGINT), CASE WHEN project_id IN (SELECT project_id FROM dirty) THEN 'there are changes that no checkpoint holds' END FROM n1
+        UNION ALL SELECT 'list', project_id, 1, 'second' FROM n2 WHERE project_id NOT IN (SELECT project_id FROM done)
+        UNION ALL SELECT 'list', project_id, CASE WHEN project_id IN (SELECT project_id FROM done) OR project_id NOT IN (SELECT project_id FROM n2) THEN 1 ELSE 2 END, 'first' FROM n1
+        UNION ALL SELECT 'note', project_id, CAST(key AS BIGINT), md5(value) FROM old WHERE project_id IN (SELECT project_id FROM done)
+        UNION ALL SELECT 'note', project_id, CAST(key AS BIGINT), md5(CASE WHEN project_id = 'src1' THEN value || '!' ELSE value END) FROM new WHERE project_id NOT IN (SELECT project_id FROM done)""",
+    "restore_preview": f"""WITH {_VERSIONS}, now AS (SELECT project_id, key, CASE WHEN project_id = 'src1' THEN value || '!' ELSE value END AS value FROM new),
+        l AS (SELECT project_id, key, unnest(string_split(value, chr(10))) AS line, -1 AS n FROM old WHERE project_id <> 'src2' UNION ALL SELECT project_id, key, unnest(string_split(value, chr(10))), 1 FROM now WHERE project_id IN (SELECT project_id FROM old) AND project_id <> 'src2'),
+        s AS (SELECT project_id, key, CAST(sum(greatest(n, 0)) AS BIGINT) AS insertions, CAST(sum(greatest(-n, 0)) AS BIGINT) AS deletions FROM (SELECT project_id, key, line, sum(n) AS n FROM l GROUP BY ALL HAVING sum(n) <> 0) GROUP BY project_id, key)
+        SELECT w.project_id, w.project_id = 'src1' AND w.project_id IN (SELECT project_id FROM new) AS dirty, CASE WHEN w.project_id = 'src2' THEN 'not found' END AS error, key, insertions, deletions
+        FROM (SELECT DISTINCT project_id FROM old) w LEFT JOIN s ON s.project_id = w.project_id""",
+    "guarded_write": """WITH n AS (SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key, text, NOT regexp_matches(source, '[37]$') AS written FROM documents)
+        SELECT project_id, key, md5(CASE WHEN written THEN text || '!' ELSE text END) AS value_md5, count(*) OVER (PARTITION BY project_id) AS n_notes, written, CASE WHEN NOT written THEN 'a store of the project could not be read' END AS error FROM n""",
     "status_lines": "SELECT source AS project_id, CASE lang WHEN 'en' THEN 'M' WHEN 'de' THEN '??' ELSE 'D' END AS status, doc_id || '.md' AS file FROM documents",
     "log_lines": f"SELECT source AS project_id, substring(md5(text), 1, 8) AS checkpoint_id, lang || ' {MARKER}' || n_chars AS message, lang = 'en' AS marked FROM documents",
     "request_route": """

@@ -1,4 +1,4 @@
-"""Checkpoints: versions of a keyed table. Change sets, line differences, a manifest of versions, listing and guarded restore."""
+"""Checkpoints: versions of a keyed table. Change sets, line differences, a manifest of versions, listing, guarded restore, and a store that many writers share."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from notes_engine import schemas
 from notes_engine.functions import without_prefix
+from notes_engine.operators.commits import Commits
 from notes_engine.streaming.runs import shared_dir
 
 MARKER = "[SAFE] "
@@ -96,42 +97,101 @@ def restored(current: DataFrame, snapshots: DataFrame, targets: DataFrame, last:
     return kept.unionByName(snapshots.join(clean, ["project_id", "checkpoint_id"], "left_semi").select(columns))
 
 
+def restore_report(current: DataFrame, last: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (project_id, checkpoint_id, error) with dirty: whether the project's current notes differ from its last checkpoint; where they do and the target is known, that is the error."""
+    dirty = change_set(last, current).select("project_id", F.lit(True).alias("_dirty")).distinct()
+    known = targets.join(dirty, "project_id", "left").withColumn("dirty", F.coalesce("_dirty", F.lit(False)))
+    error = F.coalesce("error", F.when(F.col("dirty"), "there are changes that no checkpoint holds"))
+    return known.select("project_id", "checkpoint_id", "dirty", error.alias("error"))
+
+
+def restore_preview(current: DataFrame, snapshots: DataFrame, last: DataFrame, targets: DataFrame) -> DataFrame:
+    """What a restore would undo, nothing written: (project_id, checkpoint_id, dirty, error, key, insertions, deletions).
+
+    A row for each key whose lines differ between the target and now, counted
+    from the target; one row with a null key for a project that has none, or
+    whose target isn't known. error: as in targets; a dirty project's preview is
+    shown.
+    """
+    own = targets.where("error IS NULL")
+    was = snapshots.join(own.select("project_id", "checkpoint_id"), ["project_id", "checkpoint_id"], "left_semi")
+    now = current.join(own.select("project_id"), "project_id", "left_semi")
+    asked = restore_report(current, last, targets).drop("error").join(targets.select("project_id", "error"), "project_id")
+    return asked.join(diff_stat(was, now), "project_id", "left").select("project_id", "checkpoint_id", "dirty", "error", "key", "insertions", "deletions")
+
+
 class CheckpointStore:
     """Checkpoints of a notes table under a folder that all executors reach.
 
-    snapshots/checkpoint_id=...: the notes of one; manifest: one row each,
-    written last, which makes it valid; heads: the head of each version of the
-    store. One writer at a time.
+    Every create and restore writes its tables under a token, in one folder of
+    each kind: snapshots (the notes of its checkpoints), manifest (a row a
+    checkpoint) and moves (its projects' new heads). They become part of the
+    store with a commit's number, so a checkpoint never lacks its head. Writers
+    don't wait for each other: one that finds the next number taken tries the
+    one after it, if the commits in between moved other projects' heads alone;
+    else it works again on the newer version. Readers see the version that is
+    the latest when they ask, or with at() a given one.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    #: How often create() and restore work again after another writer's commit.
+    ATTEMPTS = 20
+
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
+        self.spark, self.path, self.pinned = spark, path.rstrip("/"), version
+        self.commits = Commits(spark, f"{self.path}/commits")
+
+    def version(self) -> int:
+        return self.commits.latest() if self.pinned is None else self.pinned
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def at(self, version: int | None = None) -> CheckpointStore:
+        """The store as it is at a version, by default the latest now."""
+        return CheckpointStore(self.spark, self.path, self.version() if version is None else version)
+
+    def _read(self, name: str, schema: str, since: int = 0) -> DataFrame:
+        """The rows of committed tokens, with token and number."""
+        full, version = f"{schema}, token STRING", self.version()
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            rows = self.spark.read.schema(full).parquet(f"{self.path}/{name}")
         except Exception as error:  # nothing written yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            return self.spark.createDataFrame([], schema)
+            rows = self.spark.createDataFrame([], full)
+        return rows.join(self.commits.table(version, since), "token")
+
+    def _write(self, rows: DataFrame, name: str, token: str) -> DataFrame:
+        folder = f"{self.path}/{name}/token={token}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
 
     def manifest(self) -> DataFrame:
-        return self._read("manifest", schemas.CHECKPOINTS)
+        return self._read("manifest", schemas.CHECKPOINTS).drop("token", "number")
 
     def heads(self) -> DataFrame:
         """(project_id, checkpoint_id): the head set last of each project."""
-        moves = self._read("heads", "project_id STRING, checkpoint_id STRING, move BIGINT")
-        return moves.groupBy("project_id").agg(F.max_by("checkpoint_id", "move").alias("checkpoint_id"))
+        moves = self._read("moves", "project_id STRING, checkpoint_id STRING")
+        return moves.groupBy("project_id").agg(F.max_by("checkpoint_id", "number").alias("checkpoint_id"))
 
-    def snapshots(self) -> DataFrame:
-        return self._read("snapshots", f"{schemas.NOTES}, checkpoint_id STRING")
+    def snapshots(self, of: DataFrame | None = None) -> DataFrame:
+        """Notes with checkpoint_id; of checkpoints (project_id, checkpoint_id) only, in whose tokens' folders alone Spark looks where these are few."""
+        rows = self._read("snapshots", f"{schemas.NOTES}, checkpoint_id STRING").drop("number")
+        if of is not None:
+            made = self._read("manifest", schemas.CHECKPOINTS).select("token", "project_id", "checkpoint_id").join(of.select("project_id", "checkpoint_id"), ["project_id", "checkpoint_id"], "left_semi")
+            rows = rows.join(made, ["token", "project_id", "checkpoint_id"], "left_semi")
+        return rows.drop("token")
 
     def head_notes(self) -> DataFrame:
-        return self.snapshots().join(self.heads(), ["project_id", "checkpoint_id"], "left_semi").drop("checkpoint_id")
-
-    def _move_heads(self, heads: DataFrame) -> None:
-        at = self._read("heads", "project_id STRING, checkpoint_id STRING, move BIGINT").agg(F.coalesce(F.max("move"), F.lit(0)) + 1).first()[0]
-        heads.select("project_id", "checkpoint_id", F.lit(at).cast("long").alias("move")).write.mode("append").parquet(f"{self.path}/heads")
+        return self.snapshots(self.heads()).drop("checkpoint_id")
+
+    def _publish(self, token: str, moves: DataFrame) -> bool:
+        """Commits token's tables, worked out on this version; False if a commit since moved the head of one of its projects."""
+        number = self.version() + 1
+        while not self.commits.publish(number, token):
+            now = self.commits.latest()
+            others = CheckpointStore(self.spark, self.path, now)._read("moves", "project_id STRING, checkpoint_id STRING", since=self.version())
+            if not moves.join(others, "project_id", "left_semi").isEmpty():
+                return False
+            number = now + 1
+        return True
 
     def create(self, notes: DataFrame, message: str | None, *, tracked_only: bool = False, dry_run: bool = False, marker: str = MARKER) -> DataFrame:
         """Stores the notes of each project that has changes since its head: (project_id, checkpoint_id, message, n_changes, preview, error).
@@ -143,56 +203,71 @@ class CheckpointStore:
         """
         if not message:
             raise ValueError("a checkpoint needs a message")
-        last = self.head_notes()
-        changes = change_set(last, notes, tracked_only=tracked_only)
-        first = changes.withColumn("_n", F.row_number().over(Window.partitionBy("project_id").orderBy("key"))).where(F.col("_n") <= PREVIEW)
-        first = first.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("key", "status"))).alias("preview"))
-        counted = changes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_changes")).join(first, "project_id")
-        token = uuid.uuid4().hex
-        named = counted.withColumn("checkpoint_id", F.left(F.sha2(F.concat_ws("|", F.lit(token), "project_id"), 256), F.lit(8))).withColumn("message", F.lit(f"{marker}{message}"))
-        projects = notes.select("project_id").union(last.select("project_id")).distinct()
-        report = projects.join(named, "project_id", "left").withColumn("error", F.when(F.col("n_changes").isNull(), "no changes"))
-        if dry_run:
-            return report
-        stored = notes
-        if tracked_only:
-            stored = notes.join(last.select(*KEYS), KEYS, "left_semi")
-        stored.join(named.select("project_id", "checkpoint_id"), "project_id").write.mode("append").partitionBy("checkpoint_id").parquet(f"{self.path}/snapshots")
-        heads = self.heads().withColumnRenamed("checkpoint_id", "parent_id")
-        seq = self.manifest().groupBy("project_id").agg(F.max("seq").alias("_seq"))
-        rows = named.join(heads, "project_id", "left").join(seq, "project_id", "left").select(
-            "project_id", "checkpoint_id", "parent_id", (F.coalesce("_seq", F.lit(0)) + 1).alias("seq"), "message", "n_changes", F.current_timestamp().cast("timestamp_ntz").alias("created_at"),
-        )
-        made = f"{self.path}/created/{token}"  # written once: later reads don't depend on the heads that move
-        report.join(rows.select("project_id", "parent_id", "seq", "created_at"), "project_id", "left").write.parquet(made)
-        told = self.spark.read.parquet(made)
-        new = told.where(F.col("error").isNull()).select(*[c.split()[0] for c in schemas.CHECKPOINTS.split(", ")])
-        new.write.mode("append").parquet(f"{self.path}/manifest")
-        self._move_heads(new)
-        return told.select("project_id", "checkpoint_id", "message", "n_changes", "preview", "error")
+        for _ in range(self.ATTEMPTS):
+            seen, token = self.at(), uuid.uuid4().hex
+            last = seen.head_notes()
+            changes = change_set(last, notes, tracked_only=tracked_only)
+            first = changes.withColumn("_n", F.row_number().over(Window.partitionBy("project_id").orderBy("key"))).where(F.col("_n") <= PREVIEW)
+            first = first.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("key", "status"))).alias("preview"))
+            counted = changes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_changes")).join(first, "project_id")
+            named = counted.withColumn("checkpoint_id", F.left(F.sha2(F.concat_ws("|", F.lit(token), "project_id"), 256), F.lit(8))).withColumn("message", F.lit(f"{marker}{message}"))
+            projects = notes.select("project_id").union(last.select("project_id")).distinct()
+            report = projects.join(named, "project_id", "left").withColumn("error", F.when(F.col("n_changes").isNull(), "no changes"))
+            if dry_run:
+                return report
+            heads = seen.heads().withColumnRenamed("checkpoint_id", "parent_id")
+            seq = seen.manifest().groupBy("project_id").agg(F.max("seq").alias("_seq"))
+            rows = report.join(heads, "project_id", "left").join(seq, "project_id", "left").withColumn("seq", F.coalesce("_seq", F.lit(0)) + 1).withColumn("created_at", F.current_timestamp().cast("timestamp_ntz"))
+            told = self._write(rows.drop("_seq"), "reports", token)  # written once: what follows has the same ids
+            new = told.where("error IS NULL")
+            stored = notes.join(last.select(*KEYS), KEYS, "left_semi") if tracked_only else notes
+            self._write(stored.join(new.select("project_id", "checkpoint_id"), "project_id"), "snapshots", token)
+            self._write(new.select(*[c.split()[0] for c in schemas.CHECKPOINTS.split(", ")]), "manifest", token)
+            if seen._publish(token, self._write(new.select("project_id", "checkpoint_id"), "moves", token)):
+                return told.select("project_id", "checkpoint_id", "message", "n_changes", "preview", "error")
+        raise RuntimeError(f"other writers committed {self.ATTEMPTS} times meanwhile")
 
     def list(self, *, marker: str = MARKER) -> DataFrame:
-        return list_checkpoints(self.manifest(), self.heads(), marker=marker)
+        seen = self.at()
+        return list_checkpoints(seen.manifest(), seen.heads(), marker=marker)
+
+    def preview(self, current: DataFrame, wanted: DataFrame) -> DataFrame:
+        """restore_preview() of the targets wanted (project_id, checkpoint_id; without one, the newest listed)."""
+        seen = self.at()
+        targets = resolve_targets(seen.manifest(), seen.heads(), wanted)
+        return restore_preview(current, seen.snapshots(targets), seen.head_notes(), targets)
+
+    def restore_all(self, current: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(the current notes after restoring the projects of wanted to their targets, the report): projects whose target isn't known, or that are dirty, stay as they are and have an error.
+
+        wanted: (project_id, checkpoint_id), one row a project; without an id, the newest listed. Heads of restored projects move to their targets.
+        """
+        for _ in range(self.ATTEMPTS):
+            seen, token = self.at(), uuid.uuid4().hex
+            last = seen.head_notes()
+            report = self._write(restore_report(current, last, resolve_targets(seen.manifest(), seen.heads(), wanted)), "reports", token)
+            chosen = report.where("error IS NULL").select("project_id", "checkpoint_id")
+            kept = current.join(chosen, "project_id", "left_anti").select(current.columns)
+            out = self._write(kept.unionByName(seen.snapshots(chosen).select(current.columns)), "current", token)
+            if seen._publish(token, self._write(chosen, "moves", token)):
+                return out, report
+        raise RuntimeError(f"other writers committed {self.ATTEMPTS} times meanwhile")
 
     def restore(self, current: DataFrame, project_id: str, checkpoint_id: str | None = None, *, dry_run: bool = False) -> DataFrame:
         """The current notes after restoring one project; with dry_run, diff_stat() from the target to now. The head moves to the target.
 
         Raises LookupError without such a checkpoint, and RuntimeError where the project has changes that no checkpoint holds.
         """
+        seen = self.at()
         wanted = self.spark.createDataFrame([(project_id, checkpoint_id)], "project_id STRING, checkpoint_id STRING")
-        target = resolve_targets(self.manifest(), self.heads(), wanted).first()
+        target = resolve_targets(seen.manifest(), seen.heads(), wanted).first()
         if target.error:
             raise LookupError(target.error)
         chosen = self.spark.createDataFrame([(project_id, target.checkpoint_id)], "project_id STRING, checkpoint_id STRING")
         own = current.where(F.col("project_id") == project_id)
-        snapshot = self.snapshots().join(chosen, ["project_id", "checkpoint_id"], "left_semi").select(current.columns)
         if dry_run:
-            return diff_stat(snapshot, own)
-        last = self.head_notes().where(F.col("project_id") == project_id)
-        if not change_set(last, own).isEmpty():
-            raise RuntimeError("there are changes that no checkpoint holds")
-        out = restored(current, self.snapshots(), chosen, last.unionByName(current.where(F.col("project_id") != project_id).select(last.columns)))
-        version = f"{self.path}/current/{uuid.uuid4().hex}"  # written before the head moves
-        out.write.parquet(version)
-        self._move_heads(chosen)
-        return self.spark.read.schema(out.schema).parquet(version)
+            return diff_stat(seen.snapshots(chosen).select(current.columns), own)
+        out, report = self.restore_all(current, chosen)
+        if error := report.first().error:
+            raise RuntimeError(error)
+        return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,36 @@ def requests(events: DataFrame) -> DataFrame:
         F.to_json(F.struct(F.col("user_id").cast("string").alias("project_id"), F.col("event_id").cast("string").alias("key"), value.alias("value")))
     )
     return events.select(F.col("event_id").alias("request_id"), tool.alias("tool"), arguments.alias("arguments"))
+
+
+def _day_time(documents: DataFrame):
+    """Every document ten minutes after the one before it."""
+    return F.timestamp_add("SECOND", F.col("doc_id") * 600, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def document_events(documents: DataFrame) -> DataFrame:
+    """Each document as a mutation of one of its source's notes: its length chooses the note and, in one of eleven, forgets it."""
+    n = F.col("n_chars")
+    op = F.when(n % 11 == 3, "forget").when(n % 3 == 0, "replace").otherwise("append")
+    return documents.select(
+        F.col("source").alias("project_id"), (n % 10).cast("string").alias("key"), op.alias("op"), F.md5("text").alias("value"), F.array("lang").alias("tags"),
+        _day_time(documents).alias("ts"), F.col("doc_id").alias("seq"),
+    )
+
+
+def document_tool_events(documents: DataFrame) -> DataFrame:
+    """Each document as a tool event of its source's session in its language's project: its length chooses the tool; one in seven changes an exempt path."""
+    n = F.col("n_chars") % 20
+    tool = F.when(n == 0, "onboard").when(n <= 9, "Edit").when(n <= 14, "Write").when(n <= 18, "Read")
+    path = F.when(F.col("n_chars") % 7 == 0, F.lit(".claude/map.md")).otherwise(F.concat(F.lit("src/"), F.md5("text")))
+    return documents.select(F.col("source").alias("session_id"), F.col("lang").alias("project_id"), tool.alias("tool_name"), path.alias("file_path"), _day_time(documents).alias("ts"), F.col("doc_id").alias("event_id"))
+
+
+def document_requests(documents: DataFrame) -> DataFrame:
+    """Each document as a recall request in its source, by its length: for a key, that of a document behind it; for a piece of its text, with a tag or without; for a tag; or for all."""
+    n = F.col("n_chars")
+    piece = F.translate(F.substring("text", 3, 12), string.ascii_lowercase, string.ascii_uppercase)  # engines differ in the upper case of other letters
+    return documents.select(
+        F.col("doc_id").alias("request_id"), F.col("source").alias("project_id"), F.when(n % 4 == 0, (F.col("doc_id") + n % 3).cast("string")).alias("key"), F.when((n % 4 == 1) | (n % 4 == 2), piece).alias("query"),
+        F.when(n % 4 == 2, F.array(F.lit("en"), F.lit("none"))).when(n % 8 == 3, F.array("lang")).alias("tags"), F.when(n % 5 != 4, n % 5).cast("int").alias("max_rows"),
+    )

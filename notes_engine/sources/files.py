@@ -96,7 +96,36 @@ def scan_settings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_notes(notes: DataFrame, path: str, version: int) -> str:
-    """Writes a new version of a notes table, by project, and returns its folder. The version that is being read is never overwritten."""
+    """Writes a new version of a notes table and returns its folder. The version that is being read is never overwritten.
+
+    Files hold ranges of projects, so that a scan of one project reads the
+    files whose statistics allow it, and their number follows the size.
+    """
     folder = f"{path.rstrip('/')}/version={version}"
-    notes.write.mode("error").partitionBy("project_id").parquet(folder)
+    notes.repartitionByRange("project_id", "position").sortWithinPartitions("project_id", "position").write.mode("error").parquet(folder)
     return folder
+
+
+def write_guarded(notes: DataFrame, rejects: DataFrame, path: str, version: int, *, stored: DataFrame | None = None) -> DataFrame:
+    """Writes a new version of a notes table without touching projects that have rejects: (project_id, n_notes, written, error), one row a project.
+
+    notes: what is to be written. rejects: (project_id, ...) of stores that
+    couldn't be read, as scan_notes() gives them; what their projects hold isn't
+    known, so nothing of notes is written for them. stored: the notes as they
+    are; those of refused projects are carried over as they stand. The refusal
+    is part of the plan, an anti-join, so a corrupt store fails its project and
+    not the table. n_notes: how many notes a project has in the new version.
+
+    Repeated rejects of a project: refused once. Rejects without a project
+    match none. Empty tables: an empty version.
+    """
+    refused = rejects.select("project_id").where("project_id IS NOT NULL").distinct()
+    kept = notes.join(refused, "project_id", "left_anti")
+    if stored is not None:
+        kept = kept.unionByName(stored.join(refused, "project_id", "left_semi").select(notes.columns))
+    folder = write_notes(kept, path, version)
+    new = notes.sparkSession.read.schema(kept.schema).parquet(folder).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_notes"))
+    projects = notes.select("project_id").union(refused).distinct()
+    report = projects.join(new, "project_id", "left").join(refused.withColumn("_refused", F.lit(True)), "project_id", "left")
+    written = F.col("_refused").isNull()
+    return report.select("project_id", F.coalesce("n_notes", F.lit(0)).alias("n_notes"), written.alias("written"), F.when(~written, "a store of the project could not be read").alias("error"))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notes_engine.streaming.processors import PROVIDER
@@ -23,6 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Micro-batches that arrivals() makes of a table.
+ARRIVALS = 6
+
+
+def arrivals(df: DataFrame, at: Column, late: Column, name: str) -> DataFrame:
+    """A stream of df in ARRIVALS micro-batches or somewhat more, by the number at (least to greatest in equal steps), and a step later where late is true.
+
+    The rows are written to the shared folder a step at a time, as a file source
+    reads files in the order of their times.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    low, high = low or 0, high or 0
+    step = F.floor((at - low) * (ARRIVALS - 1) / (high - low + 1)) + late.cast("int")
+    rows = df.withColumn("_step", F.coalesce(step, F.lit(0)))
+    for k in range(ARRIVALS):
+        rows.where(F.col("_step") == k).drop("_step").write.parquet(f"{path}/step={k}")
+    files = len(spark.read.parquet(f"{path}/step=*").inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // ARRIVALS)).parquet(f"{path}/step=*")
+
+
 def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """All that the stream emits until its input is read, with batch_id. State is in RocksDB, checkpoints and rows in the shared folder."""
     spark = stream.sparkSession
