@@ -56,4 +56,4 @@ class Commits:
         schema = "number BIGINT, token STRING"
         if until <= since:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).json(f"{self.path}/*.json").where((F.col("number") <= until) & (F.col("number") > since))
+        return self.spark.read.schema(schema).json(self.path).where((F.col("number") <= until) & (F.col("number") > since))
