@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from notes_engine.functions import canonical_tags
 from notes_engine.operators.recall import DEFAULT_LIMIT, by_recency
 
-#: Notes of a project that one task goes through, and how many projects are split at most: with more notes the first grows.
-SLICE_NOTES, SPLIT_PROJECTS = 20_000, 4096
+#: Notes of a project that one task goes through at least, before the project is split.
+SLICE_NOTES = 20_000
 _NOTE = ("key", "value", "tags", "created_at", "updated_at", "position")
 _SEARCH = ("project_id", "query", "any_tags", "top")
 
@@ -119,12 +119,15 @@ def _passed(batches: Iterator[pa.RecordBatch], schema: pa.Schema, at_once: int =
 def _candidates(notes: DataFrame, searches: DataFrame) -> DataFrame:
     """(search, the note's columns): of each search and slice of a project, the most recent notes found, as many as its limit.
 
-    Rows of both sides are sent with one set of columns: a search's name, text,
-    tags and limit stand in key, value, tags and position.
+    A project is split into no more slices than there are shuffle partitions: a
+    search goes to as many tasks as can work on it at once, and a slice's notes
+    pass by one by one. Rows of both sides are sent with one set of columns: a
+    search's name, text, tags and limit stand in key, value, tags and position.
     """
-    most = max(SLICE_NOTES, notes.count() // SPLIT_PROJECTS)
+    partitions = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(SLICE_NOTES, notes.count() // partitions)
     large = notes.groupBy("project_id").count().where(F.col("count") > most).select("project_id", (F.floor(F.col("count") / most) + 1).cast("int").alias("_parts"))
-    large = F.broadcast(large)  # SPLIT_PROJECTS rows at most
+    large = F.broadcast(large)  # fewer rows than partitions
     parts = F.coalesce("_parts", F.lit(1))
     own = notes.join(large, "project_id", "left").select("project_id", F.pmod(F.xxhash64("key", "position"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), *_NOTE)
     asked = searches.join(large, "project_id", "left").select(
