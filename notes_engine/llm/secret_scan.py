@@ -23,14 +23,18 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 #: Bits a character that some window must reach, by character class. Random hexadecimal digits reach about 3.4 of 4, random base64 4.1 of 4.3.
 MIN_BITS = {"hex": 3.0, "base64": 3.75}
-#: Candidates that match one of these are known to be harmless.
+#: Parts of candidates that are known to be harmless: fillers hide themselves, words WINDOW characters on each side too.
+FILLER = r"(?i)0123456789|abcdefghij|xxxx+|(.)\1{7,}"
+HARMLESS = rf"(?i).{{0,{WINDOW}}}(?:example|sample|dummy|placeholder|changeme|redacted|lorem).{{0,{WINDOW}}}"
+#: What is left of a candidate is harmless if all of it matches one of these.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|redacted|lorem",
-    r"(?i)0123456789|abcdefghij|xxxx|(.)\1{7}",
     r"^[0-9]+$",
     r"^[A-Za-z_=/+-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
+#: Counts of a window's characters are packed, so many bits each, into longs.
+COUNT_BITS = 5
+PER_LONG = 60 // COUNT_BITS
 
 
 def _places(text: Column, pattern: str) -> Column:
@@ -55,37 +59,64 @@ def _places(text: Column, pattern: str) -> Column:
 
 
 def _weight(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    """n log2 n, of a window's counts."""
+    known = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]
+    return F.get(F.array(*[F.lit(x) for x in known]), n)
 
 
-def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits a character, of any window of a run over ALPHABET.
+def window_entropy(value: Column) -> Column:
+    """The highest Shannon entropy, in bits a character, of any window of WINDOW characters of a run over ALPHABET.
 
     One step a character: the counts of the character that comes in and of the
-    one that goes out change by one, and so do their terms of the sum.
+    one that goes out change by one, and so do their terms of the sum. Counts
+    are packed into a few longs, of which a step changes two.
     """
+    units = F.array(*[F.lit(1 << COUNT_BITS * k).cast("long") for k in range(PER_LONG)])
+    mask = (1 << COUNT_BITS) - 1
 
-    def scan(chars: Column) -> Column:
+    def scan(codes: Column) -> Column:
         start = F.struct(
-            F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"), F.lit(0).alias("at"),
+            F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PER_LONG)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"), F.lit(0).alias("at"),
         )
 
-        def step(acc: Column, c: Column) -> Column:
-            come = F.instr(F.lit(ALPHABET), c) - 1
-            gone = F.coalesce(F.instr(F.lit(ALPHABET), F.get(chars, acc["at"] - window)) - 1, F.lit(-1))
-            n_in = F.coalesce(F.get(acc["counts"], come), F.lit(0))
-            n_out = F.coalesce(F.get(acc["counts"], gone), F.lit(0))
-            changed = acc["sum"] + F.when(come == gone, 0.0).otherwise(_weight(n_in + 1) - _weight(n_in) + _weight(n_out - 1) - _weight(n_out))
+        def count(acc: Column, code: Column) -> Column:
+            held = F.get(acc["counts"], F.floor(code / PER_LONG).cast("int"))
+            return F.call_function("shiftright", held, code % PER_LONG * COUNT_BITS).bitwiseAND(mask).cast("int")
+
+        def step(acc: Column, come: Column) -> Column:
+            gone = F.get(codes, acc["at"] - WINDOW)
+            n_in = count(acc, come)
+            n_out = count(acc, F.coalesce(gone, come))
+            change = F.when(gone.isNull(), _weight(n_in + 1) - _weight(n_in)).when(come == gone, 0.0).otherwise(_weight(n_in + 1) - _weight(n_in) + _weight(n_out - 1) - _weight(n_out))
+            unit = lambda code, k: F.when(F.floor(code / PER_LONG) == k, F.get(units, code % PER_LONG)).otherwise(F.lit(0).cast("long"))
             return F.struct(
-                F.transform(acc["counts"], lambda n, k: n + F.when(k == come, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0)).alias("counts"),
-                changed.alias("sum"),
-                F.when(acc["at"] >= window - 1, F.least(acc["least"], changed)).otherwise(acc["least"]).alias("least"),
+                F.transform(acc["counts"], lambda n, k: n + unit(come, k) - F.coalesce(unit(gone, k), F.lit(0).cast("long"))).alias("counts"),
+                (acc["sum"] + change).alias("sum"),
+                F.when(acc["at"] >= WINDOW - 1, F.least(acc["least"], acc["sum"] + change)).otherwise(acc["least"]).alias("least"),
                 (acc["at"] + 1).alias("at"),
             )
 
-        return F.aggregate(chars, start, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
+        return F.aggregate(codes, start, step, lambda acc: F.lit(math.log2(WINDOW)) - acc["least"] / WINDOW)
+
+    chars = F.array_remove(F.split(value, ""), "")
+    return let(F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c) - 1), scan)
+
+
+def suspicious(value: Column) -> Column:
+    """Whether some part of a run, between what is known to be harmless, has a window whose entropy reaches its class's bits."""
+
+    def part(v: Column) -> Column:
+        allowed = F.length(v) < WINDOW
+        for pattern in ALLOWED:
+            allowed = allowed | v.rlike(pattern)
+        bits = F.when(v.rlike("^[0-9a-fA-F]+$"), MIN_BITS["hex"]).otherwise(MIN_BITS["base64"])
+        return F.when(allowed, False).otherwise(window_entropy(v) >= bits)
 
-    return let(F.array_remove(F.split(value, ""), ""), scan)
+    whole = F.lit(False)
+    for pattern in ALLOWED:
+        whole = whole | value.rlike(pattern)
+    left = F.split(F.regexp_replace(F.regexp_replace(value, HARMLESS, " "), FILLER, " "), " ")
+    return F.when(whole, False).otherwise(F.exists(left, part))
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,30 +124,27 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Kinds: what the patterns assign, access and hex match (an assignment's value
     has MIN_VALUE characters or more), and entropy: a candidate run, outside all
-    of those and not on the allow-list, with a window whose entropy reaches its
-    class's bits. No shuffle. Null and empty text: no spans. Null ids and
-    repeated rows pass through. Very long texts: time in proportion to their
-    length. Empty table: no rows.
+    of those, with a window whose entropy reaches its class's bits. The
+    allow-list takes parts out of a run before that; what is left on either side
+    is looked at by itself. No shuffle. Null and empty text: no spans. Null ids
+    and repeated rows pass through. Ties: spans of one start are in the order of
+    KINDS. Clashing names: other columns of docs aren't read. Very long texts: a
+    run takes time in proportion to its length. Empty table: no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     span = lambda kind: lambda p: F.struct(p["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), p["end"].alias("end"), p["value"].alias("value"))
     assigned = F.filter(_places(text, ASSIGN), lambda p: F.length(F.regexp_extract(p["value"], ASSIGN, 2)) >= MIN_VALUE)
     base = F.concat(F.transform(assigned, span("assign")), F.transform(_places(text, ACCESS), span("access")), F.transform(_places(text, HEX), span("hex")))
 
-    def suspicious(b: Column):
+    def unknown(b: Column):
         def test(p: Column) -> Column:
-            v = p["value"]
-            allowed = F.lit(False)
-            for pattern in ALLOWED:
-                allowed = allowed | v.rlike(pattern)
             inside = F.exists(b, lambda s: (s["start"] <= p["start"]) & (s["end"] >= p["end"]))
-            bits = F.when(v.rlike("^[0-9a-fA-F]+$"), MIN_BITS["hex"]).otherwise(MIN_BITS["base64"])
-            return F.when(allowed | inside, False).otherwise(window_entropy(v) >= bits)
+            return F.when(inside, False).otherwise(suspicious(p["value"]))
 
         return test
 
     candidates = _places(text, CANDIDATE)
-    spans = let(base, lambda b: F.array_sort(F.concat(b, F.transform(F.filter(candidates, suspicious(b)), span("entropy")))))
+    spans = let(base, lambda b: F.array_sort(F.concat(b, F.transform(F.filter(candidates, unknown(b)), span("entropy")))))
     return docs.select(F.col(id_col), spans.alias("spans"))
 
 

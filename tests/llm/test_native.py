@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -181,13 +182,15 @@ def test_entropy_spans(make_docs):
 
 
 def plain_spans(text):
-    """Base spans, and candidates outside of them that no allowed pattern matches and whose entropy is high enough."""
+    """Base spans, and candidates outside of them of which a part, between harmless ones, isn't allowed as a whole and has an entropy that is high enough."""
     base = base_spans(text)
     more = []
     for m in re.finditer(ss.CANDIDATE, text):
         inside = any(s <= m.start() and m.end() <= e for s, _, e in base)
-        bits = ss.MIN_BITS["hex" if re.fullmatch("[0-9a-fA-F]+", m[0]) else "base64"]
-        if not inside and not any(re.search(p, m[0]) for p in ss.ALLOWED) and entropy(m[0]) >= bits - 1e-9:
+        bits = lambda v: ss.MIN_BITS["hex" if re.fullmatch("[0-9a-fA-F]+", v) else "base64"]
+        allowed = lambda v: any(re.search(p, v) for p in ss.ALLOWED)
+        left = re.sub(ss.FILLER, " ", re.sub(ss.HARMLESS, " ", m[0])).split(" ")
+        if not inside and not allowed(m[0]) and any(len(v) >= 20 and not allowed(v) and entropy(v) >= bits(v) - 1e-9 for v in left):
             more.append((m.start(), 3, m.end()))
     return base, sorted(base + more)
 
@@ -215,5 +218,23 @@ def test_op3_against_plain_python(spark, sf_dir, tmp_path, make_docs):
     assert n > 50
 
 
+def test_allowed_parts_hide_no_other_part(make_docs):
+    """A key on both sides of an allowed form; random runs of any length, in which allowed forms occur by chance."""
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice(ss.ALPHABET[:62]) for _ in range(n))
+    texts = [key(28) + "xXXx" + key(28), key(45) + "dummy" + key(45), key(10) + "EXAMPLE" + key(12), "x" * 60, key(100_000) + "xXXx0123456789example" + key(100_000), key(28) + "0123456789"]
+    rows = [[(s.start, s.end) for s in r.spans] for r in ss.scan_secrets(make_docs(texts)).orderBy("doc_id").collect()]
+    assert rows == [[(0, 60)], [(0, 95)], [], [], [(0, len(texts[4]))], [(0, 38)]]
+
+
+def test_a_very_long_run_takes_time_in_proportion(make_docs):
+    """Counts change at two places a character: a run of a million takes seconds."""
+    rng = random.Random(9)
+    docs = make_docs(["".join(rng.choices(ss.ALPHABET[:62], k=1_000_000))])
+    began = time.perf_counter()
+    assert len(ss.scan_secrets(docs).first().spans) == 1
+    assert time.perf_counter() - began < 30
+
+
 def test_secret_empty(make_docs):
     assert ss.scan_secrets(make_docs([])).count() == 0
