@@ -40,8 +40,8 @@ def _phrase(label: str, text: str, key: str | None = None, base: bool = False) -
     return Template(label, text, key or text, base)
 
 
-#: Words of a template that are looked up in each file.
-LOOKED_UP = 2
+#: How many of a file's own rarest words of a template are looked up, besides the rarest of its key phrase.
+LOOKED_UP = 3
 #: Wordings of public licences, in lower case.
 TEMPLATES = (
     _phrase("mit", "under the mit license", base=True),
@@ -52,6 +52,12 @@ TEMPLATES = (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
         "hereby granted free of charge",
     ),
+    _phrase("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "shall be included in all copies or substantial portions"),
+    _phrase(
+        "mit",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "as is without warranty of any kind express or implied",
+    ),
     _phrase("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
     _phrase("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
     _phrase(
@@ -66,6 +72,11 @@ TEMPLATES = (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "redistribution and use in source and binary forms",
     ),
+    _phrase(
+        "bsd",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "may be used to endorse or promote products derived from this software",
+    ),
     _phrase("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     _phrase("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     _phrase("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
@@ -84,53 +95,59 @@ def word_counts(docs: DataFrame, words: list[str], *, text_col: str = "text") ->
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_words, and matches: array of (template, label, base, start, score).
-
-    A first pass counts, over all documents, how rare each key word is. In the
-    second, a file's own licence words are put in order of IDF; of each template
-    whose key words it has, its LOOKED_UP rarest are looked up. Their postings
-    give where the template would start; where they agree, its key phrase is
-    checked word by word. start: the template's first word, from 0 (below 0
-    where the text begins inside it); score: the part of the template's words
-    that stand where they should, so a reworded licence with a whole key phrase
+    """One row per row of docs: id, n_words, and matches: array of (template, label, base, start, score, votes).
+
+    A first pass counts, over all documents, how rare each licence word is. In
+    the second, the words that a file shares with the templates are put in order
+    of IDF. Of each template whose key words it has, the LOOKED_UP rarest that
+    the file has are looked up, whichever these are, and the rarest of the key
+    phrase. The postings of all of them give where the template would start;
+    there its key phrase is checked word by word. start: the template's first
+    word, from 0 (below 0 where the text begins inside it); votes: how many of
+    the words looked up stand in their place from that start; score: the part of
+    the template's words that do, so a reworded licence with a whole key phrase
     keeps its label and scores below 1.
 
-    Every place of a key phrase is found, since the words looked up stand there.
-    Ties: of equally rare words, the one that sorts first is looked up, which
-    changes no result. No shuffle of texts. Null and empty text: no words, no
-    matches. Null ids and repeated rows pass through. Further columns of docs
-    are not read. Very long texts: time in proportion to their words. Empty
-    table: no rows.
+    Every place of a key phrase is found, since its rarest word stands there and
+    is looked up. Ties: of equally rare words, the one that sorts first is
+    looked up, which changes votes alone. No shuffle of texts. Null and empty text:
+    no words, no matches. Null ids and repeated rows pass through. Further
+    columns of docs are not read. Very long texts: time in proportion to their
+    words. Empty table: no rows.
     """
-    vocabulary = sorted({w for t in templates for w in t.key_words})
+    vocabulary = sorted({w for t in templates for w in t.words})
     counts = word_counts(docs, vocabulary, text_col=text_col)
     by_idf = F.array(*[F.lit(w) for w in sorted(vocabulary, key=lambda w: (counts[w], w))])
     keys = [F.split(F.lit(t.key), " ") for t in templates]
     fewest = min((len(set(t.key_words)) for t in templates), default=0)
-    kind = "array<struct<template:int,label:string,base:boolean,start:int,score:double>>"
+    kind = "array<struct<template:int,label:string,base:boolean,start:int,score:double,votes:int>>"
     nothing = F.array().cast(kind)
 
     def rarest(mine: Column) -> Column:
         """Of each template, the words to look up: none where a key word is missing."""
 
         def of(t: Template, key: Column) -> Column:
-            return let(F.array_intersect(mine, key), lambda c: F.when(F.size(c) == len(set(t.key_words)), F.slice(c, 1, LOOKED_UP)).otherwise(F.array().cast("array<string>")))
+            own = F.slice(F.array_intersect(mine, F.split(F.lit(t.text), " ")), 1, LOOKED_UP)
+            return let(F.array_intersect(mine, key), lambda c: F.when(F.size(c) == len(set(t.key_words)), F.array_union(F.slice(c, 1, 1), own)).otherwise(F.array().cast("array<string>")))
 
         return F.array(*[of(t, key) for t, key in zip(templates, keys, strict=True)])
 
     def matches(w: Column, chosen: Column) -> Column:
         def of(k: int, t: Template, key: Column, hits: Column) -> Column:
+            text = F.split(F.lit(t.text), " ")
+
             def starts(word: Column) -> Column:
-                place = F.array_position(key, word).cast("int") - 1 + t.key_at
-                return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"] - place)
+                """A start for each of the word's places in the file and each in the template."""
+                here = F.filter(F.transform(text, lambda x, j: F.when(x == word, j)), lambda j: j.isNotNull())
+                return F.flatten(F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: F.transform(here, lambda j: h["i"] - j)))
 
-            agreed = F.transform(chosen[k], starts)
-            both = F.array_intersect(agreed[0], F.coalesce(F.get(agreed, F.lit(1)), agreed[0]))
-            whole = F.filter(both, lambda s: (s + t.key_at >= 0) & (F.slice(w, F.greatest(s + t.key_at, F.lit(0)) + 1, len(t.key_words)) == key))
+            voted = F.array_distinct(F.flatten(F.transform(chosen[k], starts)))
+            whole = F.filter(voted, lambda s: (s + t.key_at >= 0) & (F.slice(w, F.greatest(s + t.key_at, F.lit(0)) + 1, len(t.key_words)) == key))
 
             def told(s: Column) -> Column:
-                same = F.size(F.filter(F.transform(F.split(F.lit(t.text), " "), lambda x, j: F.get(w, s + j) == x), lambda x: x))
-                return F.struct(F.lit(k).alias("template"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"), (same / F.lit(float(len(t.words)))).alias("score"))
+                same = F.filter(text, lambda x, j: F.get(w, s + j).eqNullSafe(x))
+                votes = F.size(F.array_intersect(chosen[k], same))
+                return F.struct(F.lit(k).alias("template"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.alias("start"), (F.size(same) / F.lit(float(len(t.words)))).alias("score"), votes.alias("votes"))
 
             return F.when(F.size(chosen[k]) == 0, nothing).otherwise(F.transform(F.array_sort(whole), told))
 

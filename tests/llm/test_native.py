@@ -122,6 +122,41 @@ def test_reworded_license(make_docs):
     assert rows[0][0].score == 1 and 0.5 < rows[1][0].score < 1
 
 
+def test_files_look_up_their_own_rarest_words(make_docs):
+    """Of one licence, two files that have different words of it look up different words; each wording is found, whole and reworded."""
+    gpl = next(t for t in ls.TEMPLATES if t.label == "gpl" and "redistribute" in t.text)
+    head, tail = gpl.text.split(gpl.key)
+    common = " ".join(["this program is free software under the terms as published by"] * 3)
+    texts = [gpl.text, gpl.key + tail, head + gpl.key, *[common] * 40, *["gnu general public license"] * 20, *["free software foundation"] * 30]
+    rows = [[m for m in r.matches if m.template == ls.TEMPLATES.index(gpl)] for r in ls.scan_licenses(make_docs(texts)).orderBy("doc_id").collect()]
+    assert [len(r) for r in rows[:4]] == [1, 1, 1, 0] and rows[0][0].score == 1 and rows[0][0].start == 0 and rows[1][0].start == -len(head.split())
+    words = [sorted(set(x.split()) & set(gpl.words)) for x in texts]
+    counts = Counter(w for x in words for w in x)
+    looked = [sorted(words[k], key=lambda w: (counts[w], w))[: ls.LOOKED_UP] for k in range(3)]
+    assert looked[1] != looked[2]  # tail's words in one, head's in the other
+    for k in range(3):
+        rarest_key = min(gpl.key_words, key=lambda w: (counts[w], w))
+        place = rows[k][0].start
+        here = texts[k].split()
+        assert rows[k][0].votes == sum(any(0 <= place + j < len(here) and here[place + j] == w for j, x in enumerate(gpl.words) if x == w) for w in {*looked[k], rarest_key})
+
+
+@pytest.mark.parametrize("k", range(len(ls.TEMPLATES)))
+def test_every_wording_is_found_whole_and_reworded(k):
+    """By plain Python: key phrases stand in their wordings, and no wording repeats another's text."""
+    t = ls.TEMPLATES[k]
+    assert t.words[t.key_at : t.key_at + len(t.key_words)] == t.key_words and all(t.text != o.text for o in ls.TEMPLATES if o is not t)
+
+
+def test_wordings_in_texts(make_docs):
+    texts = [x for t in ls.TEMPLATES for x in (f"Copyright 2020. {t.text.title()}.", " ".join(w if t.key_at <= j < t.key_at + len(t.key_words) else f"{w}s" for j, w in enumerate(t.words)))]
+    rows = [r.matches for r in ls.scan_licenses(make_docs(texts)).orderBy("doc_id").collect()]
+    for k, t in enumerate(ls.TEMPLATES):
+        whole, reworded = ([m for m in rows[2 * k + j] if m.template == k] for j in range(2))
+        assert [(m.start, m.score, m.label) for m in whole] == [(2, 1.0, t.label)]
+        assert [m.start for m in reworded] == [0] and (reworded[0].score < 1 or t.key == t.text)
+
+
 def test_license_very_long_text(clash):
     text = "the license " * 20_000 + "Under the MIT License. " + "permission granted " * 20_000
     (row,) = ls.scan_licenses(clash([text])).collect()
