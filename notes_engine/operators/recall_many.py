@@ -24,7 +24,7 @@ from notes_engine.operators.recall import DEFAULT_LIMIT, by_recency
 
 #: Notes of a project that one task goes through at least, before the project is split.
 SLICE_NOTES = 20_000
-_NOTE = ("key", "value", "tags", "created_at", "updated_at", "position")
+_SENT = ("key", "value", "tags", "updated_at", "position")
 _SEARCH = ("project_id", "query", "any_tags", "top")
 
 
@@ -63,9 +63,8 @@ class Searches:
             self.automaton.make_automaton()
         return {word for _, word in self.automaton.iter(text)}
 
-    def see(self, row: tuple) -> None:
-        """row: a note in the order of _NOTE."""
-        key, value, tags, _, updated, position = row
+    def see(self, key: str | None, value: str | None, tags: list[str | None] | None, updated: object, position: int) -> None:
+        """A note passes by."""
         own = {t for t in tags or () if t is not None}
         hits = set(self.all)
         for t in own:
@@ -75,49 +74,50 @@ class Searches:
                 hits.update(n for n in self.by_text[word] if not self.tags[n] or self.tags[n] & own)
         if not hits:
             return
-        # Missing times last, ties by position; the number tells equal rows apart.
-        place = (updated is not None, updated, -position) if updated is not None else (False, 0, -position)
+        # Missing times last, ties by position.
+        note = (updated is not None, updated if updated is not None else 0, -position, key is not None, key or "")
         for n in hits:
             best = self.found[n]
             if len(best) < self.limits[n]:
-                heapq.heappush(best, (place, len(best), row))
-            elif best and place > best[0][0]:
-                heapq.heapreplace(best, (place, best[0][1], row))
+                heapq.heappush(best, note)
+            elif best and note[:3] > best[0][:3]:
+                heapq.heapreplace(best, note)
 
     def results(self) -> Iterator[tuple]:
         for name, best in zip(self.names, self.found, strict=True):
-            for _, _, row in best:
-                yield name, *row
+            for timed, updated, place, keyed, key in best:
+                yield name, key if keyed else None, updated if timed else None, -place
 
 
-def _passed(batches: Iterator[pa.RecordBatch], schema: pa.Schema, at_once: int = 2000) -> Iterator[pa.RecordBatch]:
+def _passed(batches: Iterator[pa.RecordBatch], at_once: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches sorted by project, slice and kind (searches before notes); see _candidates()."""
+    schema = pa.schema([("search", pa.string()), ("key", pa.string()), ("updated_at", pa.timestamp("us")), ("position", pa.int64())])
     group, searches, held = None, Searches(), []
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for project, part, kind, *row in zip(*columns, strict=True):
-            if (project, part) != group:
-                held += searches.results()
-                group, searches = (project, part), Searches()
-            if kind == 0:
-                name, text, tags, _, _, limit = row
-                searches.add(name, text or "", tags or [], limit)
-            elif searches.names:
-                searches.see(tuple(row))
+    for whole in batches:
+        for begin in range(0, whole.num_rows, at_once):
+            columns = [c.to_pylist() for c in whole.slice(begin, at_once).columns]
+            for project, part, kind, key, value, tags, updated, position in zip(*columns, strict=True):
+                if (project, part) != group:
+                    held += searches.results()
+                    group, searches = (project, part), Searches()
+                if kind == 0:
+                    searches.add(key, value or "", tags or [], position)
+                elif searches.names:
+                    searches.see(key, value, tags, updated, position)
             if len(held) >= at_once:
                 yield told(held)
                 held = []
     held += searches.results()
-    for at in range(0, len(held), at_once):
-        yield told(held[at : at + at_once])
+    if held:
+        yield told(held)
 
 
 def _candidates(notes: DataFrame, searches: DataFrame) -> DataFrame:
-    """(search, the note's columns): of each search and slice of a project, the most recent notes found, as many as its limit.
+    """(search, key, updated_at, position): of each search and slice of a project, the most recent notes found, as many as its limit.
 
     A project is split into no more slices than there are shuffle partitions: a
     search goes to as many tasks as can work on it at once, and a slice's notes
@@ -129,34 +129,22 @@ def _candidates(notes: DataFrame, searches: DataFrame) -> DataFrame:
     large = notes.groupBy("project_id").count().where(F.col("count") > most).select("project_id", (F.floor(F.col("count") / most) + 1).cast("int").alias("_parts"))
     large = F.broadcast(large)  # fewer rows than partitions
     parts = F.coalesce("_parts", F.lit(1))
-    own = notes.join(large, "project_id", "left").select("project_id", F.pmod(F.xxhash64("key", "position"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), *_NOTE)
+    own = notes.join(large, "project_id", "left").select("project_id", F.pmod(F.xxhash64("key", "position"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), *_SENT)
     asked = searches.join(large, "project_id", "left").select(
         "project_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.col("search").alias("key"), F.col("query").alias("value"), F.col("any_tags").alias("tags"),
-        F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"), F.col("top").cast("long").alias("position"),
+        F.lit(None).cast("timestamp_ntz").alias("updated_at"), F.col("top").cast("long").alias("position"),
     )
     dealt = asked.unionByName(own).repartition("project_id", "part").sortWithinPartitions("project_id", "part", "kind")
-    time = pa.timestamp("us")
-    schema = pa.schema([("search", pa.string()), ("key", pa.string()), ("value", pa.string()), ("tags", pa.list_(pa.string())), ("created_at", time), ("updated_at", time), ("position", pa.int64())])
-    out = "search string, key string, value string, tags array<string>, created_at timestamp_ntz, updated_at timestamp_ntz, position long"
-    return dealt.mapInArrow(lambda batches: _passed(batches, schema), out)
+    return dealt.mapInArrow(_passed, "search string, key string, updated_at timestamp_ntz, position long")
 
 
-def recall_many(notes: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request_id, rank, the note's columns): what recall_batch() gives, for any number of requests.
-
-    requests: (request_id, project_id, key, query, tags, max_rows). A key, where
-    one is given, decides alone; else query and tags, as far as they are given;
-    without either all notes are found. A null limit is the default, and one
-    under 0 finds nothing. Null projects match none. Repeated requests: each has
-    its rows. Nulls in notes: as empty; missing times come last. Empty tables: no
-    rows.
-    """
+def found_places(notes: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, rank, project_id, key, position) of what each request finds; see recall_many()."""
     asked = requests.withColumn("_key", F.coalesce("key", F.lit("")))
     by_key = asked.where("_key <> ''").select("request_id", "project_id", F.col("_key").alias("key"))
-    first = F.min_by(F.struct(*[n for n in _NOTE if n != "key"]), "position").alias("_n")
-    wanted = by_key.select("project_id", "key").distinct()
-    looked_up = notes.join(wanted, ["project_id", "key"], "left_semi").groupBy("project_id", "key").agg(first)
-    found_by_key = by_key.join(looked_up, ["project_id", "key"]).select("request_id", F.lit(1).alias("rank"), "project_id", "key", "_n.*")
+    first = notes.select("project_id", "key", "position").join(by_key.select("project_id", "key").distinct(), ["project_id", "key"], "left_semi").groupBy("project_id", "key").agg(F.min("position").alias("position"))
+    columns = ["request_id", "rank", "project_id", "key", "position"]
+    found_by_key = by_key.join(first, ["project_id", "key"]).withColumn("rank", F.lit(1)).select(columns)
 
     tags = canonical_tags(F.col("tags"))
     free = asked.where("_key = '' AND project_id IS NOT NULL").select("request_id", "project_id", F.lower(F.coalesce("query", F.lit(""))).alias("query"), tags.alias("any_tags"), F.coalesce("max_rows", F.lit(DEFAULT_LIMIT)).alias("top"))
@@ -166,6 +154,21 @@ def recall_many(notes: DataFrame, requests: DataFrame) -> DataFrame:
     highest = searches.agg(F.coalesce(F.max("top"), F.lit(0))).first()[0]
     place = F.row_number().over(Window.partitionBy("search").orderBy(*by_recency()))
     # The constant lets each task cut its rows before they are sent; the search's own limit follows.
-    ranked = kept.withColumn("rank", place).where(F.col("rank") <= highest).where(F.col("rank") <= F.col("top")).drop("top")
-    columns = ["request_id", "rank", "project_id", *_NOTE]
-    return free.select("request_id", "search").join(ranked, "search").select(columns).unionByName(found_by_key.select(columns))
+    ranked = kept.withColumn("rank", place).where(F.col("rank") <= highest).where(F.col("rank") <= F.col("top"))
+    return free.select("request_id", "search").join(ranked, "search").select(columns).unionByName(found_by_key)
+
+
+def recall_many(notes: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, rank, the note's columns): what recall_batch() gives, for any number of requests.
+
+    requests: (request_id, project_id, key, query, tags, max_rows). A key, where
+    one is given, decides alone; else query and tags, as far as they are given;
+    without either all notes are found. A null limit is the default, and one
+    under 0 finds nothing. Null projects match none. Repeated requests: each has
+    its rows. Notes are told apart by project, key and position. Nulls in notes:
+    as empty; missing times come last. Empty tables: no rows.
+    """
+    found = found_places(notes, requests)
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("key", "position")]
+    joined = notes.alias("n").join(found.alias("f"), (F.col("f.project_id") == F.col("n.project_id")) & same[0] & same[1])
+    return joined.select("f.request_id", "f.rank", *[f"n.{c}" for c in notes.columns])
