@@ -21,8 +21,8 @@ KEYS = ["project_id", "key"]
 
 
 def change_set(old: DataFrame, new: DataFrame, *, tracked_only: bool = False) -> DataFrame:
-    """(project_id, key, status): A added, D deleted, M changed value or tags. tracked_only: without what is new."""
-    side = lambda df: df.select(*KEYS, F.struct("value", "tags").alias("note"))
+    """(project_id, key, status): A added, D deleted, M changed value or tags. tracked_only: without what is new. Values are compared by their SHA-256, so texts aren't sent."""
+    side = lambda df: df.select(*KEYS, F.struct(F.unhex(F.sha2("value", 256)).alias("value"), "tags").alias("note"))
     both = side(old).withColumnRenamed("note", "was").join(side(new).withColumnRenamed("note", "now"), KEYS, "full_outer")
     status = F.when(F.col("was").isNull(), "A").when(F.col("now").isNull(), "D").when(~F.col("was").eqNullSafe(F.col("now")), "M")
     changed = both.select(*KEYS, status.alias("status")).where("status IS NOT NULL")
@@ -30,8 +30,9 @@ def change_set(old: DataFrame, new: DataFrame, *, tracked_only: bool = False) ->
 
 
 def diff_stat(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(project_id, key, insertions, deletions) of keys whose lines differ, as multisets of lines: a moved line is no change."""
-    lines = lambda df, sign: df.select(*KEYS, F.explode(F.split(F.coalesce("value", F.lit("")), "\n", -1)).alias("line"), F.lit(sign).alias("n"))
+    """(project_id, key, insertions, deletions) of keys whose lines differ, as multisets of lines: a moved line is no change. Lines are counted by their MD5, so texts aren't sent."""
+    digests = F.transform(F.split(F.coalesce("value", F.lit("")), "\n", -1), lambda line: F.unhex(F.md5(line)))
+    lines = lambda df, sign: df.select(*KEYS, F.explode(digests).alias("line"), F.lit(sign).alias("n"))
     differ = lines(old, -1).unionByName(lines(new, 1)).groupBy(*KEYS, "line").agg(F.sum("n").alias("n")).where("n <> 0")
     return differ.groupBy(*KEYS).agg(F.sum(F.greatest("n", F.lit(0))).alias("insertions"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("deletions"))
 
