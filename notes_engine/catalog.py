@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import string
 import uuid
 from collections.abc import Callable
@@ -14,8 +15,8 @@ from notes_engine.operators import checkpoints, context, fold, gate, line_diff,
 from notes_engine.operators.checkpoints import MARKER
 from notes_engine.operators.recall_many import recall_many as recall_many_requests
 from notes_engine.plans import adapters
-from notes_engine.sources import files, lines, requests
-from notes_engine.streaming import event_time, processors
+from notes_engine.sources import files, hooks, lines, requests
+from notes_engine.streaming import event_time, fan_out, processors
 from notes_engine.streaming.runs import ARRIVALS, arrivals, run_to_table, shared_dir
 
 #: Literals that the recall queries look for.
@@ -219,16 +220,57 @@ def restore_preview(spark: SparkSession, d: str) -> DataFrame:
 
 
 def guarded_write(spark: SparkSession, d: str) -> DataFrame:
-    """Scans stores of which some sources' are cut off, changes every note, and writes the new version: its notes, and which sources were refused."""
+    """Changes every note and writes the new version, guarded by a scan of the sources' stores, some of which are cut off: its notes, and which sources were refused."""
     path = f"{shared_dir(spark)}/guarded-{uuid.uuid4().hex}"
-    files.write_stores(_notes(spark, d), f"{path}/stores")
-    cut = _notes(spark, d).select("project_id").distinct().where(F.col("project_id").rlike("[37]$"))
-    cut.withColumn("value", F.lit('[{"key": "cut')).write.partitionBy("project_id").text(f"{path}/broken")
-    notes, rejects = files.scan_notes(spark, [f"{path}/stores/*/*/*.txt", f"{path}/broken/*/*.txt"])
+    notes = _notes(spark, d)
+    body = F.when(F.col("project_id").rlike("[37]$"), '[{"key": "cut').otherwise('[{"key": "whole"}]')
+    notes.select("project_id").distinct().withColumn("value", body).write.partitionBy("project_id").text(f"{path}/stores")
+    _, rejects = files.scan_notes(spark, f"{path}/stores/*/*.txt")
+    rejects = rejects.withColumn("project_id", F.regexp_replace("project_id", "^project_id=", ""))
     report = files.write_guarded(notes.withColumn("value", F.concat("value", F.lit("!"))), rejects, f"{path}/table", 1, stored=notes)
-    written = spark.read.schema(notes.schema).parquet(f"{path}/table/version=1")
-    name = F.regexp_replace("project_id", "^project_id=", "").alias("project_id")
-    return written.join(report, "project_id").select(name, "key", F.md5("value").alias("value_md5"), "n_notes", "written", "error")
+    written = spark.read.schema(notes.schema).parquet(f"{path}/table/version=1").select("project_id", "key", F.md5("value").alias("value_md5"))
+    return written.join(report, "project_id")
+
+
+def request_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of requests, checkpoint requests of all kinds included, routed into tables over several micro-batches."""
+    log = adapters.document_request_log(adapters.read(spark, d, "documents"))
+    tables = fan_out.RoutedTables(spark, f"{shared_dir(spark)}/routed-{uuid.uuid4().hex}")
+    tables.start(arrivals(log, F.col("request_id"), F.lit(False), "requests"), availableNow=True).awaitTermination()
+    text = {
+        "onboard": F.col("max_context_chars").cast("string"), "remember": F.concat_ws("=", "key", "value"), "recall": F.concat_ws("|", "limit", "key"),
+        "checkpoint": F.concat_ws("|", "action", F.col("dry_run").cast("string"), "message", "checkpoint_id"), fan_out.DEAD: F.col("reason"),
+    }
+    rows = [tables.table(name).select("request_id", F.lit(name).alias("routed"), "project_id" if name != fan_out.DEAD else F.lit(None).cast("string").alias("project_id"), told.alias("told")) for name, told in text.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def gate_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Gate decisions on raw calls, and which of them are dead letters."""
+    calls = adapters.document_calls(adapters.read(spark, d, "documents"))
+    marked = adapters.read(spark, d, "documents").where("lang <> 'es'").select(F.col("lang").alias("project_id")).distinct()
+    decided = gate.gate_events(hooks.parse_calls(calls), marked).select("event_id", "session_id", "project_id", "decision", "reason")
+    dead = hooks.dead_calls(calls).select("event_id", F.md5("line").alias("dead_md5"))
+    return decided.join(dead, "event_id", "left")
+
+
+def initialise_projects(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that conversations and sources, which have none, lack; with those that are there."""
+    docs = adapters.conversation_docs(adapters.read(spark, d, "conversations"))
+    projects = docs.select("project_id").union(adapters.read(spark, d, "documents").select(F.concat(F.lit("home/"), "source")))
+    added = context.initialise(projects, docs, dt.datetime(2024, 1, 1, 12))
+    rows = added.withColumn("added", F.lit(True)).unionByName(docs.withColumn("added", F.lit(False)))
+    return rows.select("project_id", "kind", F.md5("body").alias("body_md5"), "added")
+
+
+def context_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Whole contexts, with their texts, from files of documents and settings."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    adapters.source_files(adapters.read(spark, d, "documents")).write.partitionBy("project_id", "kind").option("lineSep", "\x1e").text(path)
+    kinds = {k: k for k in (*context.HEADINGS, "settings")}
+    docs = files.scan_docs(spark, f"{path}/*/*/*.txt", kinds).withColumn("body", F.rtrim(F.col("body"), F.lit("\x1e")))
+    settings = files.scan_settings(spark, f"{path}/*/kind=settings/*.txt")
+    return context.contexts(docs, settings=settings, budget=20 * BUDGET).withColumn("project_id", F.regexp_replace("project_id", "^project_id=", ""))
 
 
 def _status_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -331,6 +373,7 @@ QUERIES: dict[str, Query] = {
         recall_replies, project_registry, default_fill, note_summary, context_assemble, context_rows, change_set, change_set_tracked, diff_stat, checkpoint_list, checkpoint_targets, restore_state,
         status_lines, log_lines, request_route, gate_batch, gate_stream, note_fold_stream, snapshot_scan, note_fold_event_time, gate_event_time,
         gate_event_time_per_project, checkpoint_cycle, restore_preview, guarded_write, line_diff_stat, recall_many,
+        request_fan_out, gate_raw, initialise_projects, context_scan,
     )
 } | {"recent_notes": flagship}
 
@@ -396,7 +439,16 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS session_id,
 FROM e"""
 
 
-def _doc_gate_sql(by: str) -> str:
+def _doc_gate_sql(by: str, raw: bool = False) -> str:
+    line = """'{"tool_name":"' || CASE WHEN n = 0 THEN 'onboard' WHEN n <= 9 THEN 'Edit' WHEN n <= 14 THEN 'Write' ELSE 'Read' END || '","cwd":"/home/work/' || lang || '/","tool_input":{"file_path":"' || CASE WHEN exempt THEN '.claude/map.md' ELSE 'src/' || md5(text) END || '"}}'"""
+    if raw:
+        return f"""
+WITH d AS (SELECT *, n_chars % 20 AS n, n_chars % 7 = 0 AS exempt, n_chars % 9 = 0 AS cut FROM documents),
+l AS (SELECT *, CASE WHEN n = 19 THEN replace({line}, '"tool_name":"Read",', '') ELSE {line} END AS line FROM d),
+e AS (SELECT doc_id AS event_id, source AS session_id, CASE WHEN NOT cut THEN lang END AS project_id, n, exempt, lang <> 'es' AND NOT cut AS marked, {_AT} AS ts, cut, CASE WHEN cut THEN md5(left(line, length(line) - 2)) END AS dead_md5 FROM l),
+o AS (SELECT *, max(CAST(n = 0 AND marked AS INT)) OVER (PARTITION BY {by}, CAST(ts AS DATE) ORDER BY ts, event_id) AS opened FROM e),
+b AS (SELECT *, n BETWEEN 1 AND 14 AND marked AND NOT exempt AND opened = 0 AS blocked FROM o)
+SELECT event_id, session_id, project_id, CASE WHEN blocked THEN 'block' ELSE 'allow' END AS decision, CASE WHEN cut THEN 'malformed' WHEN blocked THEN 'onboard first' END AS reason, dead_md5 FROM b"""
     return f"""
 WITH e AS (SELECT doc_id AS event_id, source AS session_id, lang AS project_id, n_chars % 20 AS n, n_chars % 7 = 0 AS exempt, lang <> 'es' AS marked, {_AT} AS ts FROM documents),
 o AS (SELECT *, max(CAST(n = 0 AND marked AS INT)) OVER (PARTITION BY {by}, CAST(ts AS DATE) ORDER BY ts, event_id) AS opened FROM e),
@@ -407,6 +459,26 @@ SELECT event_id, session_id, project_id, CASE WHEN blocked THEN 'block' ELSE 'al
 ORACLE_SQL: dict[str, str] = {
     "note_fold_event_time": f"WITH {_DOC_LOG}, {_FOLD_STEPS} {_ALL_FOLDED}",
     "gate_event_time": _doc_gate_sql("session_id"),
+    "gate_raw": _doc_gate_sql("session_id", raw=True),
+    "request_fan_out": """WITH r AS (SELECT *, n_chars % 12 AS k, n_chars % 5 AS v FROM documents),
+        j AS (SELECT *, CASE WHEN k = 1 THEN 'missing message' WHEN k = 4 THEN 'unknown action' WHEN k = 6 THEN 'missing value' WHEN k IN (7, 11) AND v = 0 THEN 'bad limit' WHEN k = 9 THEN 'unknown tool' WHEN k = 10 THEN 'unreadable arguments' END AS reason FROM r)
+        SELECT doc_id AS request_id, CASE WHEN reason IS NOT NULL THEN 'dead' WHEN k <= 4 THEN 'checkpoint' WHEN k <= 6 THEN 'remember' WHEN k IN (7, 11) THEN 'recall' ELSE 'onboard' END AS routed, CASE WHEN reason IS NULL THEN source END AS project_id,
+               CASE WHEN reason IS NOT NULL THEN reason
+                    WHEN k <= 4 THEN concat_ws('|', CASE k WHEN 0 THEN 'create' WHEN 2 THEN 'list' ELSE 'rollback' END, CASE WHEN v = 0 THEN 'true' ELSE 'false' END, CASE WHEN k = 0 THEN md5(text) END, CASE WHEN k = 3 THEN left(md5(text), 8) END)
+                    WHEN k <= 6 THEN concat_ws('=', CAST(doc_id AS VARCHAR), md5(text)) WHEN k IN (7, 11) THEN concat_ws('|', CAST(v - 1 AS VARCHAR), CASE WHEN k = 11 THEN CAST(doc_id AS VARCHAR) END)
+                    ELSE CAST(CASE WHEN v = 0 THEN n_chars ELSE 50000 END AS VARCHAR) END AS told FROM j""",
+    "initialise_projects": f"""WITH {_DOCS}, defaults(kind, body) AS (VALUES {_DEFAULTS}, ('settings', NULL)),
+        p AS (SELECT project_id, project_id AS name FROM docs UNION SELECT 'home/' || source, source FROM documents)
+        SELECT p.project_id, d.kind, md5(coalesce(d.body, '{{"project_name":"' || name || '","version":"4.0","created_at":"2024-01-01T12:00:00"}}')) AS body_md5, true AS added
+        FROM p CROSS JOIN defaults d WHERE NOT EXISTS (SELECT 1 FROM docs o WHERE o.project_id = p.project_id AND o.kind = d.kind)
+        UNION ALL SELECT project_id, kind, md5(body), false FROM docs""",
+    "context_scan": f"""WITH m AS (SELECT source AS project_id, lang, arg_max(text, n_chars * 10000000 + doc_id) AS body, max(n_chars) AS n FROM documents GROUP BY source, lang),
+        parts AS (SELECT project_id, lang, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS place, CASE lang WHEN 'en' THEN '# Project Map' WHEN 'de' THEN '# Decisions' ELSE '# Current Task' END || chr(10) || chr(10) || body AS s FROM m WHERE lang <> 'es'),
+        c AS (SELECT project_id, string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS t, bool_or(lang = 'en') AS map_found, bool_or(lang = 'de') AS decisions_found, bool_or(lang = 'fr') AS task_found FROM parts GROUP BY project_id),
+        s AS (SELECT project_id, n FROM m WHERE lang = 'es'),
+        f AS (SELECT project_id, s.n, length(coalesce(t, '')) > {20 * BUDGET} AS truncated, CASE WHEN length(t) > {20 * BUDGET} THEN substring(t, 1, {20 * BUDGET}) || chr(10) || chr(10) || '[TRUNCATED - context exceeds limit]' ELSE coalesce(t, '') END AS context, map_found, decisions_found, task_found FROM c FULL JOIN s USING (project_id))
+        SELECT project_id, n IS NOT NULL AS initialised, CASE WHEN n % 2 = 0 THEN 'Project ' || project_id WHEN n IS NOT NULL THEN 'project_id=' || project_id ELSE 'project_id=' || project_id END AS project_name, CASE WHEN n % 2 = 0 THEN '5.' || n ELSE '4.0' END AS version, context, length(context) AS context_size, truncated,
+               coalesce(map_found, false) AS map_found, coalesce(decisions_found, false) AS decisions_found, coalesce(task_found, false) AS task_found, false AS memories_found FROM f""",
     "gate_event_time_per_project": _doc_gate_sql("session_id, project_id"),
     "note_fold": _FOLDED,
     "note_fold_stream": _FOLDED,

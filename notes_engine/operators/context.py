@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,23 @@ def fill_defaults(docs: DataFrame, defaults: Mapping[str, str] | None = None) ->
     return own.select("project_id", F.explode(rows).alias("_r")).select("project_id", "_r.*")
 
 
+def initialise(projects: DataFrame, docs: DataFrame, created_at: dt.datetime, defaults: Mapping[str, str] | None = None, *, version: str = "4.0", settings_kind: str = "settings") -> DataFrame:
+    """(project_id, kind, body): the documents that projects lack, to be appended to docs; what is there is neither read nor written again.
+
+    Every kind of defaults, and settings as a JSON object with project_name (the
+    last part of the project's path), version and created_at. projects:
+    (project_id), with or without documents. A document that is there with an
+    empty or null body counts as there. Repeated projects: once. Null projects:
+    none. Running it again adds nothing. Only names of documents are sent.
+    """
+    defaults = dict(DEFAULT_DOCS if defaults is None else defaults)
+    name = F.element_at(F.split("project_id", "/"), -1)
+    settings = F.to_json(F.struct(name.alias("project_name"), F.lit(version).alias("version"), F.lit(created_at.isoformat()).alias("created_at")))
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("body")) for k, v in defaults.items()], F.struct(F.lit(settings_kind).alias("kind"), settings.alias("body")))
+    wanted = projects.where("project_id IS NOT NULL").select("project_id").distinct().select("project_id", F.explode(rows).alias("_r")).select("project_id", "_r.*")
+    return wanted.join(docs.select("project_id", "kind"), ["project_id", "kind"], "left_anti")
+
+
 def note_summary(notes: DataFrame, first: int = SUMMARY_NOTES) -> DataFrame:
     """(project_id, summary, n_notes): how many notes, the first ones by position with their tags, and how many more."""
     total = notes.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_notes"))

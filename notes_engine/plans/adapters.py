@@ -123,3 +123,35 @@ def document_requests(documents: DataFrame) -> DataFrame:
         F.col("doc_id").alias("request_id"), F.col("source").alias("project_id"), F.when(n % 4 == 0, (F.col("doc_id") + n % 3).cast("string")).alias("key"), F.when((n % 4 == 1) | (n % 4 == 2), piece).alias("query"),
         F.when(n % 4 == 2, F.array(F.lit("en"), F.lit("none"))).when(n % 8 == 3, F.array("lang")).alias("tags"), F.when(n % 5 != 4, n % 5).cast("int").alias("max_rows"),
     )
+
+
+def document_request_log(documents: DataFrame) -> DataFrame:
+    """Each document as a request, by its length: every tool, every checkpoint action, and every error."""
+    n = F.col("n_chars")
+    kind = n % 12
+    project, nothing = F.col("source").alias("project_id"), F.lit(None).cast("string")
+    checkpoint = F.to_json(F.struct(
+        project, F.when(kind == 2, "list").when(kind == 3, "rollback").when(kind == 4, "drop").alias("action"), F.when(kind == 0, F.md5("text")).alias("message"),
+        F.when(kind == 3, F.left(F.md5("text"), F.lit(8))).alias("checkpoint_id"), F.when(n % 5 == 0, True).alias("dry_run"),
+    ))
+    remember = F.to_json(F.struct(project, F.col("doc_id").cast("string").alias("key"), F.when(kind == 5, F.md5("text")).otherwise(nothing).alias("value")))
+    recall = F.to_json(F.struct(project, F.when(kind == 11, F.col("doc_id").cast("string")).alias("key"), (n % 5 - 1).alias("limit")))
+    onboard = F.to_json(F.struct(project, F.when(n % 5 == 0, n).alias("max_context_chars")))
+    tool = F.when(kind <= 4, "checkpoint").when(kind <= 6, "remember").when((kind == 7) | (kind == 11), "recall").when(kind == 9, "unknown").otherwise("onboard")
+    arguments = F.when(kind <= 4, checkpoint).when(kind <= 6, remember).when((kind == 7) | (kind == 11), recall).when(kind == 10, F.left(onboard, F.length(onboard) - 2)).otherwise(onboard)
+    return documents.select(F.col("doc_id").alias("request_id"), tool.alias("tool"), arguments.alias("arguments"))
+
+
+def document_calls(documents: DataFrame) -> DataFrame:
+    """document_tool_events() as raw lines, of which those of one in nine are cut off."""
+    events = document_tool_events(documents.withColumn("source", F.struct("source", (F.col("n_chars") % 9 == 0).alias("cut"))))
+    line = F.to_json(F.struct("tool_name", F.concat(F.lit("/home/work/"), "project_id", F.lit("/")).alias("cwd"), F.struct("file_path").alias("tool_input")))
+    return events.select(F.col("session_id.source").alias("session_id"), "ts", "event_id", F.when(F.col("session_id.cut"), F.left(line, F.length(line) - 2)).otherwise(line).alias("line"))
+
+
+def source_files(documents: DataFrame) -> DataFrame:
+    """(project_id, kind, value): the longest text of each source in each language as one of its documents; for one language settings instead, of which some can't be read."""
+    longest = documents.groupBy("source", "lang").agg(F.max_by("text", F.struct("n_chars", "doc_id")).alias("text"), F.max("n_chars").alias("n"))
+    kind = F.when(F.col("lang") == "en", "map").when(F.col("lang") == "de", "decisions").when(F.col("lang") == "fr", "task").otherwise("settings")
+    settings = F.when(F.col("n") % 2 == 0, F.concat(F.lit('{"project_name": "Project '), "source", F.lit('", "version": "5.'), F.col("n").cast("string"), F.lit('"}'))).otherwise('{"project_name": "cut')
+    return longest.select(F.col("source").alias("project_id"), kind.alias("kind"), F.when(kind == "settings", settings).otherwise(F.col("text")).alias("value"))

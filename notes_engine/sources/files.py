@@ -14,16 +14,20 @@ from notes_engine.functions import canonical_tags
 STORE_BYTES = 1 << 22
 #: A folder of this name and a number holds a store whose first note has that position in its project.
 FROM = "from="
+#: A folder of this name and a kind holds a document of that kind, whatever the file's name.
+KIND = "kind="
 _NOTE = "struct<key:string,value:string,tags:array<string>,created_at:string,updated_at:string>"
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """(project_id, name, body, first) of each file: its folder's name, or the one above a hidden folder, is the project; below either, from=N gives first. Spark passes over files of no bytes."""
+    """(project_id, name, body, first) of each file: its folder's name, or the one above a hidden folder, is the project; below either, from=N gives first, and kind=NAME the name. Spark passes over files of no bytes."""
     parts = F.split(F.col("_metadata.file_path"), "/")
     number = F.regexp_extract(F.element_at(parts, -2), f"^{FROM}([0-9]+)$", 1).try_cast("long")
-    folder = lambda up: F.when(number.isNull(), F.element_at(parts, -up)).otherwise(F.element_at(parts, -up - 1))
+    kind = F.regexp_extract(F.element_at(parts, -2), f"^{KIND}(.+)$", 1)
+    folder = lambda up: F.when(number.isNull() & (kind == ""), F.element_at(parts, -up)).otherwise(F.element_at(parts, -up - 1))
     project = F.when(folder(2).startswith("."), folder(3)).otherwise(folder(2))
-    return spark.read.text(path, wholetext=True).select(project.alias("project_id"), F.element_at(parts, -1).alias("name"), F.col("value").alias("body"), F.coalesce(number, F.lit(0)).alias("first"))
+    name = F.when(kind == "", F.element_at(parts, -1)).otherwise(kind)
+    return spark.read.text(path, wholetext=True).select(project.alias("project_id"), name.alias("name"), F.col("value").alias("body"), F.coalesce(number, F.lit(0)).alias("first"))
 
 
 def scan_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

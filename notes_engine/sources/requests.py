@@ -53,7 +53,11 @@ def reasons(requests: DataFrame) -> DataFrame:
 
 def route(requests: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """By tool: (request_id, its fields, defaults filled in), counts as integers; and dead letters with their reason."""
-    judged = reasons(requests)
+    return by_tool(reasons(requests))
+
+
+def by_tool(judged: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The same from what reasons() gives, for callers that keep it."""
     served = {}
     for tool, fields in TOOLS.items():
         rows = judged.where((F.col("tool") == tool) & F.col("reason").isNull()).withColumn("_a", F.from_json("arguments", _schema(tool)))

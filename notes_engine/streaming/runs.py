@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: State is kept in RocksDB; a micro-batch writes what changed in it, not all of it, to the shared folder.
+STATE = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 #: Micro-batches that arrivals() makes of a table.
 ARRIVALS = 6
 
@@ -49,22 +51,23 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """All that the stream emits until its input is read, with batch_id. State is in RocksDB, checkpoints and rows in the shared folder."""
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
     schema = stream.schema
 
     def write(rows: DataFrame, batch_id: int) -> None:
         rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/rows/part={batch_id}")
 
+    before = {key: spark.conf.get(key, None) for key in STATE}
     try:
+        for key, value in STATE.items():
+            spark.conf.set(key, value)
         query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     full = schema.add("batch_id", "long")
     if query.lastProgress is None:
         return spark.createDataFrame([], full)
