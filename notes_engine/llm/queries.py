@@ -24,5 +24,6 @@ ORACLES = {
     "op5_ngram_join": ngram_join.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_target_resampling": target_resampling.ORACLE_SQL,
     "op13_vector_codes": vector_codes.ORACLE_SQL,
 }

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notes_engine.llm.byte_words import LETTERS, Words, crc32_after
-from notes_engine.llm.common import stored
+from notes_engine.llm.common import UPPER, stored
 from notes_engine.llm.tokens import in_groups
 
 ORDER, BUCKETS, SEED = 3, 10_000, 42
@@ -182,3 +182,30 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """resample() of all documents towards the texts of benchmark."""
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return resample(docs, target)
+
+
+def _words_sql(table: str, name: str) -> str:
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"SELECT {name}, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{gap}'), lambda x: x <> '') AS w FROM {table}"
+
+
+_RUNS_SQL = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+#: CRC-32 goes bit by bit: a byte enters with the first of its eight steps.
+ORACLE_SQL = f"""
+WITH d AS ({_words_sql("documents", "doc_id")}), b AS ({_words_sql("benchmark", "item_id")}),
+df AS (SELECT doc_id, unnest({_RUNS_SQL}) AS f FROM d), bf AS (SELECT unnest({_RUNS_SQL}) AS f FROM b),
+crc AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) % {BUCKETS} AS k FROM (SELECT f FROM df UNION SELECT f FROM bf)
+), s AS (SELECT k, count(*) AS n FROM df JOIN crc USING (f) GROUP BY k), t AS (SELECT k, count(*) AS n FROM bf JOIN crc USING (f) GROUP BY k),
+gain AS (
+  SELECT k, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM df) + {BUCKETS})) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM bf) + {BUCKETS})))) AS BIGINT) AS g
+  FROM s FULL JOIN t USING (k)
+), weight AS (SELECT doc_id, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS weight FROM df JOIN crc USING (f) JOIN gain USING (k) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('{SEED}:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN weight USING (doc_id)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n >= {LEAST_WORDS} ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n >= {LEAST_WORDS}) OVER () AS can FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= {LEAST_WORDS} AND place <= {PERCENT} * can // 100 THEN place END AS rank FROM placed
+"""
