@@ -323,6 +323,14 @@ def note_fold_stream(spark: SparkSession, d: str) -> DataFrame:
     return last.where("live").select("project_id", "key", "value", _tags(), _time("created_at"), _time("updated_at"), "position")
 
 
+def note_lines_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Writes all notes as JSON lines and scans them."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    files.write_note_lines(_notes(spark, d), path)
+    notes, _ = files.scan_note_lines(spark, path)
+    return notes.select("project_id", "key", F.md5("value").alias("value_md5"), _tags(), _time("updated_at"), "position")
+
+
 def _out_of_order(events: DataFrame, seq: str, name: str) -> tuple[DataFrame, str]:
     """Events as a stream in which half of them come a micro-batch late or more, and the delay that bounds it."""
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
@@ -373,7 +381,7 @@ QUERIES: dict[str, Query] = {
         recall_replies, project_registry, default_fill, note_summary, context_assemble, context_rows, change_set, change_set_tracked, diff_stat, checkpoint_list, checkpoint_targets, restore_state,
         status_lines, log_lines, request_route, gate_batch, gate_stream, note_fold_stream, snapshot_scan, note_fold_event_time, gate_event_time,
         gate_event_time_per_project, checkpoint_cycle, restore_preview, guarded_write, line_diff_stat, recall_many,
-        request_fan_out, gate_raw, initialise_projects, context_scan,
+        request_fan_out, gate_raw, initialise_projects, context_scan, note_lines_scan,
     )
 } | {"recent_notes": flagship}
 
@@ -567,5 +575,6 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN reason IS NULL AND event_type = 'signup' THEN 50000 WHEN reason IS NULL AND event_type = 'view' THEN CAST(value AS INTEGER) END AS count, reason FROM r""",
     "gate_batch": _GATE,
     "gate_stream": _GATE,
+    "note_lines_scan": f"WITH {_NOTES} SELECT project_id, key, md5(value) AS value_md5, tag AS tags, strftime(updated_at, {_TIME}) AS updated_at, position FROM notes",
     "snapshot_scan": f"SELECT source AS project_id, CAST(doc_id AS VARCHAR) AS key, md5(text) AS value_md5, lang AS tags, strftime(TIMESTAMP '2024-01-01' + to_seconds(n_chars), {_TIME}) AS updated_at, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents",
 }

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notes_engine import schemas
 from notes_engine.functions import canonical_tags
 
 #: Bytes of a note store, besides its last note.
@@ -87,6 +88,30 @@ def write_stores(notes: DataFrame, path: str, *, most: int = STORE_BYTES) -> Non
     stores.join(first, ["part", "number"]).select("project_id", "from", "value").write.partitionBy("project_id", "from").text(path)
 
 
+_LINE = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "columnNameOfCorruptRecord": "_bad"}
+
+
+def write_note_lines(notes: DataFrame, path: str) -> None:
+    """Writes notes as JSON lines, a note a line with its project and position: no store is a file of its own, and no note is moved."""
+    notes.select(*[c.split()[0] for c in schemas.NOTES.split(", ")]).write.options(**_LINE, compression="gzip").json(path)
+
+
+def scan_note_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(notes, rejects) of JSON lines: rejects are (project_id, body) of lines that can't be read, of the project that they begin with, if they do.
+
+    Null keys and values are empty, tags canonical, as in scan_notes(). Lines
+    without a project or a position are rejects too. Lines are read one by one,
+    so neither a project's notes nor a file need fit anywhere.
+    """
+    lines = spark.read.schema(f"{schemas.NOTES}, _bad STRING").options(**_LINE).json(path)
+    good = F.col("_bad").isNull() & F.col("project_id").isNotNull() & F.col("position").isNotNull()
+    clean = [F.coalesce("key", F.lit("")).alias("key"), F.coalesce("value", F.lit("")).alias("value"), canonical_tags(F.col("tags")).alias("tags")]
+    notes = lines.where(good).select("project_id", *clean, "created_at", "updated_at", "position")
+    begins = F.regexp_extract("_bad", r'^\s*\{\s*"project_id"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
+    rejects = lines.where(~good).select(F.coalesce("project_id", F.when(begins != "", begins)).alias("project_id"), F.coalesce("_bad", F.to_json(F.struct("project_id", "key", "value", "position"))).alias("body"))
+    return notes, rejects
+
+
 def scan_docs(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
     """(project_id, kind, body) of context documents; kinds by file name, other files are left out."""
     kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
