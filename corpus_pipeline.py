@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notes_engine.llm import mixing, quality_rules
-from notes_engine.llm.common import stored
+from notes_engine.llm.common import marked, stored
 from notes_engine.llm.exact_dedup import keep_one
 from notes_engine.llm.ngram_join import ngram_join
 from notes_engine.llm.packing import pack
@@ -43,8 +43,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"))
     row = row.withColumn("_h", F.xxhash64(F.coalesce("_t", F.lit(""))))
     found = ngram_join(row.withColumn("_key", F.struct(F.col("_i").isNull().alias("none"), F.col("_i").alias("id"), F.col("_h").alias("tie"))), id_col="_key", text_col="_t")
-    dropped = found.where(F.col("_key") != F.col("component_id")).select(F.col("_key.id").alias("_di"), F.col("_key.tie").alias("_dh")).distinct()
-    return row.join(dropped, F.col("_i").eqNullSafe(F.col("_di")) & (F.col("_h") == F.col("_dh")), "left_anti").select("_row.*")
+    dropped = stored(found.where(F.col("_key") != F.col("component_id")).select(F.col("_key.id").alias("_di"), F.col("_key.tie").alias("_dh")).distinct(), "dropped")
+    told = marked(row, F.xxhash64("_i", "_h"), dropped, F.xxhash64("_di", "_dh"))  # the rows that stay for certain aren't sent
+    kept = told.where("_may").join(dropped, F.col("_i").eqNullSafe(F.col("_di")) & (F.col("_h") == F.col("_dh")), "left_anti")
+    return told.where("NOT _may").select("_row.*").union(kept.select("_row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
