@@ -150,5 +150,5 @@ def pack(
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pack() over all documents, without the ids themselves."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
+    """pack() over all documents, with the ids of each piece."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
