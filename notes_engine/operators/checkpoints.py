@@ -235,7 +235,8 @@ class CheckpointStore:
     def preview(self, current: DataFrame, wanted: DataFrame) -> DataFrame:
         """restore_preview() of the targets wanted (project_id, checkpoint_id; without one, the newest listed)."""
         seen = self.at()
-        targets = resolve_targets(seen.manifest(), seen.heads(), wanted)
+        # Written once, beside the store's versions: of a table Spark knows the size, so that notes aren't sent to meet a small one.
+        targets = self._write(resolve_targets(seen.manifest(), seen.heads(), wanted), "reports", uuid.uuid4().hex)
         return restore_preview(current, seen.snapshots(targets), seen.head_notes(), targets)
 
     def restore_all(self, current: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
