@@ -85,13 +85,13 @@ def sections(docs: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
 def assemble(parts: DataFrame, budget: int = DEFAULT_BUDGET, between: str = BETWEEN, suffix: str = CUT_SUFFIX) -> DataFrame:
     """(project_id, context, context_size, truncated) from (project_id, place, section).
 
-    Sections that start beyond the budget are dropped before they are collected;
-    whether the text was cut comes from the sum of all lengths.
+    Sections whose separator starts beyond the budget are dropped before they are
+    collected; whether the text was cut comes from the sum of all lengths.
     """
     order = Window.partitionBy("project_id").orderBy("place")
     until = F.sum(F.length("section") + len(between)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = parts.withColumn("_end", until - len(between)).withColumn("_start", F.col("_end") - F.length("section"))
-    grouped = placed.groupBy("project_id").agg(F.max("_end").alias("_full"), F.collect_list(F.when(F.col("_start") < budget, F.struct("place", "section"))).alias("_parts"))
+    grouped = placed.groupBy("project_id").agg(F.max("_end").alias("_full"), F.collect_list(F.when(F.col("_start") - len(between) < budget, F.struct("place", "section"))).alias("_parts"))
     text, cut = in_order(F.col("_parts"), "section", between), F.col("_full") > budget
     context = F.when(cut, F.concat(F.substring(text, 1, budget), F.lit(suffix))).otherwise(text)
     return grouped.select("project_id", context.alias("context"), F.length(context).cast("long").alias("context_size"), cut.alias("truncated"))

@@ -55,6 +55,15 @@ def test_budget_edge(spark, size, cut):
     assert (r.truncated, r.context_size) == (cut, 537 if cut else 500)
 
 
+def test_a_cut_in_any_place_is_that_of_the_whole_text(spark):
+    told = ["abcd", "ef", "", "ghij"]
+    parts = spark.createDataFrame([("p", k, t) for k, t in enumerate(told)], "project_id string, place int, section string")
+    whole = context.BETWEEN.join(told)
+    for budget in range(len(whole) + 2):
+        cut = whole[:budget] + context.CUT_SUFFIX if len(whole) > budget else whole
+        assert tuple(context.assemble(parts, budget).first()) == ("p", cut, len(cut), len(whole) > budget)
+
+
 # checkpoints
 
 
