@@ -197,6 +197,19 @@ def test_fold_stream(spark, tmp_path):
     assert all(r.late == 0 for r in last)
 
 
+def test_a_bucket_of_keys_keeps_each_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(processors, "BUCKETS", 2)
+    rng = random.Random(9)
+    names = [("p", None), (None, "k"), *((p, k) for p in "pq" for k in "abcdefg")]
+    events = numbered([(*rng.choice(names), rng.choice(["append", "append", "replace", "forget"]), f"v{i}", [rng.choice("xyz")], i // 2) for i in range(300)])
+    stream = staged(spark, log(spark, events), tmp_path, ["ts", "seq"])
+    rows = run_to_table(processors.fold_stream(stream), "update", "fold").collect()
+    last = {(r.project_id, r.key): r for r in sorted(rows, key=lambda r: r.batch_id)}
+    notes, _ = replay(events)
+    assert {k: (r.value, set(r.tags), r.created_at, r.updated_at, r.position) for k, r in last.items() if r.live} == {k: (n["value"], n["tags"], n["created"], n["updated"], n["position"]) for k, n in notes.items()}
+    assert len(rows) == len({(r.project_id, r.key, r.batch_id) for r in rows}) and last.keys() == set(names)
+
+
 class Held:
     """A handle with one state value in memory."""
 
