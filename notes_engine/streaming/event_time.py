@@ -10,10 +10,11 @@ a key its note is emitted as the two together give it. A timer at the oldest
 pending event folds what the watermark has passed into the base, so pending
 events span no more than the delay; a key that is forgotten leaves no state.
 
-Gate. A key is a session's day (and project). Its state is the day's first
-onboarding and the events that were blocked; an earlier onboarding that comes
-late opens those behind it, which are emitted again. A timer at the day's end
-clears the state, so that it holds the days within the delay and no more.
+Gate. A session's days (and projects) are grouped by hash into buckets. State is
+each day's first onboarding and the events that were blocked; an earlier
+onboarding that comes late opens those behind it, which are emitted again. A timer
+at the end of the first day that a bucket holds clears the days that have ended,
+so that state holds the days within the delay and no more.
 
 Rows of a key are read chunk by chunk, and lists in state are appended to and
 read in parts, so a hot key takes one task's time but not its memory.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from notes_engine.operators.gate import EXEMPT, GATED, ONBOARD
-from notes_engine.streaming.processors import Chunks
+from notes_engine.streaming.processors import Chunks, bucket_of, texts_of
 
 NOTE = "value STRING, tags ARRAY<STRING>, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ, position BIGINT, live BOOLEAN"
 EVENT = "op STRING, value STRING, tags ARRAY<STRING>, ts TIMESTAMP_NTZ, seq BIGINT"
@@ -180,51 +181,111 @@ def fold_stream(events: DataFrame, *, delay: str) -> DataFrame:
 
 
 class DayGate(StatefulProcessor):
-    """Adds to a day's events whether they are open: the day's first onboarding is at or before them."""
+    """Adds to the events of a bucket of days whether they are open: the day's first onboarding is at or before them."""
+
+    def __init__(self, by: list[str]):
+        self.by = by
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.opened = handle.getValueState("opened", "ts TIMESTAMP_NTZ, event_id BIGINT")
-        self.blocked = handle.getListState("blocked", f"project_id STRING, {TOOL_EVENT}")
+        self.opened = handle.getMapState("opened", "session_id STRING, day DATE, project_id STRING", "ts TIMESTAMP_NTZ, event_id BIGINT")
+        # Of two lists one has rows; what stays blocked is moved to the other, in parts.
+        self.lists = [handle.getListState(f"blocked{k}", f"session_id STRING, project_id STRING, {TOOL_EVENT}") for k in range(2)]
+
+    def _blocked(self) -> int:
+        return int(self.lists[1].exists())
+
+    def _wait(self, at: int) -> None:
+        """One timer a bucket, at the end of the first day that it holds."""
+        held = list(self.handle.listTimers())
+        if not held or at < held[0]:
+            for one in held:
+                self.handle.deleteTimer(one)
+            self.handle.registerTimer(at)
+
+    def _days(self, sessions: list, ats: list[tuple[dt.datetime, int]], projects: list) -> list[tuple]:
+        """The day that each event belongs to, as a key of opened."""
+        own = "project_id" in self.by
+        return [(s, at[0].date(), p if own else None) for s, at, p in zip(sessions, ats, projects, strict=True)]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        before = tuple(self.opened.get()) if self.opened.exists() else None
-        opened, chunks = before, Chunks(rows)
+        held = self.opened.getValue if self.opened.exists() else lambda day: None
+        before: dict[tuple, tuple | None] = {}  # of days with events that open or are gated
+        opened: dict[tuple, tuple | None] = {}
+        blocked, first, chunks = self.lists[self._blocked()], None, Chunks(rows)
         for chunk in chunks.first():
-            for at in _ats(chunk[chunk["opens"].astype(bool)]):
-                opened = at if opened is None else min(opened, at)
+            some = chunk[chunk["opens"].astype(bool) | chunk["gated"].astype(bool)]
+            ats = _ats(some)
+            for day, at, opens in zip(self._days(texts_of(some["session_id"]), ats, texts_of(some["project_id"])), ats, some["opens"].tolist(), strict=True):
+                if day not in before:
+                    found = held(day)
+                    before[day] = opened[day] = None if found is None else tuple(found)
+                if opens and (opened[day] is None or at < opened[day]):
+                    opened[day] = at
         for chunk in chunks.again():
-            chunk = chunk.assign(open=[opened is not None and at >= opened for at in _ats(chunk)])
-            for part in _rows(chunk[chunk["gated"].astype(bool) & ~chunk["open"]], ["project_id", "tool_name", "file_path", "ts", "event_id"]):
-                self.blocked.appendList(part)
+            ats = _ats(chunk)
+            days = self._days(texts_of(chunk["session_id"]), ats, texts_of(chunk["project_id"]))
+            chunk = chunk.assign(open=[(since := opened.get(day)) is not None and at >= since for day, at in zip(days, ats, strict=True)])
+            for part in _rows(chunk[chunk["gated"].astype(bool) & ~chunk["open"]], ["session_id", "project_id", "tool_name", "file_path", "ts", "event_id"]):
+                blocked.appendList(part)
+                first = min(r[4] for r in part) if first is None else min(first, min(r[4] for r in part))
             yield chunk[_OUT]
-        if opened != before:
-            self.opened.update(opened)
+        changed = {day: at for day, at in opened.items() if at != before[day]}
+        for day, at in changed.items():
+            self.opened.updateValue(day, at)
+            first = at[0] if first is None else min(first, at[0])
+        if changed:
             part = []
-            for e in self.blocked.get():
-                if opened <= (e[3], e[4]) and (before is None or (e[3], e[4]) < before):
-                    part.append((key[0], *e, True, True))
+            for e in blocked.get():
+                (day,), at = self._days([e[0]], [(e[4], e[5])], [e[1]]), (e[4], e[5])
+                if day in changed and changed[day] <= at and (before[day] is None or at < before[day]):
+                    part.append((*e, True, True))
                 if len(part) == AT_ONCE:
                     yield pd.DataFrame(part, columns=_OUT)
                     part = []
             if part:
                 yield pd.DataFrame(part, columns=_OUT)
-        self.handle.registerTimer(_millis(dt.datetime.combine(key[1], dt.time()) + dt.timedelta(days=1)))
+        if first is not None:
+            self._wait(_end_of(first.date()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
-        self.opened.clear()
-        self.blocked.clear()
+        passed, used = timerValues.getCurrentWatermarkInMs(), self._blocked()
+        old, new = self.lists[used], self.lists[1 - used]
+        first, part, gone = None, [], []
+        for e in old.get():
+            if _end_of(e[4].date()) > passed:
+                first = e[4].date() if first is None else min(first, e[4].date())
+                part.append(tuple(e))
+            if len(part) == AT_ONCE:
+                new.appendList(part)
+                part = []
+        if part:
+            new.appendList(part)
+        old.clear()
+        for day in self.opened.keys():
+            if _end_of(day[1]) > passed:
+                first = day[1] if first is None else min(first, day[1])
+            else:
+                gone.append(tuple(day))
+        for day in gone:
+            self.opened.removeKey(day)
+        if first is not None:
+            self.handle.registerTimer(_end_of(first))
         yield from ()
 
     def close(self) -> None:
         pass
 
 
+def _end_of(day: dt.date) -> int:
+    return _millis(dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1))
+
+
 _OUT = ["session_id", "project_id", "tool_name", "file_path", "ts", "event_id", "gated", "open"]
 
 
 def _ats(chunk: pd.DataFrame) -> list[tuple[dt.datetime, int]]:
-    return list(zip([t.to_pydatetime() for t in chunk["ts"]], chunk["event_id"].tolist(), strict=True))
+    return list(zip(chunk["ts"].to_numpy("datetime64[us]").tolist(), chunk["event_id"].tolist(), strict=True))
 
 
 def gate_stream(events: DataFrame, marked: DataFrame, *, delay: str, per_project: bool = False, onboard_tool: str = ONBOARD) -> DataFrame:
@@ -244,7 +305,7 @@ def gate_stream(events: DataFrame, marked: DataFrame, *, delay: str, per_project
     rows = known.select("session_id", "project_id", "tool_name", "file_path", "ts", "event_id", "_at", F.to_date("ts").alias("day"), gated.alias("gated"), opens.alias("opens"))
     by = ["session_id", "day", *["project_id"] * per_project]
     schema = f"session_id STRING, project_id STRING, {TOOL_EVENT}, gated BOOLEAN, open BOOLEAN"
-    seen = rows.groupBy(*by).transformWithStateInPandas(DayGate(), schema, "Update", "EventTime")
+    seen = rows.withColumn("bucket", bucket_of(*by)).groupBy("bucket").transformWithStateInPandas(DayGate(by), schema, "Update", "EventTime")
     blocked = F.col("gated") & ~F.col("open")
     reason = F.when(F.col("tool_name").isNull(), "malformed").when(blocked, "onboard first")
     return seen.select(*_OUT[:-2], F.when(blocked, "block").otherwise("allow").alias("decision"), reason.alias("reason"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notes_engine import schemas
 from notes_engine.operators import fold, gate
-from notes_engine.streaming import event_time
+from notes_engine.streaming import event_time, processors
 from notes_engine.streaming.runs import arrivals, run_to_table
 from test_context import tool_events
 from test_notes import DAY, log, numbered
@@ -115,6 +115,20 @@ def test_gate_state_holds_the_days_within_the_delay(spark, tmp_path):
     assert dropped == 0 and max(rows[3:]) <= 1.05 * rows[3]
 
 
+def test_days_that_share_a_bucket_end_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(processors, "BUCKETS", 2)
+    monkeypatch.setattr(event_time, "AT_ONCE", 7)
+    rng = random.Random(4)
+    events = [(rng.choice(["s", "t", None]), rng.choice("pqu"), "onboard" if i % 9 == 0 else rng.choice(["Edit", "Write", "Read", None]), rng.choice([None, "a.py"]), 30 * i) for i in range(500)]
+    marked, table = spark.createDataFrame([("p",), ("q",)], "project_id string"), tool_events(spark, events)
+    parts = shuffled(table.collect(), lambda r: r.ts.timestamp(), 8, 1, rng)
+    stream = in_files(spark, [[tuple(r) for r in part] for part in parts], schemas.TOOL_EVENTS, tmp_path)
+    got = run_to_table(event_time.gate_stream(stream, marked, delay="3 days", per_project=True), "update", "shared")
+    last = got.groupBy("event_id").agg(F.max_by(F.struct("session_id", "project_id", "tool_name", "decision", "reason"), "batch_id").alias("n")).select("event_id", "n.*")
+    want = gate.gate_events(table, marked, per_project=True).select(last.columns)
+    assert sorted(map(repr, last.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_arrivals_are_all_rows_a_step_late_at_most(spark):
     table = spark.range(1000).withColumn("x", F.col("id") % 7)
     stream = arrivals(table, F.col("id"), F.col("x") == 3, "arrivals")
