@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,18 @@ class NgramModel:
     bias: np.ndarray  # (classes - 1,)
     orders: tuple[int, ...] = ORDERS
 
+    @cached_property
+    def _by_bucket(self) -> np.ndarray:
+        """(buckets, classes - 1): a bucket's weights side by side, so that an n-gram is looked up once for all classes."""
+        return np.ascontiguousarray(self.weights.T)
+
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """(texts, classes)"""
         odds = np.empty((len(texts), len(self.bias)))
         for k, text in enumerate(texts):
             b = buckets_of(text, self.orders)
-            odds[k] = [w[b].sum(dtype=np.float64) for w in self.weights]
+            found = self._by_bucket.take(b, axis=0)
+            odds[k] = [found[:, c].sum(dtype=np.float64) for c in range(len(self.bias))]
             odds[k] = self.bias + odds[k] / max(1, len(b)) ** LENGTH_POWER
         return softmax(odds)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from notes_engine.llm import mixing, toxicity
-from notes_engine.llm.ngram_model import _ratio, buckets_of
+from notes_engine.llm.ngram_model import BITS, LENGTH_POWER, NgramModel, _ratio, buckets_of, softmax
 from notes_engine.llm.tokens import DEFAULT_VOCABULARY
 
 PROSE = [f"{a}{b}" for a in ("ka", "lo", "mi", "te", "ru") for b in ("n", "sta", "vel", "do")]
@@ -221,3 +221,12 @@ def test_mixing_edges(spark, clash, make_docs):
     assert all(np.allclose(r.posterior, 1 / 3) for r in out.collect()) and len(set(level.natural)) == 1
     none, out = mixed(make_docs([]), labels.limit(0), mixing.DOMAIN_WEIGHTS)
     assert out.count() == 0 and none.gap == 0
+
+
+def test_an_ngram_is_looked_up_once_for_all_classes():
+    rng = np.random.default_rng(1)
+    model = NgramModel(rng.normal(size=(2, 1 << BITS)).astype(np.float32), np.array([0.5, -0.25]), (4, 6))
+    texts = ["", "ab", "some words of a text " * 900]
+    found = [buckets_of(t, model.orders) for t in texts]
+    odds = np.array([model.bias + np.array([w[b].sum(dtype=np.float64) for w in model.weights]) / max(1, len(b)) ** LENGTH_POWER for b in found])
+    assert np.array_equal(model.probabilities(texts), softmax(odds)) and model._by_bucket.flags.c_contiguous
