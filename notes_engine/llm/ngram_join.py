@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import SPACE, UPPER, dropped, sieved, stored
+from notes_engine.llm.common import SPACE, UPPER, batches_of, dropped, sieved, stored
 from notes_engine.llm.components import components
 from notes_engine.llm.tokens import in_groups, listed
 
@@ -77,6 +77,14 @@ def _distinct(h: np.ndarray) -> np.ndarray:
     return h[first]
 
 
+def repeated(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that are in h so often at least, ascending, and how often each is. h is sorted in place."""
+    h.sort()
+    found = h[: max(0, len(h) - least + 1)][h[least - 1 :] == h[: max(0, len(h) - least + 1)]]
+    found = found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
+    return found, np.searchsorted(h, found, side="right") - np.searchsorted(h, found)
+
+
 def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
     """Of each text, the hashes of its distinct shingles, ascending. Words: between ASCII white space, A-Z in lower case; fewer words than size are one shingle.
 
@@ -179,19 +187,21 @@ def _read_sets(docs: DataFrame, size: int) -> DataFrame:
     schema = f"_id {docs.schema['_id'].dataType.simpleString()}, _tie long, n long, a long, b long, parity binary, short binary, token long, times long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held = np.empty(COUNTED, np.uint64)  # the tokens of the sets counted, in one place that is sorted where it is
+        filled = 0
         seen: set[tuple[int, int]] = set()
         names = ["_id", "_tie", "n", "a", "b", "parity", "short", "token", "times"]
         kind = pa.null()
 
         def frequent() -> Iterator[pa.RecordBatch]:
-            if held:
-                token, times = np.unique(np.concatenate(held), return_counts=True)
-                some = times >= LEAST_LOCAL
-                k = int(some.sum())
-                none = lambda t: pa.nulls(k, t)
-                yield _batch(names, none(kind), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.binary()), token[some].view(np.int64), times[some])
-            held.clear()
+            nonlocal filled
+            token, times = repeated(held[:filled], LEAST_LOCAL)
+            for at in range(0, len(token), 100_000):
+                part = slice(at, at + 100_000)
+                k = len(token[part])
+                none = lambda t, k=k: pa.nulls(k, t)
+                yield _batch(names, none(kind), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.binary()), token[part].view(np.int64), times[part])
+            filled = 0
             seen.clear()
 
         for batch in batches:
@@ -201,13 +211,18 @@ def _read_sets(docs: DataFrame, size: int) -> DataFrame:
                 rows.append((len(tokens), *node, parity(tokens), parity(tokens, SHORT_BITS)))
                 if node not in seen:
                     seen.add(node)
-                    held.append(tokens)
+                    if filled + len(tokens) > len(held):
+                        yield from frequent()
+                        seen.add(node)
+                        if len(tokens) > len(held):
+                            held = np.empty(len(tokens), np.uint64)
+                    held[filled : filled + len(tokens)] = tokens
+                    filled += len(tokens)
             n, a, b, bits, short = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n, a, b)), pa.array(bits, pa.binary()), pa.array(short, pa.binary()), none, none], names=names)
-            if sum(map(len, held)) >= COUNTED:
-                yield from frequent()
         yield from frequent()
+        pa.default_memory_pool().release_unused()
 
     return stored(docs.mapInArrow(read, schema), "sets")
 
@@ -230,6 +245,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
                 yield _batch(["sig", "a", "b", "n"], np.concatenate(sig).view(np.int64), np.repeat(a, k), np.repeat(b, k), np.repeat(n, k))
             if len(seen) > 200_000:
                 seen.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("_text").mapInArrow(made, "sig long, a long, b long, n long")
 
@@ -357,6 +373,7 @@ def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int)
                 seen.clear()
             a, b, texts = (batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b", "_text"))
             yield pa.RecordBatch.from_arrays([a, b, pa.array([t.tobytes() for t in shingle_sets(texts, size)], pa.binary())], names=["a", "b", "tokens"])
+        pa.default_memory_pool().release_unused()
 
     keys = stored(wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie")), "keys")
     texts = sieved(docs, F.xxhash64("_id", "_tie"), keys, F.xxhash64("_key", "_key_tie")).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
@@ -373,6 +390,7 @@ def _verified(likely: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
             x, y = (batch.column(c) for c in ("tokens", "tokens2"))
             good = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in p), percent) for p in zip(x, y, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b", "a2", "b2"])
+        pa.default_memory_pool().release_unused()
 
     both = likely.join(tokens, ["a", "b"]).join(_second(tokens, "tokens"), ["a2", "b2"])
     return both.select("a", "b", "a2", "b2", "tokens", "tokens2").mapInArrow(compared, "a long, b long, a2 long, b2 long")
@@ -396,6 +414,11 @@ def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id
     Very long texts: memory and signatures in proportion to their words. Empty
     table: no rows.
     """
+    with batches_of(docs.sparkSession):
+        return _joined(docs, size, percent, id_col, text_col)
+
+
+def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_tie"), F.coalesce(text_col, F.lit("")).alias("_text"))
     read = _read_sets(rows, size)
     members = read.where("token IS NULL").select("_id", "_tie", "n", "a", "b", "parity", "short")

@@ -123,3 +123,27 @@ def test_similar_sets_share_a_signature_at_any_percent(percent):
         for m in range(n, min(100 * n // percent, 300) + 1):
             x, y = np.arange(1, n + 1, dtype=np.uint64), np.arange(1, m + 1, dtype=np.uint64)
             assert len(np.intersect1d(nj.signatures(x, y, percent), nj.signatures(y, y, percent))), (n, m)
+
+
+def test_batches_follow_bytes(spark):
+    """Long rows come in small batches while the join runs, and the session is as before after it."""
+    import pyarrow as pa
+
+    from notes_engine.llm.common import batches_of
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    df = spark.range(0, 5000, 1, 1).selectExpr("repeat('x', 2000) AS t")
+    with batches_of(spark):
+        assert df.mapInArrow(largest, "n long").first().n < 3_000_000
+    assert spark.conf.get(key, None) == before
+
+
+def test_counted_tokens():
+    h = np.array([5, 3, 5, 9, 3, 5, 1], np.uint64)
+    assert [x.tolist() for x in nj.repeated(h.copy(), 2)] == [[3, 5], [2, 3]]
+    assert [x.tolist() for x in nj.repeated(h[:1].copy(), 2)] == [[], []]
+    assert [x.tolist() for x in nj.repeated(h[:0].copy(), 2)] == [[], []]
