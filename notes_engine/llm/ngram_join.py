@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import SPACE, UPPER, batches_of, dropped, sieved, stored
+from notes_engine.llm.common import SPACE, UPPER, batches_of, dropped, gathered, sieved, stored
 from notes_engine.llm.components import components
 from notes_engine.llm.tokens import in_groups, listed
 
@@ -57,7 +57,9 @@ MOST_FREQUENT = 1 << 18
 #: Tokens of a set for each class of frequent tokens.
 SET_PER_CLASS = 16
 #: Members of a group that are compared to all others: in the first round, and by what it grows.
-LEADERS, GROWTH = 1, 16
+LEADERS, GROWTH = 1, 64
+#: Rounds in which labels spread along links between such rounds; a component that has several labels yet costs pairs, no results.
+SPREAD = 2
 #: Bits of the short parity, by which members are told apart before they make a pair.
 SHORT_BITS = 1024
 #: Pairs that a task remembers, so as not to make them again.
@@ -375,9 +377,9 @@ def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int)
             yield pa.RecordBatch.from_arrays([a, b, pa.array([t.tobytes() for t in shingle_sets(texts, size)], pa.binary())], names=["a", "b", "tokens"])
         pa.default_memory_pool().release_unused()
 
-    keys = stored(wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie")), "keys")
+    keys = stored(gathered(wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie"))), "keys")
     texts = sieved(docs, F.xxhash64("_id", "_tie"), keys, F.xxhash64("_key", "_key_tie")).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
-    made = stored(texts.mapInArrow(sets, "a long, b long, tokens binary"), "tokens")
+    made = stored(gathered(texts.mapInArrow(sets, "a long, b long, tokens binary")), "tokens")
     dropped(keys)
     return made
 
@@ -400,7 +402,7 @@ def _thinned(found: DataFrame) -> DataFrame:
     """Links (x, y) that hold the same sets together as found: each first set with the least of its second sets, and that with the others, which few are."""
     node = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     told = found.groupBy(node("a", "b").alias("x")).agg(F.min(node("a2", "b2")).alias("y"), F.collect_set(node("a2", "b2")).alias("others"))
-    return told.select("x", "y").union(told.select(F.explode("others").alias("x"), "y").where("x <> y").distinct())
+    return told.select(F.explode(F.array_append("others", F.col("x"))).alias("x"), "y").where("x <> y").distinct()
 
 
 def ngram_join(docs: DataFrame, *, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,36 +428,43 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     frequent = np.sort(np.array([r.token for r in often.select("token").toLocalIterator()], np.int64).view(np.uint64))
     one = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie"))).alias("r")
     nodes = members.where("n > 0").groupBy("a", "b", "n").agg(one, F.first("parity").alias("parity"), F.first("short").alias("short"))
-    nodes = stored(nodes.select("a", "b", "n", "parity", "short", F.col("r.id").alias("_id"), F.col("r.tie").alias("_tie")), "nodes")
+    nodes = stored(gathered(nodes.select("a", "b", "n", "parity", "short", F.col("r.id").alias("_id"), F.col("r.tie").alias("_tie"))), "nodes")
 
     left = _postings(rows, frequent, size, percent)
     links: list[DataFrame] = []
-    reached, leaders = None, LEADERS
+    reached, leaders, changed = None, LEADERS, False
     while True:
-        made = stored(_pairs(left, leaders, percent), "pairs")
+        made = stored(gathered(_pairs(left, leaders, percent)), "pairs")
         pairs = made.where("first").select("a", "b", "n", "a2", "b2", "n2").distinct()
-        likely = stored(_likely(pairs, nodes, percent), "likely")
+        likely = stored(gathered(_likely(pairs, nodes, percent)), "likely")
         tokens = _token_sets(likely.select("a", "b").union(likely.select("a2", "b2")), nodes, rows, size)
-        found = stored(_verified(likely, tokens, percent), "found")
-        more = stored(_thinned(found), "links")
+        found = stored(gathered(_verified(likely, tokens, percent)), "found")
+        more = stored(gathered(_thinned(found)), "links")
         dropped(likely, tokens, found)
-        if reached is None or not more.isEmpty():
+        if not links or not more.isEmpty():
             links.append(more)
+            changed = True
+        if made.where(~F.col("first")).isEmpty():
+            dropped(made)
+            break
+        if changed:
             dropped(reached)
-            reached = components(reduce(DataFrame.union, links))
+            reached = components(reduce(DataFrame.union, links), SPREAD)
+            changed = False
         labels = reached.select("node.a", "node.b", "label")
         # What is left: groups whose members, without those compared to all, lie in several components.
         rest = made.where(~F.col("first")).select("sig", "a", "b", "n").join(labels, ["a", "b"], "left")
-        rest = stored(rest.select("sig", "a", "b", "n", F.when(F.col("label").isNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("label.a", "label.b")).alias("c")), "rest")
+        rest = stored(gathered(rest.select("sig", "a", "b", "n", F.when(F.col("label").isNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("label.a", "label.b")).alias("c"))), "rest")
         dropped(made, left)
         open_groups = rest.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-        left = stored(rest.join(open_groups, "sig", "left_semi").join(nodes.select("a", "b", "short"), ["a", "b"]), "left")
+        left = stored(gathered(rest.join(open_groups, "sig", "left_semi").join(nodes.select("a", "b", "short"), ["a", "b"])), "left")
         dropped(rest)
         if left.isEmpty():
             break
         leaders *= GROWTH
-    dropped(left, *links)
-    reached = labels
+    dropped(left, reached)
+    reached = components(reduce(DataFrame.union, links)).select("node.a", "node.b", "label")
+    dropped(*links)
     named = nodes.join(reached, ["a", "b"], "left").select("a", "b", "_id", F.coalesce("label", F.struct("a", "b")).alias("label"))
     least_id = named.groupBy("label").agg(F.min("_id").alias("component_id"))
     classes = named.join(least_id, "label").select("a", "b", F.col("_id").alias("class_id"), "component_id")

@@ -147,3 +147,28 @@ def test_counted_tokens():
     assert [x.tolist() for x in nj.repeated(h.copy(), 2)] == [[3, 5], [2, 3]]
     assert [x.tolist() for x in nj.repeated(h[:1].copy(), 2)] == [[], []]
     assert [x.tolist() for x in nj.repeated(h[:0].copy(), 2)] == [[], []]
+
+
+def test_small_tables_in_few_files(spark):
+    """A stored table has no file for each of many shuffle partitions."""
+    from notes_engine.llm.common import gathered
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        df = gathered(spark.range(1000).selectExpr("id % 500 AS k").groupBy("k").count())
+        assert df.rdd.getNumPartitions() == 40 and df.count() == 500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_labels_of_few_rounds(spark):
+    """After some rounds nodes of one label are connected; without a bound there is one label."""
+    from notes_engine.llm.components import components
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(k, k + 1) for k in range(100, 110)], "x long, y long")
+    some = {r.node: r.label for r in components(links, 1).collect()}
+    assert len(some) == 72 and len(set(some.values())) > 2 and all((n < 100) == (m < 100) for n, m in some.items())
+    assert {r.label for r in components(links).collect()} == {0, 100}
