@@ -6,6 +6,7 @@ import json
 import os
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -37,21 +38,23 @@ class Remembered:
         if self.held > CACHE_BYTES // 2:
             self.older, self.known, self.held = self.known, {}, 0
         out = list(map(self.known.get, pieces))
-        for k in [k for k, v in enumerate(out) if v is None]:
-            out[k] = self.older.get(pieces[k])
-            if out[k] is not None:
-                self._keep(pieces[k], out[k])
-        new = [k for k, v in enumerate(out) if v is None]
-        for k, value in zip(new, self.made([pieces[k] for k in new]), strict=True):
+        if None not in out:
+            return out
+        at = [k for k, v in enumerate(out) if v is None]
+        sought = [pieces[k] for k in at]
+        found = list(map(self.older.get, sought))
+        made = iter(self.made([p for p, v in zip(sought, found, strict=True) if v is None]))
+        found = [next(made) if v is None else v for v in found]
+        for k, value in zip(at, found, strict=True):
             out[k] = value
-            self._keep(pieces[k], value)
+        sizes = list(map(len, sought))
+        if max(sizes) > LONGEST_KEPT:
+            short = [n <= LONGEST_KEPT for n in sizes]
+            sought, found, sizes = (list(compress(x, short)) for x in (sought, found, sizes))
+        self.known.update(zip(sought, found, strict=True))
+        self.held += sum(sizes) + ENTRY_BYTES * len(sizes) + sum(map(self.size, found))
         return out
 
-    def _keep(self, piece: str, value: object) -> None:
-        if len(piece) <= LONGEST_KEPT:
-            self.known[piece] = value
-            self.held += len(piece) + ENTRY_BYTES + self.size(value)
-
 
 #: White space as str.isspace() has it but for the line end, for Arrow's patterns.
 _SPACE = r"\t\f\r\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
@@ -172,12 +175,14 @@ class Encoder:
         and cut where the tokens' widths add up to them.
         """
         out = [b""] * len(words)
-        letters = [k for k, w in enumerate(words) if w.isalpha()]
         blank, merged = self.letters[32], self.tokenizer.model.tokenize
-        shown = " ".join([words[k] for k in letters]).encode().decode("latin-1").translate(self.letters).split(blank)
-        for k, w in zip(letters, shown, strict=False):
-            out[k] = array("I", [t.id for t in merged(blank + w)]).tobytes()
-        others = [k for k, w in enumerate(words) if not w.isalpha()]
+        others = []
+        for k, w in enumerate(words):
+            if w.isalpha():
+                shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)  # ASCII letters stand for themselves
+                out[k] = array("I", [t.id for t in merged(blank + shown)]).tobytes()
+            else:
+                others.append(k)
         for at in range(0, len(others), at_once):
             group = others[at : at + at_once]
             led = [words[k] if words[k][0] == "\n" else " " + words[k] for k in group]

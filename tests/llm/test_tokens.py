@@ -180,3 +180,24 @@ def test_token_files_edges(spark, clash, tmp_path):
     assert [r.doc_id for r in rows] == [None, None, 4, 4] and [r.start for r in rows][2:] == [5, 6]
     token_files.write_token_files(clash([]), f"file://{tmp_path}/c")
     assert token_files.read_token_files(spark, f"file://{tmp_path}/c").count() == 0
+
+
+
+def test_pieces_are_remembered_together(monkeypatch):
+    """The memory takes up many pieces without a Python call for each, and drops the older generation."""
+    import sys
+
+    from notes_engine.llm import tokens
+
+    made = []
+    memory = tokens.Remembered(lambda words: made.extend(words) or [w.upper() for w in words], len)
+    words, calls = [f"w{k}" for k in range(500)] + ["y" * 300], []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" else None)
+    try:
+        got = memory.values(words)
+    finally:
+        sys.setprofile(None)
+    assert got == [w.upper() for w in words] and len(calls) < 550  # one for each upper-cased word at most
+    assert memory.values(words) == got and made == [*words, words[-1]]  # the long one is made each time
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 0)
+    assert memory.values(words[:3]) == got[:3] and memory.values(["w9"]) == ["W9"] and made[502:] == ["w9"]
