@@ -77,7 +77,7 @@ def with_posteriors(docs: DataFrame, model: NgramModel, *, id_col: str = "doc_id
         for texts in batches:
             sizes, found = [np.zeros(0, np.int64)], [np.zeros((0, len(model.bias) + 1))]
             for group in in_groups(texts):
-                sizes.append(enc.encode_all(texts[group])[1])
+                sizes.append(enc.count_all(texts[group]))
                 found.append(model.probabilities(texts[group].to_pylist()))
             p = np.concatenate(found)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))

@@ -153,6 +153,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.in_pieces = byte_level(json.load(f))
         self.memory = Remembered(self._led, len)
+        self.counts = Remembered(self._counted)
         self.signs = self._ids(list(SIGNS))
         self.letters = {b: c for c, b in byte_symbols().items()}
         added = {t.content: len(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()}
@@ -233,6 +234,37 @@ class Encoder:
         ids, stops = taken(pool, (np.cumsum(sizes) - sizes)[entry], sizes[entry])
         return ids, np.diff(stops[bounds - 1], prepend=0)
 
+    def _counted(self, words: list[str]) -> list[int]:
+        """How many ids _led() gives each word."""
+        blank, merged = self.letters[32], self.tokenizer.model.tokenize
+        out, others = [0] * len(words), []
+        for k, w in enumerate(words):
+            if w.isalpha():
+                out[k] = len(merged(blank + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))))
+            else:
+                others.append(k)
+        for k, raw in zip(others, self._led([words[k] for k in others]), strict=True):
+            out[k] = len(raw) // 4
+        return out
+
+    def count_all(self, texts: pa.Array) -> np.ndarray:
+        """How many ids encode_all() gives each text; the ids themselves are not made, copied or remembered."""
+        numbers = lambda texts: [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not self.in_pieces or not len(texts):
+            return np.array(numbers(texts.to_pylist()), np.int64)
+        cut = Pieces(texts)
+        words = np.zeros(len(cut.words), np.int64)
+        plain = np.ones(len(words), bool)
+        plain[cut.word[cut.odd]] = False
+        words[plain] = self.counts.values([cut.words[k] for k in np.flatnonzero(plain).tolist()])
+        signs = np.array([*map(len, self.signs), 0], np.int64) // 4
+        there = (words[cut.word] + signs[cut.sign])[cut.codes]
+        there[cut.first] = numbers(cut.starts)
+        total = np.add.reduceat(there, cut.first)
+        for k in np.flatnonzero(cut.whole).tolist():
+            total[k] = sum(numbers(list(run_of(texts[k].as_py()))))
+        return total
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         ids, lengths = self.encode_all(pa.array(texts, pa.string()))
         return np.split(ids, np.cumsum(lengths)[:-1]) if texts else []
@@ -252,6 +284,7 @@ def forget_pieces() -> None:
     """Drops what this worker's encoders remember. A task does so at its end, as workers live longer than stages."""
     for e in _encoders.values():
         e.memory.clear()
+        e.counts.clear()
 
 
 def in_groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[slice]:

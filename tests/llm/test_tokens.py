@@ -182,6 +182,15 @@ def test_token_files_edges(spark, clash, tmp_path):
     assert token_files.read_token_files(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_counts_are_those_of_the_ids():
+    import pyarrow as pa
+
+    column = pa.array([t or "" for t in texts()], pa.string())
+    encoder = Encoder(DEFAULT_VOCABULARY)
+    for _ in range(2):  # the second time from memory
+        assert encoder.count_all(column).tolist() == encoder.encode_all(column)[1].tolist() == [len(ids_of(t)) for t in texts()]
+    assert encoder.count_all(column[:0]).tolist() == []
+
 
 def test_pieces_are_remembered_together(monkeypatch):
     """The memory takes up many pieces without a Python call for each, and drops the older generation."""
