@@ -14,12 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notes_engine.llm import mixing, quality_rules
-from notes_engine.llm.common import marked, stored
+from notes_engine.llm.common import batches_of, marked, stored
 from notes_engine.llm.exact_dedup import keep_one
 from notes_engine.llm.ngram_join import ngram_join
 from notes_engine.llm.packing import pack
 from notes_engine.streaming.runs import shared_dir
 
+#: In the last stages, what passes to Python at once, and the bytes of pieces that a worker remembers in packing: executors hold much by then.
+BATCH = "950k"
+REMEMBERED = 60_000_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail no rule of the full policy. The ledger is made on the rows themselves, so nothing is joined."""
@@ -58,14 +62,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_i"), F.col("text").alias("_t"))
-    model = mixing.fit_domains(row, mixing.label_domains(labels).withColumnRenamed("doc_id", "_i"), tuple(mixing.DOMAIN_WEIGHTS), id_col="_i", text_col="_t")
-    scored = stored(mixing.with_posteriors(row, model, id_col="_i", text_col="_t").select("_row", "n_tokens", "posterior", "chance"), "scored")
+    with batches_of(spark, BATCH):
+        model = mixing.fit_domains(row, mixing.label_domains(labels).withColumnRenamed("doc_id", "_i"), tuple(mixing.DOMAIN_WEIGHTS), id_col="_i", text_col="_t")
+        scored = stored(mixing.with_posteriors(row, model, id_col="_i", text_col="_t").select("_row", "n_tokens", "posterior", "chance"), "scored")
     return mixing.apply_mix(scored, mixing.fit_mix(scored, mixing.DOMAIN_WEIGHTS, highest=1.0)).where(F.col("copies") >= 1).select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens at most, with their ids."""
-    return pack(docs)
+    with batches_of(spark, BATCH):
+        return stored(pack(docs, remembered=REMEMBERED), "packed")  # written here, as batches are those of the time of writing
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mix), ("packing", packing)]

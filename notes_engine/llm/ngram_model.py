@@ -51,6 +51,16 @@ class NgramModel:
     bias: np.ndarray  # (classes - 1,)
     orders: tuple[int, ...] = ORDERS
 
+    def __getstate__(self) -> dict:
+        """What is sent to tasks: the buckets that have weights, which are few."""
+        used = np.flatnonzero((self.weights != 0).any(axis=0)).astype(np.uint32)
+        return {"shape": self.weights.shape, "used": used, "some": self.weights[:, used], "bias": self.bias, "orders": self.orders}
+
+    def __setstate__(self, state: dict) -> None:
+        by_bucket = np.zeros(state["shape"][::-1], np.float32)
+        by_bucket[state["used"]] = state["some"].T
+        self.__dict__.update(weights=by_bucket.T, bias=state["bias"], orders=state["orders"])  # one table: _by_bucket is the same
+
     @cached_property
     def _by_bucket(self) -> np.ndarray:
         """(buckets, classes - 1): a bucket's weights side by side, so that an n-gram is looked up once for all classes."""

@@ -33,10 +33,11 @@ def best_cuts(places: list[int], costs: list[float], limit: int) -> list[int]:
     limit - places[k] + places[j], so that the least cost(j) + places[j] of a sliding window decides: a
     monotone queue holds it. Lengths that are powers of two need no padding; each is one more transition.
     """
-    n, at = len(places), np.asarray(places, np.int64)
-    where = np.full(at[-1] + 1, -1, np.int64)  # which place a token count is, if any
+    n, kind = len(places), np.int32 if places[-1] < 1 << 31 else np.int64
+    at = np.asarray(places, kind)
+    where = np.full(at[-1] + 1, -1, kind)  # which place a token count is, if any
     where[at] = np.arange(n)
-    powers = np.array([p for p in (1 << b for b in range(limit.bit_length())) if LEAST_POWER <= p <= limit], np.int64)
+    powers = np.array([p for p in (1 << b for b in range(limit.bit_length())) if LEAST_POWER <= p <= limit], kind)
     origin = at[:, None] - powers
     origin = np.where(origin >= 0, where[np.maximum(origin, 0)], -1)
     found = origin >= 0
@@ -81,7 +82,7 @@ def cut_part(lengths: np.ndarray, ids: np.ndarray, ends: np.ndarray, limit: int)
 
 
 def pack(
-    docs: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY, limit: int = 2048, end_id: int = 1, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY, limit: int = 2048, end_id: int = 1, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (unless with_ids is false).
 
@@ -91,7 +92,9 @@ def pack(
     longest document. No shuffle, nothing on the driver; sequence_id is the
     partition's number and the sequence's in it, so a part that is computed
     anew gives the same ids for the same input. Padding is small, not nought:
-    each part may end in one short sequence. Null and empty text: end_id alone.
+    each part may end in one short sequence. remembered: bytes of pieces and their
+    ids that a worker remembers (CACHE_BYTES if not given); it decides time and
+    memory, not results. Null and empty text: end_id alone.
     Null ids pass through; repeated rows are packed each. Empty table: no rows.
     """
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]).add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long").add("sequence_id", "long").add("offset", "long")
@@ -100,6 +103,7 @@ def pack(
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
+        enc.memory.most = remembered
         ends = enc.sentence_ends()
         ends[end_id] = False
         number = TaskContext.get().partitionId() << 33
@@ -145,6 +149,7 @@ def pack(
                     yield from flush()
         yield from flush()
         forget_pieces()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(packed, out)
 

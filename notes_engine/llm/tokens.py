@@ -14,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Bytes of pieces and their values that a Python worker remembers at most, and the longest piece that is remembered.
+#: Bytes of pieces and their values that a Python worker remembers at most, those of pieces and their counts, and the longest piece that is remembered.
 CACHE_BYTES = 120_000_000
+COUNT_CACHE_BYTES = 30_000_000
 LONGEST_KEPT = 200
 #: What an entry takes besides its key and value.
 ENTRY_BYTES = 180
@@ -24,10 +25,10 @@ GROUP_BYTES = 2_000_000
 
 
 class Remembered:
-    """Values of text pieces, made for many at once and remembered in two generations of CACHE_BYTES / 2: when the newer is full the older is dropped, so what is used often stays."""
+    """Values of text pieces, made for many at once and remembered in two generations of half of `most` bytes (CACHE_BYTES): when the newer is full the older is dropped, so what is used often stays."""
 
-    def __init__(self, made: Callable[[list[str]], list], size: Callable[[object], int] = lambda value: 0):
-        self.made, self.size = made, size
+    def __init__(self, made: Callable[[list[str]], list], size: Callable[[object], int] = lambda value: 0, most: int | None = None):
+        self.made, self.size, self.most = made, size, most
         self.clear()
 
     def clear(self) -> None:
@@ -35,7 +36,7 @@ class Remembered:
 
     def values(self, pieces: list[str]) -> list:
         """The values of distinct pieces. Long pieces' values are made each time."""
-        if self.held > CACHE_BYTES // 2:
+        if self.held > (CACHE_BYTES if self.most is None else self.most) // 2:
             self.older, self.known, self.held = self.known, {}, 0
         out = list(map(self.known.get, pieces))
         if None not in out:
@@ -153,7 +154,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.in_pieces = byte_level(json.load(f))
         self.memory = Remembered(self._led, len)
-        self.counts = Remembered(self._counted)
+        self.counts = Remembered(self._counted, most=COUNT_CACHE_BYTES)
         self.signs = self._ids(list(SIGNS))
         self.letters = {b: c for c, b in byte_symbols().items()}
         added = {t.content: len(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()}
@@ -284,6 +285,7 @@ def forget_pieces() -> None:
     """Drops what this worker's encoders remember. A task does so at its end, as workers live longer than stages."""
     for e in _encoders.values():
         e.memory.clear()
+        e.memory.most = None
         e.counts.clear()
 
 

@@ -230,3 +230,19 @@ def test_an_ngram_is_looked_up_once_for_all_classes():
     found = [buckets_of(t, model.orders) for t in texts]
     odds = np.array([model.bias + np.array([w[b].sum(dtype=np.float64) for w in model.weights]) / max(1, len(b)) ** LENGTH_POWER for b in found])
     assert np.array_equal(model.probabilities(texts), softmax(odds)) and model._by_bucket.flags.c_contiguous
+
+
+def test_a_model_is_sent_without_its_empty_buckets():
+    """A fitted model has weights for few buckets; only these are pickled, and its probabilities are the same to the bit."""
+    import pickle
+
+    weights = np.zeros((2, 1 << BITS), np.float32)
+    rng = np.random.default_rng(3)
+    weights[:, rng.integers(0, 1 << BITS, 20_000)] = rng.normal(size=(2, 20_000))
+    model, texts = NgramModel(weights, np.array([0.5, -0.25]), (4, 6)), [t for _, t in corpus(50)[0]]
+    raw = pickle.dumps(model)
+    sent = pickle.loads(raw)
+    assert len(raw) < 500_000 and (sent.weights == weights).all() and sent._by_bucket.base is sent.weights.base  # one table
+    assert (sent.probabilities(texts) == model.probabilities(texts)).all()
+    none = pickle.loads(pickle.dumps(NgramModel(np.zeros((0, 1 << BITS), np.float32), np.zeros(0))))
+    assert none.probabilities(["a b"]).tolist() == [[1.0]]

@@ -86,3 +86,14 @@ def test_near_tells_rows_of_one_id_apart(spark, sf_dir, clash):
     kept = [(r.doc_id, r.text) for r in cp.near(spark, docs, sf_dir).collect()]
     assert len(kept) == 5 and {(1, a), (2, b), (4, None)} < set(kept)
     assert {i for i, t in kept if t and t.startswith(c)} == {3} and {i for i, t in kept if t and t.startswith(d)} == {None}
+
+
+def test_last_stages_pass_small_batches(spark, sf_dir, make_docs, monkeypatch):
+    """Where mixing and packing read texts, batches are those of BATCH, and packing remembers less; the session and the worker's encoder are as before after that."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, write = spark.conf.get(key, None), cp.stored
+    monkeypatch.setattr(cp, "stored", lambda df, name: seen.append((name, spark.conf.get(key))) or write(df, name))
+    docs = make_docs([(k, f"one two {k}") for k in range(20)])
+    cp.mix(spark, docs, sf_dir)
+    assert cp.packing(spark, docs, sf_dir).count() >= 20
+    assert seen == [("scored", cp.BATCH), ("packed", cp.BATCH)] and spark.conf.get(key, None) == before

@@ -210,3 +210,15 @@ def test_pieces_are_remembered_together(monkeypatch):
     assert memory.values(words) == got and made == [*words, words[-1]]  # the long one is made each time
     monkeypatch.setattr(tokens, "CACHE_BYTES", 0)
     assert memory.values(words[:3]) == got[:3] and memory.values(["w9"]) == ["W9"] and made[502:] == ["w9"]
+
+
+def test_what_is_remembered_has_a_bound_of_its_own():
+    from notes_engine.llm import tokens
+
+    made = []
+    memory = tokens.Remembered(lambda words: made.extend(words) or [1] * len(words), most=1000)
+    for k in range(50):
+        memory.values([f"w{k}", f"v{k}"])
+        assert memory.held <= 1000 and len(memory.known) + len(memory.older) <= 8
+    assert len(made) == 100
+    assert Encoder(DEFAULT_VOCABULARY).counts.most < tokens.CACHE_BYTES
