@@ -84,6 +84,29 @@ def softmax(odds: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+class _Features:
+    """A sparse matrix of texts by buckets, and its products with vectors. Entries of no weight are left out; rows: ascending."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+        some = values != 0
+        self.rows, self.cols, self.values, self.shape = rows[some], cols[some], values[some].astype(float), shape
+        self.starts = np.flatnonzero(np.diff(self.rows, prepend=-1))
+        self.held = np.empty(len(self.rows))  # one place for the products of all entries
+
+    def by_text(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[0])
+        if len(self.rows):
+            np.take(w, self.cols, out=self.held, mode="clip")
+            self.held *= self.values
+            out[self.rows[self.starts]] = np.add.reduceat(self.held, self.starts)
+        return out
+
+    def by_bucket(self, d: np.ndarray) -> np.ndarray:
+        np.take(d, self.rows, out=self.held, mode="clip")
+        self.held *= self.values
+        return np.bincount(self.cols, self.held, self.shape[1])
+
+
 def _fit_shard(texts: list[str], label: np.ndarray, weight: np.ndarray, ratios: np.ndarray, bias: np.ndarray, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the buckets, and bias, by accelerated gradient steps on the softmax loss over features ratio * count / length^LENGTH_POWER.
 
@@ -101,24 +124,23 @@ def _fit_shard(texts: list[str], label: np.ndarray, weight: np.ndarray, ratios:
         bounds.append(bounds[-1] + len(cols[-1]))
     used, cols = np.unique(np.concatenate(cols), return_inverse=True)
     values, rows, others, n = np.concatenate(values), np.repeat(np.arange(len(texts)), np.diff(bounds)), len(bias), len(texts)
-    scaled = [values * r[used][cols] for r in ratios]
+    features = [_Features(rows, cols, values * r[used][cols], (n, len(used))) for r in ratios]
+    del rows, cols, values
     wanted = (label[:, None] == np.arange(1, others + 1)).astype(float)
     share = weight / weight.sum()
-    forward = lambda c, w: np.bincount(rows, scaled[c] * w[cols], n)
-    back = lambda c, d: np.bincount(cols, d[rows] * scaled[c], len(used))
     curved = 0.0
     for c in range(others):
         spread = share * max((share * wanted[:, c]).sum() * (1 - (share * wanted[:, c]).sum()), 1e-3)
-        x = np.abs(back(c, share)) + 1e-12
+        x = np.abs(features[c].by_bucket(share)) + 1e-12
         for _ in range(6):
             x /= np.linalg.norm(x)
-            x = back(c, spread * forward(c, x)) + 1e-12
+            x = features[c].by_bucket(spread * features[c].by_text(x)) + 1e-12
         curved = max(curved, float(np.linalg.norm(x)))
     step = 1 / (curved + 0.25)
     w, bias = np.zeros((others, len(used))), bias.astype(float)
     ahead, bias_ahead, pace, before = w, bias, 1.0, np.inf
     for _ in range(STEPS):
-        odds = np.stack([forward(c, ahead[c]) for c in range(others)], axis=1) + bias_ahead
+        odds = np.stack([features[c].by_text(ahead[c]) for c in range(others)], axis=1) + bias_ahead
         p = softmax(odds)
         loss = -(share * np.log(np.maximum(p[np.arange(n), label], 1e-12))).sum()
         if loss > 1.02 * before:  # too far: go back, with smaller steps
@@ -127,7 +149,7 @@ def _fit_shard(texts: list[str], label: np.ndarray, weight: np.ndarray, ratios:
             continue
         before = loss
         off = share[:, None] * (p[:, 1:] - wanted)
-        to = ahead - step * np.stack([back(c, off[:, c]) for c in range(others)])
+        to = ahead - step * np.stack([features[c].by_bucket(off[:, c]) for c in range(others)])
         bias_to = bias_ahead - step * off.sum(axis=0)
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead, bias_ahead = to + (pace - 1) / faster * (to - w), bias_to + (pace - 1) / faster * (bias_to - bias)

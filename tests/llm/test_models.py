@@ -246,3 +246,19 @@ def test_a_model_is_sent_without_its_empty_buckets():
     assert (sent.probabilities(texts) == model.probabilities(texts)).all()
     none = pickle.loads(pickle.dumps(NgramModel(np.zeros((0, 1 << BITS), np.float32), np.zeros(0))))
     assert none.probabilities(["a b"]).tolist() == [[1.0]]
+
+
+def test_products_pass_over_entries_with_weight_alone():
+    """Sparse products are those of the dense matrix, texts and buckets without entries included; entries of no weight are not kept."""
+    from notes_engine.llm.ngram_model import _Features
+
+    rng = np.random.default_rng(5)
+    dense = np.where(rng.random((9, 30)) < 0.3, rng.normal(size=(9, 30)), 0).astype(np.float32)
+    dense[[0, 4, 8]] = 0
+    rows, cols = np.divmod(np.arange(dense.size), 30)
+    x = _Features(rows, cols, dense.ravel(), dense.shape)
+    w, d = rng.normal(size=30), rng.normal(size=9)
+    assert len(x.values) == len(x.held) == (dense != 0).sum()
+    assert np.allclose(x.by_text(w), dense.astype(float) @ w, rtol=0, atol=1e-12) and np.allclose(x.by_bucket(d), dense.astype(float).T @ d, rtol=0, atol=1e-12)
+    none = _Features(rows, cols, np.zeros(dense.size, np.float32), dense.shape)
+    assert not none.by_text(w).any() and not none.by_bucket(d).any()
