@@ -342,6 +342,12 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(paired, "first boolean, sig long, a long, b long, n long, a2 long, b2 long, n2 long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(a, b, one, two): the sets of the pairs, and whether each is the one or the other of some pair."""
+    ends = pairs.select("a", "b", F.lit(True).alias("one"), F.lit(False).alias("two")).union(pairs.select("a2", "b2", F.lit(False), F.lit(True)))
+    return ends.groupBy("a", "b").agg(F.bool_or("one").alias("one"), F.bool_or("two").alias("two"))
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, a2, b2) whose parities allow a link. nodes: (a, b, parity)."""
 
@@ -361,7 +367,7 @@ def _second(df: DataFrame, column: str) -> DataFrame:
 
 
 def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(a, b, tokens) of the wanted sets (a, b), written, made anew from one text of each (a row that is repeated may give more). nodes: (a, b, _id, _tie); docs: (_id, _tie, _text)."""
+    """(a, b, one, two, tokens) of the wanted sets (a, b, one, two), written, made anew from one text of each (a row that is repeated may give more). nodes: (a, b, _id, _tie); docs: (_id, _tie, _text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -373,19 +379,19 @@ def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int)
                     keep.append(k)
             if len(seen) > 200_000:
                 seen.clear()
-            a, b, texts = (batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b", "_text"))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array([t.tobytes() for t in shingle_sets(texts, size)], pa.binary())], names=["a", "b", "tokens"])
+            *told, texts = (batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b", "one", "two", "_text"))
+            yield pa.RecordBatch.from_arrays([*told, pa.array([t.tobytes() for t in shingle_sets(texts, size)], pa.binary())], names=["a", "b", "one", "two", "tokens"])
         pa.default_memory_pool().release_unused()
 
-    keys = stored(gathered(wanted.distinct().join(nodes, ["a", "b"]).select("a", "b", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie"))), "keys")
-    texts = sieved(docs, F.xxhash64("_id", "_tie"), keys, F.xxhash64("_key", "_key_tie")).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "_text")
-    made = stored(gathered(texts.mapInArrow(sets, "a long, b long, tokens binary")), "tokens")
+    keys = stored(gathered(wanted.join(nodes, ["a", "b"]).select("a", "b", "one", "two", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie"))), "keys")
+    texts = sieved(docs, F.xxhash64("_id", "_tie"), keys, F.xxhash64("_key", "_key_tie")).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "one", "two", "_text")
+    made = stored(gathered(texts.mapInArrow(sets, "a long, b long, one boolean, two boolean, tokens binary")), "tokens")
     dropped(keys)
     return made
 
 
 def _verified(likely: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, a2, b2) whose sets are similar."""
+    """The pairs (a, b, a2, b2) whose sets are similar. Each set is sent only as what it is in some pair."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +400,7 @@ def _verified(likely: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b", "a2", "b2"])
         pa.default_memory_pool().release_unused()
 
-    both = likely.join(tokens, ["a", "b"]).join(_second(tokens, "tokens"), ["a2", "b2"])
+    both = likely.join(tokens.where("one").select("a", "b", "tokens"), ["a", "b"]).join(_second(tokens.where("two"), "tokens"), ["a2", "b2"])
     return both.select("a", "b", "a2", "b2", "tokens", "tokens2").mapInArrow(compared, "a long, b long, a2 long, b2 long")
 
 
@@ -436,11 +442,15 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     while True:
         made = stored(gathered(_pairs(left, leaders, percent)), "pairs")
         pairs = made.where("first").select("a", "b", "n", "a2", "b2", "n2").distinct()
-        likely = stored(gathered(_likely(pairs, nodes, percent)), "likely")
-        tokens = _token_sets(likely.select("a", "b").union(likely.select("a2", "b2")), nodes, rows, size)
+        some, ends = nodes, None
+        if leaders > LEADERS:  # later pairs have few of the sets, so others aren't sent
+            ends = stored(gathered(_ends(pairs)), "ends")
+            some = sieved(nodes, F.xxhash64("a", "b"), ends, F.xxhash64("a", "b"))
+        likely = stored(gathered(_likely(pairs, some, percent)), "likely")
+        tokens = _token_sets(_ends(likely), some, rows, size)
         found = stored(gathered(_verified(likely, tokens, percent)), "found")
         more = stored(gathered(_thinned(found)), "links")
-        dropped(likely, tokens, found)
+        dropped(likely, tokens, found, ends)
         if not links or not more.isEmpty():
             links.append(more)
             changed = True

@@ -172,3 +172,18 @@ def test_labels_of_few_rounds(spark):
     some = {r.node: r.label for r in components(links, 1).collect()}
     assert len(some) == 72 and len(set(some.values())) > 2 and all((n < 100) == (m < 100) for n, m in some.items())
     assert {r.label for r in components(links).collect()} == {0, 100}
+
+
+def test_sets_are_sent_only_as_what_they_are(spark, clash, monkeypatch):
+    """A pair's sets go each to its own join, and in later rounds only sets of some pair are looked at."""
+    assert {tuple(r) for r in nj._ends(spark.createDataFrame([(1, 1, 2, 2), (3, 3, 2, 2), (2, 2, 4, 4)], "a long, b long, a2 long, b2 long")).collect()} == {(1, 1, True, False), (2, 2, True, True), (3, 3, True, False), (4, 4, False, True)}
+    likely, verified, looked, sent = nj._likely, nj._verified, [], []
+    monkeypatch.setattr(nj, "_likely", lambda pairs, nodes, percent: looked.append((nodes.count(), pairs.count())) or likely(pairs, nodes, percent))
+    monkeypatch.setattr(nj, "_verified", lambda pairs, tokens, percent: sent.append((tokens.where("one").count() + tokens.where("two").count(), tokens.count())) or verified(pairs, tokens, percent))
+    monkeypatch.setattr(nj, "GROWTH", 2)
+    rng, words = random.Random(12), [f"v{k}" for k in range(400)]
+    texts = [" ".join(words[k * 4 : k * 4 + 104]) for k in range(60)] + [" ".join(f"z{rng.randrange(10**6)}" for _ in range(50)) for _ in range(200)]
+    docs = list(enumerate(texts))
+    compare(clash(docs), docs)
+    assert len(looked) > 1 and looked[0][0] == 260 and all(n <= 60 for n, pairs in looked[1:])
+    assert all(both < 2 * n for both, n in sent if n > 2)
