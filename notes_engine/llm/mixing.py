@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import stored
+from notes_engine.llm.common import let_go, stored
 from notes_engine.llm.ngram_model import NgramModel, fit_ngram_model, sample_by_class
 from notes_engine.llm.tokens import DEFAULT_VOCABULARY, encoder, forget_pieces, in_groups
 
@@ -83,7 +83,7 @@ def with_posteriors(docs: DataFrame, model: NgramModel, *, id_col: str = "doc_id
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(sizes)), lists], ["n_tokens", "posterior"])
         forget_pieces()
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     new = docs.withColumns({"chance": chance, "_told": told(F.coalesce(F.col(text_col), F.lit("")))})

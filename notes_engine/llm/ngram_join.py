@@ -26,6 +26,11 @@ group still spans several components, more members a round, and only pairs of
 two components whose sizes and parity bits allow a link. So a group of many
 near copies costs few pairs a member, and no link between two components is
 lost.
+
+Near copies meet in many groups. Of groups with the same members one goes on;
+and of the groups in which two sets meet, a pair is made only in the first that
+the least signatures of both tell of: it is looked at there in this round, or
+both sets wait there for a later one.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import SPACE, UPPER, batches_of, dropped, gathered, sieved, stored
+from notes_engine.llm.common import SPACE, UPPER, batches_of, dropped, gathered, let_go, sieved, stored
 from notes_engine.llm.components import components
 from notes_engine.llm.tokens import in_groups, listed
 
@@ -62,6 +67,8 @@ LEADERS, GROWTH = 1, 16
 SPREAD = 2
 #: Bits of the short parity, by which members are told apart before they make a pair.
 SHORT_BITS = 1024
+#: Least signatures of a set, by which a pair is made in one of the groups in which it meets.
+LEAST_KNOWN = 8
 #: Pairs that a task remembers, so as not to make them again.
 PAIRS_KNOWN = 50_000
 
@@ -224,7 +231,8 @@ def _read_sets(docs: DataFrame, size: int) -> DataFrame:
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (n, a, b)), pa.array(bits, pa.binary()), pa.array(short, pa.binary()), none, none], names=names)
         yield from frequent()
-        pa.default_memory_pool().release_unused()
+        del held
+        let_go()
 
     return stored(docs.mapInArrow(read, schema), "sets")
 
@@ -247,7 +255,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
                 yield _batch(["sig", "a", "b", "n"], np.concatenate(sig).view(np.int64), np.repeat(a, k), np.repeat(b, k), np.repeat(n, k))
             if len(seen) > 200_000:
                 seen.clear()
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     return docs.select("_text").mapInArrow(made, "sig long, a long, b long, n long")
 
@@ -256,10 +264,12 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
     """Candidate pairs, and what is left for later: rows of (first, sig, a, b, n, a2, b2, n2).
 
     postings: (sig, a, b, n), and after the first round c, the node's component
-    so far or its own, and short, its short parity. Sorted by sig, a partition
-    is read once; of each group only the first members are remembered.
+    so far or its own, short, its short parity, and least, the LEAST_KNOWN least
+    signatures that it has here, ascending, the last repeated. Sorted by sig, a
+    partition is read once; of each group only the first members are remembered.
     first: this row is a pair of a first member (a2, b2) and a later one of
-    another component whose sizes and parities allow a link; else it is a member
+    another component whose sizes and parities allow a link, and for which least
+    tells of no earlier group that has both; else it is a member
     that isn't among the first and is compared with the others in a later round
     (a2, b2, n2 are null); one alone has no others and is left out.
     """
@@ -268,20 +278,22 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
     by_parity = "short" in postings.columns
     columns = ["sig", "a", "b", "n", *["c"] * by_parity]
 
-    def parities(batch: pa.RecordBatch) -> np.ndarray:
+    def told_of(batch: pa.RecordBatch) -> np.ndarray:
+        """By row: the words of the short parity, then the least signatures."""
         if not by_parity:
             return np.zeros((batch.num_rows, 0), np.uint64)
-        return np.frombuffer(b"".join(batch.column("short").to_pylist()), np.uint64).reshape(-1, words)
+        short = np.frombuffer(b"".join(batch.column("short").to_pylist()), np.uint64).reshape(-1, words)
+        return np.concatenate((short, batch.column("least").flatten().to_numpy().view(np.uint64).reshape(-1, LEAST_KNOWN)), axis=1)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros((len(columns), 0), np.int64), np.zeros((0, words * by_parity), np.uint64)
+        empty = np.zeros((len(columns), 0), np.int64), np.zeros((0, (words + LEAST_KNOWN) * by_parity), np.uint64)
         kept, kept_bits = empty  # the first members of the group that is open
         length, last = 0, None  # of that group; its last member
         made: set[tuple[int, ...]] = set()
         waiting = None  # its first member that isn't among the first, as long as it is alone
         nothing = lambda n: [pa.nulls(n, pa.int64())] * 3
         for batch in batches:
-            rows, bits = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]), parities(batch)
+            rows, bits = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]), told_of(batch)
             before = np.concatenate(([[*last]] if last is not None else [[rows[0, 0] ^ 1, 0, 0]], rows[:3].T[:-1]))
             fresh = (rows[:3].T != before).any(axis=1)  # not the same set from another task
             rows, bits = rows[:, fresh], bits[fresh]
@@ -311,9 +323,14 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
                 i, j = i[good], j[good]
                 if by_parity and len(i):
                     m = rows[3, i] + rows[3, j]
-                    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                    differ = np.bitwise_count(bits[i, :words] ^ bits[j, :words]).sum(axis=1, dtype=np.int64)
                     good = differ <= m - 2 * -(-percent * m // (100 + percent))
                     i, j = i[good], j[good]
+                    x, y = bits[i, words:].view(np.int64), bits[j, words:].view(np.int64)
+                    earlier = np.zeros(len(i), bool)
+                    for c in range(LEAST_KNOWN):
+                        earlier |= (x[:, c] < rows[0, i]) & (y == x[:, c, None]).any(axis=1)
+                    i, j = i[~earlier], j[~earlier]
                 # A pair that this task has just made needs no second row.
                 told = list(zip(*rows[1:3, i].tolist(), *rows[1:3, j].tolist(), strict=True))
                 new_pairs = []
@@ -338,10 +355,23 @@ def _pairs(postings: DataFrame, leaders: int, percent: int) -> DataFrame:
             keep = slice(begins[-1], begins[-1] + min(leaders, sizes[-1]))
             kept, kept_bits, length = rows[:, keep], bits[keep], int(place[-1]) + 1
 
-    dealt = postings.select(*columns, *["short"] * by_parity).repartition("sig").sortWithinPartitions("sig", "a", "b")
+    dealt = postings.select(*columns, *["short", "least"] * by_parity).repartition("sig").sortWithinPartitions("sig", "a", "b")
     return dealt.mapInArrow(paired, "first boolean, sig long, a long, b long, n long, a2 long, b2 long, n2 long")
 
 
+def _left(rest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, a, b, n, c, short, least) of the groups of rest (sig, a, b, n, c) that span several components, one of those with the same members. nodes: (a, b, short).
+
+    Members' names are hashes of 128 bits, so groups of as many members whose names have the same xor are taken for the same.
+    """
+    groups = rest.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor("a").alias("x"), F.bit_xor("b").alias("y"), F.count(F.lit(1)).alias("members"))
+    groups = groups.where("low < high").groupBy("x", "y", "members").agg(F.min("sig").alias("sig")).select("sig")
+    own = rest.join(groups, "sig", "left_semi").groupBy("a", "b", "n", "c").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    least = F.slice(F.concat("sigs", F.array_repeat(F.element_at("sigs", -1), LEAST_KNOWN)), 1, LEAST_KNOWN)
+    told = own.join(nodes.select("a", "b", "short"), ["a", "b"]).withColumn("least", least)
+    return told.select(F.explode("sigs").alias("sig"), "a", "b", "n", "c", "short", "least")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """(a, b, one, two): the sets of the pairs, and whether each is the one or the other of some pair."""
     ends = pairs.select("a", "b", F.lit(True).alias("one"), F.lit(False).alias("two")).union(pairs.select("a2", "b2", F.lit(False), F.lit(True)))
@@ -381,7 +411,7 @@ def _token_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int)
                 seen.clear()
             *told, texts = (batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b", "one", "two", "_text"))
             yield pa.RecordBatch.from_arrays([*told, pa.array([t.tobytes() for t in shingle_sets(texts, size)], pa.binary())], names=["a", "b", "one", "two", "tokens"])
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     keys = stored(gathered(wanted.join(nodes, ["a", "b"]).select("a", "b", "one", "two", F.col("_id").alias("_key"), F.col("_tie").alias("_key_tie"))), "keys")
     texts = sieved(docs, F.xxhash64("_id", "_tie"), keys, F.xxhash64("_key", "_key_tie")).join(keys, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_key_tie") == F.col("_tie"))).select("a", "b", "one", "two", "_text")
@@ -398,7 +428,7 @@ def _verified(likely: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
             x, y = (batch.column(c) for c in ("tokens", "tokens2"))
             good = [similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in p), percent) for p in zip(x, y, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b", "a2", "b2"])
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     both = likely.join(tokens.where("one").select("a", "b", "tokens"), ["a", "b"]).join(_second(tokens.where("two"), "tokens"), ["a2", "b2"])
     return both.select("a", "b", "a2", "b2", "tokens", "tokens2").mapInArrow(compared, "a long, b long, a2 long, b2 long")
@@ -448,9 +478,8 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
             some = sieved(nodes, F.xxhash64("a", "b"), ends, F.xxhash64("a", "b"))
         likely = stored(gathered(_likely(pairs, some, percent)), "likely")
         tokens = _token_sets(_ends(likely), some, rows, size)
-        found = stored(gathered(_verified(likely, tokens, percent)), "found")
-        more = stored(gathered(_thinned(found)), "links")
-        dropped(likely, tokens, found, ends)
+        more = stored(gathered(_thinned(_verified(likely, tokens, percent))), "links")
+        dropped(likely, tokens, ends)
         if not links or not more.isEmpty():
             links.append(more)
             changed = True
@@ -466,8 +495,7 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
         rest = made.where(~F.col("first")).select("sig", "a", "b", "n").join(labels, ["a", "b"], "left")
         rest = stored(gathered(rest.select("sig", "a", "b", "n", F.when(F.col("label").isNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("label.a", "label.b")).alias("c"))), "rest")
         dropped(made, left)
-        open_groups = rest.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-        left = stored(gathered(rest.join(open_groups, "sig", "left_semi").join(nodes.select("a", "b", "short"), ["a", "b"])), "left")
+        left = stored(gathered(_left(rest, nodes)), "left")
         dropped(rest)
         if left.isEmpty():
             break

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notes_engine.llm.common import dropped, stored
+from notes_engine.llm.common import dropped, let_go, stored
 
 #: Orders of the n-grams, and the number of hash buckets (a power of two) that they fall into.
 ORDERS = (3, 4, 5, 6)
@@ -199,6 +199,8 @@ def fit_ngram_model(sample: DataFrame, classes: int, orders: tuple[int, ...] = O
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[label][np.unique(buckets_of(text, orders))] += 1
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["counts"])
+        del counts
+        let_go()
 
     counts = np.zeros((classes, 1 << BITS), np.int32)
     for r in dealt.select("text", "label").mapInArrow(counted, "counts binary").collect():
@@ -213,6 +215,8 @@ def fit_ngram_model(sample: DataFrame, classes: int, orders: tuple[int, ...] = O
         if texts:
             w, own = _fit_shard(texts, np.array(label), np.array(weight), ratios, bias, orders)
             yield pa.RecordBatch.from_arrays([pa.array([len(texts)], pa.int64()), pa.array([zlib.compress(w.tobytes(), 1)], pa.binary()), pa.array([own.tobytes()], pa.binary())], names=["docs", "weights", "bias"])
+            del texts, w
+        let_go()
 
     del counts
     weights, means, n = np.zeros((classes - 1, 1 << BITS)), np.zeros(classes - 1), 0

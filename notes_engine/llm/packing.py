@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notes_engine.llm.common import let_go
 from notes_engine.llm.tokens import DEFAULT_VOCABULARY, encoder, forget_pieces, in_groups
 
 #: What a cut costs, in tokens of padding: at a document's end, at a sentence's, and elsewhere; and what each sequence costs.
@@ -149,7 +150,7 @@ def pack(
                     yield from flush()
         yield from flush()
         forget_pieces()
-        pa.default_memory_pool().release_unused()
+        let_go()
 
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(packed, out)
 

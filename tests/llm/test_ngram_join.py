@@ -187,3 +187,42 @@ def test_sets_are_sent_only_as_what_they_are(spark, clash, monkeypatch):
     compare(clash(docs), docs)
     assert len(looked) > 1 and looked[0][0] == 260 and all(n <= 60 for n, pairs in looked[1:])
     assert all(both < 2 * n for both, n in sent if n > 2)
+
+
+@pytest.mark.parametrize("leaders", [3, 64])
+def test_a_pair_is_made_in_one_of_the_groups_it_shares(spark, leaders):
+    """Of groups with the same members one goes on; a pair that isn't made now waits in a group that has both."""
+    members, found, waits = range(1, 31), [], []
+    rest = [(s, m, -m, 100, m) for s in range(40) for m in members if s >= 30 or m != s + 1]  # the last ten groups have the same members
+    rest = spark.createDataFrame(rest, "sig long, a long, b long, n long, c long")
+    nodes = spark.createDataFrame([(m, -m, bytes(nj.SHORT_BITS // 8)) for m in members], "a long, b long, short binary")
+    left = nj._left(rest, nodes)
+    assert left.select("sig").distinct().count() == 31
+    for r in nj._pairs(left, leaders, nj.PERCENT).collect():
+        found.append((min(r.a, r.a2), max(r.a, r.a2))) if r.first else waits.append((r.sig, r.a))
+    groups = {}
+    for s, m in waits:
+        groups.setdefault(s, set()).add(m)
+    every = {(x, y) for x in members for y in members if x < y}
+    assert len(found) == len(set(found))
+    assert every == set(found) | {(x, y) for x, y in every if any({x, y} <= g for g in groups.values())}
+    assert leaders < 30 or set(found) == every
+
+
+def test_near_copies_in_few_pairs(spark, clash, monkeypatch):
+    """A group of near copies in several components: later rounds make each pair once, and no link is lost."""
+    pairs, made = nj._pairs, []
+
+    def counted(postings, leaders, percent):
+        out = pairs(postings, leaders, percent)
+        if leaders > nj.LEADERS:
+            made.append([(r.a, r.b, r.a2, r.b2) for r in out.where("first").collect()])
+        return out
+
+    monkeypatch.setattr(nj, "_pairs", counted)
+    monkeypatch.setattr(nj, "GROWTH", 4)
+    rng = random.Random(5)
+    base = [f"v{k}" for k in range(150)]
+    docs = [(k, " ".join(x if rng.random() > 0.012 else f"z{rng.randrange(10**6)}" for x in base)) for k in range(150)]
+    compare(clash(docs), docs)
+    assert made and all(len(x) == len(set(x)) for x in made)
