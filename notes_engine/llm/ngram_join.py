@@ -366,10 +366,11 @@ def _left(rest: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     groups = rest.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor("a").alias("x"), F.bit_xor("b").alias("y"), F.count(F.lit(1)).alias("members"))
     groups = groups.where("low < high").groupBy("x", "y", "members").agg(F.min("sig").alias("sig")).select("sig")
-    own = rest.join(groups, "sig", "left_semi").groupBy("a", "b", "n", "c").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
-    least = F.slice(F.concat("sigs", F.array_repeat(F.element_at("sigs", -1), LEAST_KNOWN)), 1, LEAST_KNOWN)
-    told = own.join(nodes.select("a", "b", "short"), ["a", "b"]).withColumn("least", least)
-    return told.select(F.explode("sigs").alias("sig"), "a", "b", "n", "c", "short", "least")
+    kept = rest.join(groups, "sig", "left_semi")
+    sigs = F.sort_array(F.collect_list("sig")).alias("sigs")
+    least = F.slice(F.concat("sigs", F.array_repeat(F.element_at("sigs", -1), LEAST_KNOWN)), 1, LEAST_KNOWN).alias("least")
+    told = kept.groupBy("a", "b").agg(sigs).select("a", "b", least).join(nodes.select("a", "b", "short"), ["a", "b"])
+    return kept.join(told, ["a", "b"]).select("sig", "a", "b", "n", "c", "short", "least")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
